@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from assayframe.llm.langid import op10_language_id
 from assayframe.llm.mixing import op2_mix_sources
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
