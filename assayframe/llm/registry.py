@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from assayframe.llm.langid import op10_language_id
 from assayframe.llm.mixing import op2_mix_sources
+from assayframe.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+}
