@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from assayframe.llm.langid import op10_language_id
 from assayframe.llm.mixing import op2_mix_sources
+from assayframe.llm.quality import op5_quality_rules
+from assayframe.llm.secretscan import op7_secret_scan
+from assayframe.llm.tokens import op6_token_binary
 from assayframe.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_token_binary": op6_token_binary,
+    "op7_secret_scan": op7_secret_scan,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
