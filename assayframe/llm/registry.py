@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from assayframe.llm.langid import op10_language_id
 from assayframe.llm.mixing import op2_mix_sources
+from assayframe.llm.neardup import op4_near_dedup
 from assayframe.llm.quality import op5_quality_rules
 from assayframe.llm.secretscan import op7_secret_scan
 from assayframe.llm.tokens import op6_token_binary
@@ -12,6 +13,7 @@ from assayframe.llm.warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
+    "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_binary": op6_token_binary,
     "op7_secret_scan": op7_secret_scan,
