@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assayframe.llm.decontam import OP3_SQL, op3_decontaminate
 from assayframe.llm.langid import op10_language_id
 from assayframe.llm.mixing import op2_mix_sources
 from assayframe.llm.neardup import op4_near_dedup
@@ -13,6 +14,7 @@ from assayframe.llm.warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mix_sources": op2_mix_sources,
+    "op3_decontaminate": op3_decontaminate,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_binary": op6_token_binary,
@@ -21,4 +23,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op3_decontaminate": OP3_SQL,
 }
