@@ -8,6 +8,7 @@ from assayframe.llm.mixing import op2_mix_sources
 from assayframe.llm.neardup import op4_near_dedup
 from assayframe.llm.quality import op5_quality_rules
 from assayframe.llm.secretscan import op7_secret_scan
+from assayframe.llm.substrings import op9_substring_dedup
 from assayframe.llm.tokens import op6_token_binary
 from assayframe.llm.warc import OP1_SQL, op1_warc
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_binary": op6_token_binary,
     "op7_secret_scan": op7_secret_scan,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
