@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from assayframe.llm.decontam import OP3_SQL, op3_decontaminate
 from assayframe.llm.langid import op10_language_id
+from assayframe.llm.linedup import OP8_SQL, op8_line_dedup
 from assayframe.llm.mixing import op2_mix_sources
 from assayframe.llm.neardup import op4_near_dedup
 from assayframe.llm.quality import op5_quality_rules
@@ -20,10 +21,12 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_binary": op6_token_binary,
     "op7_secret_scan": op7_secret_scan,
+    "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
