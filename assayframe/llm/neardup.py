@@ -156,8 +156,11 @@ def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
         x.join(y, "token").where((F.col("ga") < F.col("gb")) & alike_in_size("na", "nb"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     )
-    second = confirmed(cut(rest, "near-rest"), sigs, docs)
-    return components(first.union(second))
+    rest = cut(rest, "near-rest")
+    if rest.isEmpty():
+        return groups
+    second = confirmed(rest, sigs, docs)
+    return groups if second.isEmpty() else components(first.union(second))
 
 
 def near_ids(docs: DataFrame) -> DataFrame:
