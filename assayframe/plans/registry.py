@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from assayframe.plans import measurements
+from assayframe.sources.model import MODEL_SQL
+
+QUERIES: dict = {name: getattr(measurements, name) for name in measurements.SQL}
+ORACLES: dict = {name: MODEL_SQL + measurements.EXTRA + sql for name, sql in measurements.SQL.items()}
