@@ -25,12 +25,14 @@ WINDOW = 13
 ANCHORS = 3
 #: A document is contaminated if one in so many of its words is hit.
 HIT_PART = 20
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def terms(text: str) -> Column:
-    """Words of the column of that name; empty for null."""
-    return F.coalesce(F.regexp_extract_all(lower_ascii(F.col(text)), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
+    """Words of the column of that name, A-Z in lower case; empty for null. Texts in ASCII take the faster lower()."""
+    c = F.col(text)
+    low = F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(lower_ascii(c))
+    return F.coalesce(F.array_remove(F.split(low, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def benchmark_windows(bench: DataFrame, n: int = WINDOW) -> tuple[DataFrame, DataFrame]:
