@@ -18,13 +18,15 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.shared import cut, open_store, split_words, work_path
+from assayframe.llm.shared import cut, open_store, work_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -35,6 +37,9 @@ LEAST_PAIRS = 16
 #: First nonterminal; above any id of the public tokenizers.
 FIRST_RULE = 1 << 20
 REMEMBERED = 300_000
+#: Pairs are counted roughly in so many bins (a power of two) before they are counted exactly.
+PAIR_BITS = 20
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -44,31 +49,49 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts, word by word, remembering the words met."""
+    """Ids of texts, word by word, remembering the words met.
+
+    Arrow splits a batch of texts at ASCII white space and names its distinct words, so Python sees each of them once a
+    batch; the ids of all words are then gathered from one array.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [split_words(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({w for ws in split for w in ws})
+        self.forget()
+
+    def forget(self) -> None:
+        """Rows 0 and 1 stay: the empty word, and the end of a document."""
+        self.row: dict[str, int] = {"": 0}
+        self.sizes, self.flat = np.array([0, 1]), np.array([END_ID], np.uint32)
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """Each distinct word's row of `sizes`; the ids of all rows follow each other in `flat`."""
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > REMEMBERED:
+            self.forget()
+            new = [w for w in words if w]
         for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            self.known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)), strict=True))
-        look, out = self.known.__getitem__, []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += look(w)
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint32))
-        return out
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.row.update(zip(new[i : i + 10_000], range(len(self.sizes), len(self.sizes) + len(found)), strict=True))
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (nulls are empty), its end id last."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        named = split.flatten().dictionary_encode()
+        row = self.rows_of(named.dictionary.to_pylist())
+        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(n_words)
+        word = np.insert(row[named.indices.to_numpy()], ends, 1)
+        size = self.sizes[word]
+        upto = np.cumsum(size)
+        ids = self.flat[np.repeat((np.cumsum(self.sizes) - self.sizes)[word] - (upto - size), size) + np.arange(size.sum())]
+        return np.split(ids, upto[ends + np.arange(len(ends))][:-1]) if len(ends) else []
 
 
 def re_pair(ids: np.ndarray, last: np.ndarray, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +104,21 @@ def re_pair(ids: np.ndarray, last: np.ndarray, least: int = LEAST_PAIRS) -> tupl
     while len(sym) > 1:
         keys = (sym[:-1] << 32) | sym[1:]
         inside = np.flatnonzero(~last[:-1])
-        kinds, back, counts = np.unique(keys[inside], return_inverse=True, return_counts=True)
+        # Counts of hashed pairs are never too small, so only pairs that may reach the bound need to be sorted.
+        bins = ((keys[inside].view(np.uint64) * ODD) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        rough = np.bincount(bins, minlength=1)
+        most = int(rough.max())
+        # Only the upper part of the pairs each round, so that frequent pairs come first as in one-by-one replacement.
+        while True:
+            bound = max(least, most // 16)
+            some = inside[rough[bins] >= bound]
+            kinds, back, counts = np.unique(keys[some], return_inverse=True, return_counts=True)
+            if bound == least or (len(counts) and counts.max() >= bound):
+                break
+            most = bound
+        inside = some
         if not len(counts) or counts.max() < least:
             break
-        # Only the upper part of the pairs each round, so that frequent pairs come first as in one-by-one replacement.
-        bound = max(least, int(counts.max()) // 16)
         score = np.zeros(len(keys) + 2, np.int64)  # ranks of chosen pairs; 0 for none
         rank = np.zeros(len(kinds), np.int64)
         good = np.flatnonzero(counts >= bound)
@@ -221,10 +254,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, most: int = SHARD
 
         part = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
                 part = some.column(0)[0].as_py()
-                for d, t in zip(some.column(1).to_pylist(), encode(some.column(2).to_pylist()), strict=True):
+                for d, t in zip(some.column(1).to_pylist(), encode(some.column(2)), strict=True):
                     if parts and size + len(t) > most:
                         yield close(part)
                     ids.append(d)
