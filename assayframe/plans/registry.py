@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from assayframe.plans import measurements
+from assayframe.plans import derived, measurements
 from assayframe.sources.model import MODEL_SQL
 
-QUERIES: dict = {name: getattr(measurements, name) for name in measurements.SQL}
+QUERIES: dict = {name: getattr(plans, name) for plans in (measurements, derived) for name in plans.SQL}
 ORACLES: dict = {name: MODEL_SQL + measurements.EXTRA + sql for name, sql in measurements.SQL.items()}
+ORACLES |= {name: MODEL_SQL + measurements.EXTRA + (derived.DIFF if name == "extract_diff" else "") + sql for name, sql in derived.SQL.items()}
