@@ -147,7 +147,7 @@ def round_classes(cells: DataFrame, cap: float = CAP) -> DataFrame:
 
     def take(acc, c):
         want = acc["carry"] + c["want"]
-        copies = F.greatest(F.lit(0).cast("long"), F.least((c["n"] * cap).cast("long"), F.round(want / c["mean"]).cast("long")))
+        copies = F.greatest(F.lit(0).cast("long"), F.least((c["n"] * cap).cast("long"), F.round(F.coalesce(F.try_divide(want, c["mean"]), F.lit(0.0))).cast("long")))
         return F.struct(
             (want - copies * c["mean"]).alias("carry"),
             F.concat(acc["out"], F.array(F.struct(c["class"].alias("class"), c["n"].alias("n"), copies.alias("copies")))).alias("out"),
