@@ -293,7 +293,9 @@ def read_shards(index: DataFrame, folder: str, with_ids: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return index.select("file", "shard_start").repartition(F.col("file")).mapInArrow(read, kind)
+    # Index rows are few bytes each; a stated number of partitions keeps Spark from putting all shards into one task.
+    n = max(1, min(index.count(), 20_000))
+    return index.select("file", "shard_start").repartition(n, F.col("file")).mapInArrow(read, kind)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
