@@ -2,7 +2,8 @@
 
 Three patterns find well-formed secrets. Beyond them, strings of letters and digits in a sensitive context are
 candidates: each is compressed behind the text around it, with a dictionary of common identifiers. A candidate whose
-marginal compressed bytes are near its own length repeats nothing known and is reported as `novel`.
+marginal compressed bytes are near its own length repeats nothing known and is reported as `novel`. Its own copies are
+left out of the text around it, so a secret that is printed again and again stays novel; every copy is reported.
 
 Edge cases: a null or empty text has no spans and the digest of the empty string; spans of one kind never overlap;
 `novel` spans never overlap those of the patterns; offsets are code points; very long texts are read in whole.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pandas as pd
 import zstandard
@@ -22,7 +24,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
-#: A candidate has so many characters at least, with a digit and a letter.
+#: A candidate has so many characters at least, not all of them digits.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"pass|secret|token|key|auth|credential|bearer|private|cert|login|pwd", re.IGNORECASE | re.ASCII)
 #: Characters before a candidate that are searched for a sensitive word, and those around it that it is compressed behind.
@@ -57,21 +59,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def value_of(candidate: str) -> tuple[int, int]:
+    """Place of the part behind the last inner `=`, if it is as long as a candidate; else of the whole without padding."""
+    end = len(candidate.rstrip("=")) or len(candidate)
+    start = candidate.rfind("=", 0, end) + 1
+    return (start, end) if end - start >= 16 else (0, end)
+
+
+def without(text: str, lo: int, hi: int, gone: list[tuple[int, int]]) -> str:
+    """text[lo:hi], a space in place of each of the sorted spans."""
+    out, k = [], max(0, bisect_left(gone, (lo, 0)) - 1)
+    for s, e in gone[k:]:
+        if s >= hi:
+            break
+        if e > lo:
+            out.append(text[lo : max(lo, s)])
+            lo = e
+    return " ".join([*out, text[lo:hi]])
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    out, k = [], 0
+    """Spans of every copy of the candidates whose value is novel where a sensitive word first precedes it."""
+    k = 0
     ends = sorted((s, e) for s, _, e in base)
+    copies: dict[str, list[tuple[int, int]]] = {}  # places of each value, those in pattern spans too
+    spans: dict[str, list[tuple[int, int]]] = {}  # what is reported for it
+    asked: dict[str, tuple[int, int]] = {}
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
+        c = m.group()
+        if c.isdigit():
+            continue
+        a, b = value_of(c)
+        value = c[a:b]
+        copies.setdefault(value, []).append((s + a, s + b))
         while k < len(ends) and ends[k][1] <= s:
             k += 1
-        if any(a < e and s < b for a, b in ends[k : k + 3]):
-            continue
-        c = m.group()
-        if not any(map(str.isdigit, c)) or c.isdigit() or not SENSITIVE.search(text, max(0, s - CONTEXT), s):
+        if any(x < e and s < y for x, y in ends[k : k + 3]):
             continue
-        if novelty(text[max(0, s - AROUND) : s] + text[e : e + AROUND], c) >= NOVELTY:
-            out.append((s, 3, e))
-    return out
+        spans.setdefault(value, []).append((s, e))
+        if value not in asked and SENSITIVE.search(text, max(0, s - CONTEXT), s):
+            asked[value] = s + a, s + b
+    out = []
+    for value, (s, e) in asked.items():
+        around = without(text, max(0, s - AROUND), e + AROUND, copies[value])
+        if novelty(around, value) >= NOVELTY:
+            out += [(x, 3, y) for x, y in spans[value]]
+    return sorted(out)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -71,6 +71,21 @@ def test_novel_secret():
     assert [text[s:e] for s, _, e in found] == ["Zq8Xv1Lk0Tb7Rw3Ny6Hd"]
 
 
+def test_repeated_secrets():
+    """Each copy of a novel secret is reported, however near, as are those of letters only; what repeats otherwise isn't."""
+    rng = np.random.default_rng(7)
+    signs = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    novelty = secretscan.Novelty()
+    for k, apart in enumerate([20, 100, 1000, 3000] * 5):
+        secret = "".join(rng.choice(signs[:52] if k % 2 else signs, 32))
+        text = f"Authorization: Bearer {secret}\n" + ("lorem ipsum " * 300)[:apart] + f"\nAuthorization: Bearer {secret}\n and auth={secret} " + "x" * 40
+        found = secretscan.novel_spans(text, [], novelty)
+        assert [text[s:e] for s, _, e in found] == [secret, secret, f"auth={secret}"]
+        base = [(0, 0, 22 + 32)]  # the first copy belongs to a pattern
+        assert len(secretscan.novel_spans(text, base, novelty)) == 2
+    assert secretscan.without("abcdef", 1, 5, [(0, 2), (3, 4)]) == " c e"
+
+
 def test_tokens(spark, folder):
     from tokenizers import Tokenizer
 
