@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayframe.llm.shared import cut, mix64
+from assayframe.llm.shared import cut, mix64, sized_broadcast
 
 #: Longest n-gram, in characters.
 ORDER = 5
@@ -175,6 +175,23 @@ def bucket_of(doc_id: str):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def lowest_texts(labelled: DataFrame, documents: int) -> DataFrame:
+    """lang, h, text and place: each language's distinct texts of the lowest hashes, `documents` of them or all it has.
+
+    Copies count once from the start. Distinct hashes are counted by their first 16 bits, and only those up to the range
+    in which the count reaches `documents` are ordered.
+    """
+    distinct = cut(labelled.select("lang", "h").distinct().withColumn("range", F.shiftrightunsigned("h", 48)), "langid-hashes")
+    ranges = distinct.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("lang").orderBy("range")) - F.col("n")
+    ranges = ranges.withColumn("before", before).where(F.col("before") < documents)
+    last = F.broadcast(ranges.groupBy("lang").agg(F.max("range").alias("last")))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("range", "h"))
+    low = distinct.join(last, "lang").where(F.col("range") <= F.col("last")).withColumn("place", place)
+    low = sized_broadcast(cut(low.where(F.col("place") <= documents).select("lang", "h", "place"), "langid-lowest"), 48)
+    return labelled.join(low, ["lang", "h"]).groupBy("lang", "h", "place").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPLE_WORDS, languages: int = MAX_LANGUAGES) -> dict:
     """Models and rejection limits from labelled docs (lang, text), as plain values that tasks can be sent.
 
@@ -184,14 +201,7 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPL
     known = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     if not known:
         return {"languages": [], "models": None, "limits": []}
-    # The lowest hashes of a language: a limit on the hash from its count first, so that only about as many are sorted.
-    sizes = labelled.where(F.col("lang").isin(known)).groupBy("lang").agg(F.count("*").alias("n"))
-    part = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), F.lit(2.0 * documents) / F.col("n")).alias("part")))
-    low = (F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) < F.col("part")
-    picked = labelled.join(part, "lang").where(low).select("lang", "h", "text")
-    # A third of all rows may be copies of one text, which counts once.
-    picked = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    picked = picked.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("place") <= documents)
+    picked = lowest_texts(labelled.where(F.col("lang").isin(known)), documents)
     picked = cut(picked, "langid-sample")
 
     counted = picked.mapInPandas(lambda it: _distinct_words(it, words), "lang string, word string, n long")

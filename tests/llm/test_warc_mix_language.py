@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayframe.llm import decontam, langid, mixing, neardup, tokens, warc
 
@@ -86,6 +87,20 @@ def test_language_edges(spark, docs_table):
     assert [r["lang_pred"] for r in langid.op10_language_id(spark, docs_table([(1, "text", None, None)])).collect()] == ["und"]
 
 
+def test_language_sample_of_copies(spark):
+    """Copies of one text neither thin the sample of its language nor count twice."""
+    rows = [("en", "copy")] * 4000 + [("en", f"text {i}") for i in range(100)] + [("de", f"wort {i}") for i in range(30)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    labelled = docs.select("lang", "text", F.xxhash64("text").alias("h"))
+    got = langid.lowest_texts(labelled, 40).collect()
+    for lang, most in (("en", 40), ("de", 30)):
+        order = sorted((r["h"] % 2**64, r["text"]) for r in labelled.where(F.col("lang") == lang).distinct().collect())
+        assert [(r["place"], r["text"]) for r in sorted(got, key=lambda r: r["place"]) if r["lang"] == lang] == [(i + 1, t) for i, (_, t) in enumerate(order[:most])]
+    learned = langid.train(docs, documents=40)
+    assert learned["languages"] == ["de", "en"]
+    assert {r["lang_pred"] for r in langid.identify(docs.where("text like 'text%'"), learned).collect()} == {"en"}
+
+
 def test_kneser_ney_sums_to_one():
     """Over all characters that can follow, probabilities add up to one, the floor's share aside."""
     models = langid.Models([{"aba": 3, "abc": 1, "ca": 2}])
