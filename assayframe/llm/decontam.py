@@ -86,10 +86,15 @@ def intersect(postings: DataFrame, anchors: DataFrame, k: int = ANCHORS, slop: i
     return found
 
 
+def row_key() -> Column:
+    """A hash of id and text."""
+    return F.sha1(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of id and text) and ws of each row; rows that repeat share a key."""
     text = docs.select("doc_id", "text")
-    return text.select("doc_id", F.sha1(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")).alias("key"), terms("text").alias("ws"))
+    return text.select("doc_id", row_key().alias("key"), terms("text").alias("ws"))
 
 
 def phrase_matches(docs: DataFrame, bench: DataFrame, n: int = WINDOW) -> tuple[DataFrame, DataFrame]:

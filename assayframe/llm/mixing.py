@@ -157,17 +157,17 @@ def round_classes(cells: DataFrame, cap: float = CAP) -> DataFrame:
     return lists.select("source", F.explode(F.aggregate("cells", start, take, lambda a: a["out"])).alias("c")).select("source", "c.*")
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, class and a hash that orders documents, from whole texts."""
+def document_sizes(docs: DataFrame, row: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, class, a hash that orders documents, from whole texts, and the columns `row`."""
     size = F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h")).withColumn(
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h"), *row).withColumn(
         "class", F.when(F.col("size") > 0, size_class(F.col("size").cast("double"))).otherwise(F.lit(0).cast("long"))
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken of every row of docs."""
-    sized = cut(document_sizes(docs), "mix-sizes")
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, row: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken and the columns `row` of every row of docs."""
+    sized = cut(document_sizes(docs, row), "mix-sizes")
     classes = cut(sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("tokens")), "mix-classes")
     targets = cut(
         with_targets(classes.groupBy("source").agg(F.sum("tokens").alias("source_size"), F.sum("n").alias("n_docs")), weights, share, cap),
@@ -199,7 +199,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
                 (F.col("now") - F.coalesce(F.lag("now").over(by_class), F.lit(0))).alias("quota"))
     )
     buckets = cut(buckets, "mix-buckets")
-    order = F.row_number().over(W.partitionBy("source", "class", "bucket").orderBy("h", "doc_id", "size"))
+    order = F.row_number().over(W.partitionBy("source", "class", "bucket").orderBy("h", "doc_id", "size", *row))
     out = (
         placed.withColumn("place", order)
         .join(buckets, F.col("source").eqNullSafe(F.col("bs")) & (F.col("class") == F.col("bc")) & (F.col("bucket") == F.col("bb")), "left")
@@ -207,7 +207,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     )
     return out.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"),
                       F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("rate", F.lit(0.0)).alias("rate"),
-                      "copies", (F.col("copies") * F.col("size")).alias("taken"))
+                      "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

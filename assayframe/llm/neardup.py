@@ -185,6 +185,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(keyed, own["doc_id"].eqNullSafe(keyed["_id"])).drop("_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def kept_rows(docs: DataFrame, row: str) -> DataFrame:
+    """The values of column `row`, a long that is unique and never null, of one row per group of near duplicates.
+
+    Rows are compared, not doc_ids, so rows of a null or repeated doc_id are told apart. Of a group the row of the least
+    doc_id stays, and of its rows the first by `row`; rows without shingles all stay.
+    """
+    groups = near_ids(docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    named = groups.join(docs.select(F.col(row).alias("_row"), F.col("doc_id").alias("_id")), "_row")
+    return named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("least")).select(F.col("least._row").alias(row))
+
+
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

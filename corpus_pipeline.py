@@ -1,4 +1,8 @@
-"""The training-data pipeline: five stages over documents, each written and read again before the next."""
+"""The training-data pipeline: five stages over documents, each written and read again before the next.
+
+Stages decide on rows, not on doc_ids, so a null or repeated doc_id joins nothing. `run` numbers the rows once in column
+ROW; a stage that is called on other documents writes them with numbers first.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,15 @@ from assayframe.llm import decontam, langid, mixing, neardup, tokens
 from assayframe.llm.shared import cut
 
 
+#: A unique number of each row.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with column ROW; written if they lack it, so that each reading gives the same numbers."""
+    return docs if ROW in docs.columns else cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language the models don't reject."""
     found = langid.identify(docs, langid.train(docs))
@@ -16,23 +29,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    return neardup.near_duplicates(docs).where("kept").select(*docs.columns)
+    """Keeps one row of each group of near duplicates."""
+    rows = numbered(docs)
+    return rows.join(neardup.kept_rows(rows, ROW), ROW, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that benchmark passages contaminate."""
+    """Drops the rows that benchmark passages contaminate; their key is a hash of id and text, on which alone it depends."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = decontam.contamination(docs, bench).where("contaminated").select("doc_id").distinct()
-    bad = cut(bad.withColumnRenamed("doc_id", "bad_id"), "pipeline-bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").select(*docs.columns)
+    bad = decontam.contamination(docs, bench).where("contaminated").select(F.col("key").alias("_key")).distinct()
+    bad = cut(bad, "pipeline-bad")
+    return docs.join(bad, decontam.row_key() == bad["_key"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source's words come near its target."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = copies.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"])).select(*[docs[c] for c in docs.columns])
+    """Repeats or leaves out rows so that each source's words come near its target."""
+    rows = numbered(docs)
+    copies = mixing.mix(rows, row=(ROW,)).where("copies > 0")
+    copies = copies.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    return rows.join(copies, ROW).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # The first stage reads its rows once into what it writes, so their numbers hold from there on.
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn(ROW, F.monotonically_increasing_id())
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

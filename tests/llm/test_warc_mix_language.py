@@ -131,3 +131,32 @@ def test_pipeline_stages(spark):
     rows = sorted(pipeline.STAGES[4][1](spark, mixed, sf).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in mixed.collect())
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:])) and tokens.END_ID == 2
+
+
+def test_pipeline_null_and_repeated_ids(spark, docs_table, table):
+    """Stages decide on rows: what a null or repeated doc_id shares with others doesn't matter."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stage = dict(pipeline.STAGES)
+    words = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    folder = docs_table([(None, words(1)), (None, words(2)), (7, words(1)), (7, words(3)), (8, words(4)), (8, words(4)), (None, words(5)), (None, words(5)), (9, "")])
+    table("benchmark", [("b", words(2))], "item_id string, text string")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=repr)
+    near = stage["near_duplicates"](spark, docs, folder)
+    assert near.columns == docs.columns
+    assert rows(near) == sorted([(None, words(2)), (7, words(1)), (7, words(3)), (8, words(4)), (None, words(5)), (9, "")], key=repr)
+    left = rows(docs)
+    left.remove((None, words(2)))
+    assert rows(stage["decontamination"](spark, docs, folder)) == left
+
+    sizes = [(None, words(k, 50 + k), None, "abc"[k % 3]) for k in range(60)] + [(5, words(k, 50 + k), None, "abc"[k % 3]) for k in range(60, 90)]
+    docs = spark.read.parquet(docs_table(sizes) + "/documents.parquet")
+    want = {}
+    for r in mixing.mix(docs.withColumn("t", F.col("text")), row=("t",)).collect():
+        want[r["t"]] = r["copies"]
+    got = {}
+    for _, t in rows(stage["mixing"](spark, docs, folder)):
+        got[t] = got.get(t, 0) + 1
+    # Rows of one size class and null id are alike for the plan, so only numbers of copies by source must agree.
+    by = lambda d: {s: sum(d.get(t, 0) for _, t, _, x in sizes if x == s) for s in "abc"}
+    assert by(got) == by(want) and len(set(by(got).values())) > 1
