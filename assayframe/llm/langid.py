@@ -5,8 +5,11 @@ lower case between word marks, so the probability of a word depends on the word
 words that they hold, each read once per task. Its n-grams are kept as sorted arrays of 64-bit hashes beside their log
 probabilities and back-off weights. The language of the lowest cross-entropy per character wins.
 
-Rejection is calibrated on the sample: a text is rejected if the winner's cross-entropy is above what all but a small
-part of the sample's texts of that language reach, plus a margin that is wider for short texts, or if the text has no letters.
+Every HELD-th text of the sample is left out of the models and calibrates rejection: from each, pieces of 1, 2, 4, ...
+characters are scored, and per language and length the limit is the conformal one: a text is rejected if at most
+REJECT_SHARE of the winner's pieces of its length, itself counted, reach its cross-entropy. No margin is added. Where a
+length has too few pieces to tell (below 1 / REJECT_SHARE - 1) the next shorter length's limit holds, and a language that
+has too few for any rejects nothing. Texts without letters are rejected.
 
 Edge cases: a null or empty text, or one without letters, is `und` with score 0 and rejected; without any labelled text
 everything is `und`; a single learned language always wins with score 1; ties go to the first language by code point;
@@ -15,6 +18,7 @@ null doc_id counts as the text "" for the hash; repeated rows get equal answers;
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -33,11 +37,12 @@ ORDER = 5
 SAMPLE_DOCUMENTS = 1500
 #: ... and of each at most so many distinct words count towards the models. Both bound training, not prediction.
 SAMPLE_WORDS = 400
-#: Share of the sample's own texts that may lie above the rejection limit, and the margin in bits per character.
-REJECT_SHARE = 0.001
-REJECT_MARGIN = 1.5
-#: Short texts vary more: the limit rises by so many bits over the root of the number of characters.
-REJECT_SPREAD = 10.0
+#: Of the sample's texts of a language every so many-th is left out of its model and calibrates rejection.
+HELD = 4
+#: Share of a language's unseen texts that may be rejected.
+REJECT_SHARE = 0.01
+#: Longest pieces that limits are calibrated for, as a power of two of characters.
+LONGEST = 16
 #: At most so many languages are learned, the most frequent first.
 MAX_LANGUAGES = 200
 #: Weight of a continuation in absolute discounting.
@@ -150,9 +155,8 @@ class Scorer:
         self.row: dict[str, int] = {}
         self.table = np.empty((0, models.languages + 1))
 
-    def texts(self, texts: list[str]) -> np.ndarray:
-        """Total bits of each text under each model, and its number of characters; zeros without letters."""
-        found = [words_of(t) for t in texts]
+    def words(self, found: list[list[str]]) -> Iterator[np.ndarray]:
+        """For each text's words a row of bits under each model and characters."""
         new = list(dict.fromkeys(w for ws in found for w in ws if w not in self.row))
         if len(self.row) + len(new) > self.remembered:
             self.row.clear()
@@ -163,7 +167,12 @@ class Scorer:
             parts = [self.models.score(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
             self.table = np.concatenate([self.table, *parts])
         look, table = self.row.__getitem__, self.table
-        return np.stack([table[np.fromiter(map(look, ws), np.int64, len(ws))].sum(axis=0) if ws else np.zeros(table.shape[1]) for ws in found]) if found else np.zeros((0, table.shape[1]))
+        return (table[np.fromiter(map(look, ws), np.int64, len(ws))] for ws in found)
+
+    def texts(self, texts: list[str]) -> np.ndarray:
+        """Total bits of each text under each model, and its number of characters; zeros without letters."""
+        sums = [rows.sum(axis=0) for rows in self.words([words_of(t) for t in texts])]
+        return np.stack(sums) if sums else np.zeros((0, self.models.languages + 1))
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -204,7 +213,7 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPL
     picked = lowest_texts(labelled.where(F.col("lang").isin(known)), documents)
     picked = cut(picked, "langid-sample")
 
-    counted = picked.mapInPandas(lambda it: _distinct_words(it, words), "lang string, word string, n long")
+    counted = picked.where(F.col("place") % HELD != 0).mapInPandas(lambda it: _distinct_words(it, words), "lang string, word string, n long")
     rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
     by_lang = {lang: dict(zip(own["word"], own["n"].astype(int), strict=True)) for lang, own in rows.groupby("lang")}
     langs = sorted(by_lang)
@@ -213,19 +222,39 @@ def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPL
     models = Models([by_lang[x] for x in langs])
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
-    def own_bits(frames):
+    def pieces(frames):
         scorer = Scorer(sent.value)
         for f in frames:
-            bits = scorer.texts(list(f["text"]))
-            per = bits[:, :-1] / np.maximum(bits[:, -1:], 1)
-            yield pd.DataFrame({"lang": f["lang"], "best": per.min(axis=1), "there": bits[:, -1] > 0})
-
-    limits = (
-        picked.select("lang", "text").mapInPandas(own_bits, "lang string, best double, there boolean").where("there")
-        .groupBy("lang").agg(F.percentile_approx("best", 1 - REJECT_SHARE, 10_000).alias("limit")).collect()
-    )
-    by = {r["lang"]: r["limit"] for r in limits}
-    return {"languages": langs, "models": models, "limits": [by.get(x, 0.0) + REJECT_MARGIN for x in langs]}
+            out = []
+            found = [turned(words_of(t), h) for t, h in zip(f["text"], f["h"], strict=True)]
+            for lang, rows in zip(f["lang"], scorer.words(found), strict=True):
+                sums = rows.cumsum(axis=0)
+                for size in range(LONGEST + 1):
+                    at = np.searchsorted(sums[:, -1], 1 << size)
+                    if at == len(sums):
+                        break
+                    out.append((lang, size, float(sums[at, :-1].min() / sums[at, -1])))
+            yield pd.DataFrame(out, columns=["lang", "size", "best"])
+
+    held = picked.where(F.col("place") % HELD == 0).select("lang", "h", "text")
+    found = held.mapInPandas(pieces, "lang string, size int, best double").groupBy("lang", "size").agg(F.sort_array(F.collect_list("best"), asc=False).alias("best"))
+    by = {(r["lang"], r["size"]): r["best"] for r in found.collect()}  # at most documents / HELD a list
+    return {"languages": langs, "models": models, "limits": [limits_of([by.get((x, i), []) for i in range(LONGEST + 1)]) for x in langs]}
+
+
+def turned(words: list[str], h: int) -> list[str]:
+    """The words from a place on that depends on h, then those before it, so that pieces don't all begin as texts do."""
+    at = h % len(words) if words else 0
+    return words[at:] + words[:at]
+
+
+def limits_of(pieces: list[list[float]], share: float = REJECT_SHARE) -> list[float]:
+    """Highest cross-entropy that isn't rejected, by length, from falling lists of those of unseen pieces."""
+    out = []
+    for best in pieces:
+        k = int(share * (len(best) + 1))
+        out.append(best[k - 1] if k else out[-1] if out else math.inf)
+    return out
 
 
 def _distinct_words(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
@@ -269,12 +298,13 @@ def identify(docs: DataFrame, learned: dict) -> DataFrame:
         low = per[np.arange(n), best]
         odds = np.exp2(-(per - low[:, None]) * np.minimum(chars, 200)[:, None])
         there = chars > 0
+        size = np.minimum(np.log2(np.maximum(chars, 1)).astype(np.int64), LONGEST)
         limits = np.array(sent.value[1])
         return pd.DataFrame({
             "lang_pred": np.where(there, np.array(names, object)[best], "und"),
             "score": np.where(there, 1 / odds.sum(axis=1), 0.0),
             "bits": np.where(there, low, np.nan),
-            "rejected": ~there | (low > limits[best] + REJECT_SPREAD / np.sqrt(np.maximum(chars, 1))),
+            "rejected": ~there | (low > limits[best, size]),
         })
 
     kind = "lang_pred string, score double, bits double, rejected boolean"

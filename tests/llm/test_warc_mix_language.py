@@ -101,6 +101,22 @@ def test_language_sample_of_copies(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.where("text like 'text%'"), learned).collect()} == {"en"}
 
 
+def test_language_left_out(spark):
+    """Texts of a language that isn't learned are rejected, unseen ones of learned languages hardly ever."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null")
+    docs = docs.where((F.length("text") > 200) & (F.xxhash64("text", F.lit("half")) % 3 == 0) | (langid.bucket_of("doc_id") != 2))
+    learned = langid.train(docs.where("lang <> 'de'"))
+    asked = docs.where(langid.bucket_of("doc_id") == 2)
+    found = {r["lang"]: r for r in langid.identify(asked, learned).groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share"), F.count("*").alias("n"), F.avg("bits").alias("bits")).collect()}
+    assert found["de"]["n"] > 50 and found["de"]["share"] >= 0.95
+    assert all(r["share"] <= 0.05 for x, r in found.items() if x != "de")
+
+
+def test_rejection_limits():
+    assert langid.limits_of([list(range(200, 1, -1)), [3.0] * 98, [9.0, 4.0] + [1.0] * 197], 0.01) == [199, 199, 4.0]
+    assert langid.limits_of([[5.0] * 98]) == [float("inf")]
+
+
 def test_kneser_ney_sums_to_one():
     """Over all characters that can follow, probabilities add up to one, the floor's share aside."""
     models = langid.Models([{"aba": 3, "abc": 1, "ca": 2}])
