@@ -1,6 +1,8 @@
 """Operator 10: language identification by interpolated Kneser-Ney character models.
 
-One model per language, trained on a bounded sample of labelled documents. A model reads words: runs of letters in
+One model per language, each value of `lang` that has a labelled document, trained on a bounded number of its documents;
+of these every distinct word counts once a document. Where the tables of all languages would grow too large, languages
+are dealt into groups that are learned and scored one after the other. A model reads words: runs of letters in
 lower case between word marks, so the probability of a word depends on the word alone and texts are scored by the
 words that they hold, each read once per task. Its n-grams are kept as sorted arrays of 64-bit hashes beside their log
 probabilities and back-off weights. The language of the lowest cross-entropy per character wins.
@@ -21,11 +23,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,18 +36,16 @@ from assayframe.llm.shared import cut, mix64, sized_broadcast
 
 #: Longest n-gram, in characters.
 ORDER = 5
-#: Per language the sample takes documents in the order of a hash of their text until it has so many ...
+#: Per language the sample takes documents in the order of a hash of their text until it has so many. It bounds training, not prediction.
 SAMPLE_DOCUMENTS = 1500
-#: ... and of each at most so many distinct words count towards the models. Both bound training, not prediction.
-SAMPLE_WORDS = 400
 #: Of the sample's texts of a language every so many-th is left out of its model and calibrates rejection.
 HELD = 4
 #: Share of a language's unseen texts that may be rejected.
 REJECT_SHARE = 0.01
 #: Longest pieces that limits are calibrated for, as a power of two of characters.
 LONGEST = 16
-#: At most so many languages are learned, the most frequent first.
-MAX_LANGUAGES = 200
+#: Languages are learned and scored in groups whose tables hold about so many values (n-grams times languages) at most.
+CELLS = 32_000_000
 #: Weight of a continuation in absolute discounting.
 DISCOUNT = 0.75
 #: Words whose scores a task remembers.
@@ -74,16 +75,24 @@ def word_grams(word: str, n: int) -> list[str]:
     return [marked[max(0, i - n + 1) : i + 1] for i in range(1, len(marked))]
 
 
-def kneser_ney(words: dict[str, int], order: int = ORDER) -> list[tuple[dict[str, float], dict[str, float]]]:
+def top_grams(words: dict[str, int], order: int = ORDER) -> dict[str, int]:
+    """Counts of the n-grams that predict each character with the longest context."""
+    out: dict[str, int] = {}
+    for word, count in words.items():
+        for g in word_grams(word, order):
+            out[g] = out.get(g, 0) + count
+    return out
+
+
+def kneser_ney(grams: dict[str, int], order: int = ORDER) -> list[tuple[dict[str, float], dict[str, float]]]:
     """For each n-gram length the discounted mass of each n-gram and the back-off weight of each context.
 
     p(c | context) = mass + weight(context) * p(c | shorter context). The longest n-grams, and those that begin at the
     start of a word, are counted; shorter ones count the distinct characters seen before them.
     """
     counts: list[dict[str, int]] = [{} for _ in range(order + 1)]
-    for word, count in words.items():
-        for g in word_grams(word, order):
-            counts[len(g)][g] = counts[len(g)].get(g, 0) + count
+    for g, count in grams.items():
+        counts[len(g)][g] = count
     for n in range(order, 1, -1):
         for g in counts[n]:
             counts[n - 1][g[1:]] = counts[n - 1].get(g[1:], 0) + 1
@@ -105,9 +114,11 @@ class Models:
     #: An unseen character is one of so many.
     FLOOR = 1.0 / 2**16
 
-    def __init__(self, words: list[dict[str, int]], order: int = ORDER):
-        self.order, self.languages = order, len(words)
-        parts = [kneser_ney(w, order) for w in words]
+    def __init__(self, words: list[dict[str, int]], order: int = ORDER, grams: list[dict[str, int]] | None = None):
+        """From each language's counts of words, or of its top_grams."""
+        grams = [top_grams(w, order) for w in words] if grams is None else grams
+        self.order, self.languages = order, len(grams)
+        parts = [kneser_ney(g, order) for g in grams]
         self.mass = [self._table([p[n][0] for p in parts], n + 1, 0.0) for n in range(order)]
         self.weight = [self._table([p[n][1] for p in parts], n, 1.0) for n in range(order)]
 
@@ -201,45 +212,65 @@ def lowest_texts(labelled: DataFrame, documents: int) -> DataFrame:
     return labelled.join(low, ["lang", "h"]).groupBy("lang", "h", "place").agg(F.min("text").alias("text"))
 
 
-def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, words: int = SAMPLE_WORDS, languages: int = MAX_LANGUAGES) -> dict:
-    """Models and rejection limits from labelled docs (lang, text), as plain values that tasks can be sent.
+def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, cells: int = CELLS) -> dict:
+    """Languages and rejection limits as plain values, and for each group of languages a broadcast of its models.
 
-    The sample holds at most `documents` texts per language and `words` distinct words of each, whatever the input.
+    The sample holds at most `documents` texts per language. The driver holds the models of one group at a time.
     """
+    spark = docs.sparkSession
     labelled = learnable(docs).select("lang", "text", F.xxhash64("text").alias("h"))
-    known = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not known:
-        return {"languages": [], "models": None, "limits": []}
-    picked = lowest_texts(labelled.where(F.col("lang").isin(known)), documents)
-    picked = cut(picked, "langid-sample")
-
-    counted = picked.where(F.col("place") % HELD != 0).mapInPandas(lambda it: _distinct_words(it, words), "lang string, word string, n long")
-    rows = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
-    by_lang = {lang: dict(zip(own["word"], own["n"].astype(int), strict=True)) for lang, own in rows.groupby("lang")}
-    langs = sorted(by_lang)
+    picked = cut(lowest_texts(labelled, documents), "langid-sample")
+    grams = picked.where(F.col("place") % HELD != 0).mapInPandas(_grams, "lang string, gram string, n long")
+    grams = cut(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    sizes = sorted((r["lang"], r["count"]) for r in grams.groupBy("lang").count().collect())  # a row a language
+    groups = grouped(sizes, cells)
+    models = []
+    for group in groups:
+        rows = grams.where(F.col("lang").isin(group)).toPandas()  # bounded by the group's size
+        by_lang = {lang: dict(zip(own["gram"], own["n"].astype(int), strict=True)) for lang, own in rows.groupby("lang")}
+        models.append(spark.sparkContext.broadcast(Models([], grams=[by_lang[x] for x in group])))
+        del rows, by_lang
+    langs = [x for group in groups for x in group]
     if not langs:
-        return {"languages": [], "models": None, "limits": []}
-    models = Models([by_lang[x] for x in langs])
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def pieces(frames):
-        scorer = Scorer(sent.value)
-        for f in frames:
-            out = []
-            found = [turned(words_of(t), h) for t, h in zip(f["text"], f["h"], strict=True)]
-            for lang, rows in zip(f["lang"], scorer.words(found), strict=True):
-                sums = rows.cumsum(axis=0)
-                for size in range(LONGEST + 1):
-                    at = np.searchsorted(sums[:, -1], 1 << size)
-                    if at == len(sums):
-                        break
-                    out.append((lang, size, float(sums[at, :-1].min() / sums[at, -1])))
-            yield pd.DataFrame(out, columns=["lang", "size", "best"])
+        return {"languages": [], "groups": [], "models": [], "limits": []}
+
+    def pieces_of(sent):
+        def pieces(frames):
+            scorer = Scorer(sent.value)
+            for f in frames:
+                out = []
+                found = [turned(words_of(t), h) for t, h in zip(f["text"], f["h"], strict=True)]
+                for lang, h, rows in zip(f["lang"], f["h"], scorer.words(found), strict=True):
+                    sums = rows.cumsum(axis=0)
+                    for size in range(LONGEST + 1):
+                        at = np.searchsorted(sums[:, -1], 1 << size)
+                        if at == len(sums):
+                            break
+                        out.append((lang, h, size, float(sums[at, :-1].min() / sums[at, -1])))
+                yield pd.DataFrame(out, columns=["lang", "h", "size", "best"])
+
+        return pieces
 
     held = picked.where(F.col("place") % HELD == 0).select("lang", "h", "text")
-    found = held.mapInPandas(pieces, "lang string, size int, best double").groupBy("lang", "size").agg(F.sort_array(F.collect_list("best"), asc=False).alias("best"))
-    by = {(r["lang"], r["size"]): r["best"] for r in found.collect()}  # at most documents / HELD a list
-    return {"languages": langs, "models": models, "limits": [limits_of([by.get((x, i), []) for i in range(LONGEST + 1)]) for x in langs]}
+    found = [cut(held.mapInPandas(pieces_of(m), "lang string, h long, size int, best double"), "langid-pieces") for m in models]
+    best = reduce(DataFrame.union, found).groupBy("lang", "h", "size").agg(F.min("best").alias("best"))
+    best = best.groupBy("lang", "size").agg(F.sort_array(F.collect_list("best"), asc=False).alias("best"))  # at most documents / HELD a list
+    # Of a list only the value at the limit's place leaves its task.
+    k = F.floor(F.lit(REJECT_SHARE) * (F.size("best") + 1)).cast("int")
+    by = {(r["lang"], r["size"]): r["limit"] for r in best.where(k > 0).select("lang", "size", F.element_at("best", k).alias("limit")).collect()}
+    return {"languages": langs, "groups": groups, "models": models, "limits": [limits_of([by.get((x, i)) for i in range(LONGEST + 1)]) for x in langs]}
+
+
+def grouped(sizes: list[tuple[str, int]], cells: int) -> list[list[str]]:
+    """Languages in order, a new group wherever n-grams times languages would exceed `cells`; one at least in each."""
+    out, total = [], 0
+    for lang, n in sizes:
+        if not out or (total + n) * (len(out[-1]) + 1) > cells:
+            out.append([])
+            total = 0
+        out[-1].append(lang)
+        total += n
+    return out
 
 
 def turned(words: list[str], h: int) -> list[str]:
@@ -248,23 +279,24 @@ def turned(words: list[str], h: int) -> list[str]:
     return words[at:] + words[:at]
 
 
-def limits_of(pieces: list[list[float]], share: float = REJECT_SHARE) -> list[float]:
-    """Highest cross-entropy that isn't rejected, by length, from falling lists of those of unseen pieces."""
+def limits_of(found: list[float | None]) -> list[float]:
+    """Highest cross-entropy that isn't rejected, by length; where there is none, that of the next shorter length."""
     out = []
-    for best in pieces:
-        k = int(share * (len(best) + 1))
-        out.append(best[k - 1] if k else out[-1] if out else math.inf)
+    for x in found:
+        out.append(x if x is not None else out[-1] if out else math.inf)
     return out
 
 
-def _distinct_words(frames: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+def _grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        out = {}
+        counts: dict[str, dict[str, int]] = {}
         for lang, text in zip(f["lang"], f["text"], strict=True):
-            for w in list(dict.fromkeys(words_of(text)))[:most]:
-                if len(w) <= 100:
-                    out[lang, w] = out.get((lang, w), 0) + 1
-        yield pd.DataFrame([(a, b, n) for (a, b), n in out.items()], columns=["lang", "word", "n"])
+            own = counts.setdefault(lang, {})
+            for w in set(words_of(text)):
+                own[w] = own.get(w, 0) + 1
+        for lang, own in counts.items():
+            grams = top_grams(own)
+            yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
 
 def identify(docs: DataFrame, learned: dict) -> DataFrame:
@@ -272,43 +304,70 @@ def identify(docs: DataFrame, learned: dict) -> DataFrame:
 
     The score is the winner's share among exp(-bits) of all languages over up to 200 characters' worth of evidence.
     """
-    spark: SparkSession = docs.sparkSession
-    names = learned["languages"]
-    sent = spark.sparkContext.broadcast((learned["models"], learned["limits"]))
-    state: dict = {}
-
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        n = len(texts)
-        if not names:
-            return pd.DataFrame({"lang_pred": ["und"] * n, "score": 0.0, "bits": np.nan, "rejected": True})
-        if "scorer" not in state:
-            state["scorer"] = Scorer(sent.value[0])
-        parts, some, size = [], [], 0
-        for t in texts:  # about a million characters at a time
-            some.append(t or "")
-            size += len(some[-1])
-            if size > 1_000_000:
-                parts.append(state["scorer"].texts(some))
-                some, size = [], 0
-        parts.append(state["scorer"].texts(some))
-        bits = np.concatenate(parts)
-        chars = bits[:, -1]
-        per = bits[:, :-1] / np.maximum(chars, 1)[:, None]
-        best = per.argmin(axis=1)
-        low = per[np.arange(n), best]
-        odds = np.exp2(-(per - low[:, None]) * np.minimum(chars, 200)[:, None])
-        there = chars > 0
-        size = np.minimum(np.log2(np.maximum(chars, 1)).astype(np.int64), LONGEST)
-        limits = np.array(sent.value[1])
-        return pd.DataFrame({
-            "lang_pred": np.where(there, np.array(names, object)[best], "und"),
-            "score": np.where(there, 1 / odds.sum(axis=1), 0.0),
-            "bits": np.where(there, low, np.nan),
-            "rejected": ~there | (low > limits[best, size]),
-        })
-
-    kind = "lang_pred string, score double, bits double, rejected boolean"
-    return docs.withColumn("_guess", F.pandas_udf(guess, kind)("text")).select(*[F.col(f"`{c}`") for c in docs.columns], "_guess.*")
+    names, groups = learned["languages"], learned["groups"]
+    limits = np.array(learned["limits"]).reshape(len(names), LONGEST + 1)
+    final = "lang_pred string, score double, bits double, rejected boolean"
+    if not names:
+        none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(float("nan")).alias("bits"), F.lit(True).alias("rejected"))
+        return docs.withColumn("_guess", none).select(*[F.col(f"`{c}`") for c in docs.columns], "_guess.*")
+
+    def guess_of(i: int):
+        """Scores group i; joins it to what earlier groups gave (winner, its bits, odds against it), and ends at the last."""
+        sent, before, state = learned["models"][i], sum(map(len, groups[:i])), {}
+
+        def guess(texts: pd.Series, earlier: pd.DataFrame | None = None) -> pd.DataFrame:
+            n = len(texts)
+            if "scorer" not in state:
+                state["scorer"] = Scorer(sent.value)
+            parts, some, size = [], [], 0
+            for t in texts:  # about a million characters at a time
+                some.append(t or "")
+                size += len(some[-1])
+                if size > 1_000_000:
+                    parts.append(state["scorer"].texts(some))
+                    some, size = [], 0
+            parts.append(state["scorer"].texts(some))
+            bits = np.concatenate(parts)
+            chars = bits[:, -1]
+            evidence = np.minimum(chars, 200)
+            per = bits[:, :-1] / np.maximum(chars, 1)[:, None]
+            best = per.argmin(axis=1)
+            low = per[np.arange(n), best]
+            odds = np.exp2(-(per - low[:, None]) * evidence[:, None]).sum(axis=1)
+            best = best + before
+            if earlier is not None:
+                was = earlier["low"].to_numpy()
+                least = np.minimum(was, low)
+                odds = odds * np.exp2((least - low) * evidence) + earlier["odds"].to_numpy() * np.exp2((least - was) * evidence)
+                best, low = np.where(was <= low, earlier["best"].to_numpy(), best), least
+            if i + 1 < len(groups):
+                return pd.DataFrame({"best": best, "low": low, "odds": odds})
+            there = chars > 0
+            size = np.minimum(np.log2(np.maximum(chars, 1)).astype(np.int64), LONGEST)
+            return pd.DataFrame({
+                "lang_pred": np.where(there, np.array(names, object)[best], "und"),
+                "score": np.where(there, 1 / odds, 0.0),
+                "bits": np.where(there, low, np.nan),
+                "rejected": ~there | (low > limits[best, size]),
+            })
+
+        if i == 0:
+            def first(texts: pd.Series) -> pd.DataFrame:
+                return guess(texts)
+
+            return first
+
+        def later(texts: pd.Series, earlier: pd.DataFrame) -> pd.DataFrame:
+            return guess(texts, earlier)
+
+        return later
+
+    out = docs
+    for i in range(len(groups)):
+        kind = final if i + 1 == len(groups) else "best long, low double, odds double"
+        # Each group's pass is written, so no task holds the models of two.
+        out = (cut(out, "langid-group") if i else out).withColumn("_guess", F.pandas_udf(guess_of(i), kind)("text", *["_guess"] * (i > 0)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_guess.*")
 
 
 def held_out(doc_id) -> bool:

@@ -113,8 +113,31 @@ def test_language_left_out(spark):
 
 
 def test_rejection_limits():
-    assert langid.limits_of([list(range(200, 1, -1)), [3.0] * 98, [9.0, 4.0] + [1.0] * 197], 0.01) == [199, 199, 4.0]
-    assert langid.limits_of([[5.0] * 98]) == [float("inf")]
+    assert langid.limits_of([None, 4.0, 3.0, None]) == [float("inf"), 4.0, 3.0, 3.0]
+
+
+def test_many_languages_and_long_texts(spark):
+    """No language is left out for its rank, and the end of a long text is learned as its beginning is."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"l{k:03}", f"{letters[k % 26]}{letters[k // 26]}{letters[k % 26]}q") for k in range(230)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * 6)], "doc_id long, lang string, text string")
+    found = langid.identify(docs, langid.train(docs)).select("lang", "lang_pred").distinct().collect()
+    assert len(found) == 230 and all(a == b for a, b in found)
+
+    same = " ".join(a + b + c for a in letters[:8] for b in letters[:8] for c in letters[:8])
+    ends = {"aa": "zyx yzx zxy", "bb": "uvw vuw wvu"}
+    docs = spark.createDataFrame([(i, lang, f"{same} {end}") for i in range(6) for lang, end in ends.items()], "doc_id long, lang string, text string")
+    asked = spark.createDataFrame(list(ends.items()), "lang string, text string")
+    assert all(a == b for a, b in langid.identify(asked, langid.train(docs)).select("lang", "lang_pred").collect())
+
+
+def test_groups_of_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, each = langid.train(docs), langid.train(docs, cells=1)
+    assert (len(one["groups"]), len(each["groups"])) == (1, len(each["languages"])) and one["languages"] == each["languages"]
+    a, b = (sorted(map(tuple, langid.identify(docs, x).select("doc_id", "lang_pred", "rejected", "score", "bits").collect()), key=repr) for x in (one, each))
+    assert [r[:3] for r in a] == [r[:3] for r in b]
+    assert [x for r in a for x in r[3:]] == pytest.approx([x for r in b for x in r[3:]], rel=1e-4, nan_ok=True)
 
 
 def test_kneser_ney_sums_to_one():
