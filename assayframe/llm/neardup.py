@@ -5,25 +5,28 @@
 3. Tokens are ordered by how many classes have them. Two classes that agree in MATCHES coordinates or more share one of
    each other's COORDINATES - MATCHES + 1 rarest tokens, so only that prefix is posted and the most frequent tokens,
    such as those of a passage that many documents quote, are skipped.
-4. Classes posted under a token are first tried against the list's first class of about their size. Links found join
-   classes to groups. Then the pairs of each list that are still in different groups are tried, so a large group of
-   near copies costs a link per member, not all its pairs, and no group is left apart.
-5. A try merges the skipped tokens in: the whole signatures are compared, and pairs of MATCHES or more are confirmed on
+4. A posting carries the low byte of every coordinate, so the skipped tokens are merged in where two postings meet: their
+   collisions are counted inside the join, and only pairs of MATCHES or more come out of it. Such pairs are confirmed on
    the full sets, 100 * intersection >= 75 * union.
+5. Lists are not paired off. First each class meets the first class of its most frequent list, which joins most of a
+   large group of near copies by a link per member. Then, in LEADER_ROUNDS rounds, the members of each list that are
+   outside its largest group meet one member of that group. What is still apart after that meets all other groups of its
+   lists, so no link between groups is left untried; members of one group never meet again.
 
-A pair at a similarity of exactly 0.75 agrees in fewer than MATCHES = 24 of 64 coordinates with probability 1e-10; it is
-this that could lose a link, nothing else is capped.
+A pair at a similarity of exactly 0.75 agrees in fewer than MATCHES = 24 of 64 coordinates with probability 5e-11; it is
+this that could lose a link, nothing else is capped. Low bytes that agree by chance only add pairs to confirm.
 
 Edge cases: null, empty or blank texts have no shingles, no links, and are kept; fewer words than a shingle form one
 shingle; equal texts and repeated rows link; among repeated doc_ids all rows get one component; a null doc_id links
-with nothing and its component is null; very long texts are read in whole; other columns stay in `near_duplicates`.
+with nothing and its component is null; very long texts are read in whole; other columns stay in `near_duplicates`, but
+columns of its own names are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.components import components
@@ -33,6 +36,13 @@ SHINGLE = 5
 COORDINATES = 64
 MATCHES = 24
 SIMILARITY = 75
+#: Rounds in which the open members of each list meet a member of its largest group. They only save work.
+LEADER_ROUNDS = 2
+#: Low bytes of the coordinates lie in lanes of 9 bits, 7 to a long, so that a sum never runs into the next lane.
+LANE, LANES = 9, 7
+LONGS = -(-COORDINATES // LANES)
+FULL = sum(0xFF << (LANE * i) for i in range(LANES))
+TOP = sum(1 << (LANE * i + 8) for i in range(LANES))
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SALTS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -60,8 +70,23 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def low_bytes(sig: np.ndarray) -> np.ndarray:
+    """The low byte of each coordinate, packed into lanes."""
+    lanes = np.zeros(LONGS * LANES, np.int64)
+    lanes[:COORDINATES] = sig & 0xFF
+    return (lanes.reshape(LONGS, LANES) << (LANE * np.arange(LANES))).sum(axis=1)
+
+
+def collisions(x: str, y: str) -> Column:
+    """Coordinates whose low bytes agree; a lane of the difference, plus 255, reaches its top bit unless it is zero."""
+    apart = sum(
+        (F.bit_count((F.col(x)[i].bitwiseXOR(F.col(y)[i]) + F.lit(FULL)).bitwiseAND(F.lit(TOP))) for i in range(LONGS)), F.lit(0)
+    )
+    return F.lit(COORDINATES) - apart
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set in two longs, and the signature (null for empty sets)."""
+    """doc_id, n_shingles, a 128-bit digest of the set in two longs, the signature and its low bytes (null for empty sets)."""
 
     def run(batches):
         import xxhash
@@ -70,15 +95,21 @@ def signed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingles(t, hashes) for t in part.column(1).to_pylist()]
-                keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
+                sizes, keys, sigs, lows = [], [], [], []
+                for t in part.column(1).to_pylist():
+                    found = shingles(t, hashes)
+                    sizes.append(len(found))
+                    keys.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64))
+                    sigs.append(signature(found) if len(found) else None)
+                    lows.append(low_bytes(sigs[-1]) if len(found) else None)
+                key = np.array(keys).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()),
-                     pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sig"],
+                    [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()),
+                     pa.array(sigs, pa.list_(pa.int32())), pa.array(lows, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "k1", "k2", "sig", "low"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>, low array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -96,26 +127,19 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def postings(sigs: DataFrame) -> DataFrame:
-    """(token, c, n): each class under the rarest COORDINATES - MATCHES + 1 of its tokens, if another class has them."""
+    """(token, df, c, low): each class under the rarest COORDINATES - MATCHES + 1 of its tokens, if another class has them."""
     token = F.expr("transform(sig, (v, i) -> (cast(i as bigint) << 32) | (cast(v as bigint) & 4294967295L))")
-    every = sigs.select("c", "n", F.col("k1").alias("k"), F.explode(token).alias("token"))
+    every = sigs.select("c", F.explode(token).alias("token"))
     common = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = every.join(common, "token")
-    lists = shared.groupBy("c", "n", "k").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))  # at most COORDINATES each
+    lists = every.join(common, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))  # at most COORDINATES each
     # Tokens that nobody else has are the rarest of all, and take places of the prefix.
     room = F.size("ts") - (MATCHES - 1)
-    return lists.where(room > 0).select("c", "n", F.explode(F.slice("ts", 1, room)).alias("t")).select("c", "n", F.col("t.token").alias("token"))
-
+    lists = lists.where(room > 0).select("c", F.slice("ts", 1, room).alias("ts")).join(sigs.select("c", "low"), "c")
+    return lists.select("c", "low", F.explode("ts").alias("t")).select("t.token", "t.df", "c", "low")
 
-def confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that agree in MATCHES coordinates and whose full sets are similar enough.
 
-    Only texts of pairs that pass the first test are read and shingled again.
-    """
-    sa = sigs.select(F.col("c").alias("a"), F.col("sig").alias("sa"))
-    sb = sigs.select(F.col("c").alias("b"), F.col("sig").alias("sb"))
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = cut(pairs.join(sa, "a").join(sb, "b").where(agree >= MATCHES).select("a", "b").distinct(), "near-likely")
+def confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b), already cut, whose full sets are similar enough. Only their texts are shingled again."""
     wanted = cut(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
     texts = docs.select("doc_id", "text").join(sized_broadcast(wanted, 16), "doc_id", "left_semi")
     found = shingle_sets(texts)
@@ -129,45 +153,76 @@ def confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def alike_in_size(na: str, nb: str):
-    return 100 * F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)
+def pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def open_lists(posted: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Postings, with group g, of the lists that hold more than one group."""
+    own = groups.select(F.col("node").alias("c"), F.col("component").alias("g"))
+    grouped = posted.join(own, "c", "left").select("token", "c", "low", F.coalesce("g", "c").alias("g"))
+    several = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
+    return cut(grouped.join(several, "token"), "near-open")
+
+
+def main_groups(lists: DataFrame, turn: int) -> DataFrame:
+    """Per list its largest group, and a member of it that depends on the turn."""
+    member = F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "low")).alias("one")
+    sizes = lists.groupBy("token", "g").agg(F.count("*").alias("n"), member)
+    most = sizes.groupBy("token").agg(F.max(F.struct("n", "g", "one")).alias("most"))
+    return most.select("token", F.col("most.g").alias("main"), F.col("most.one.c").alias("lead"), F.col("most.one.low").alias("lead_low"))
 
 
 def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Groups of classes: node and component, for classes with a link. sigs: c, n, k1, sig."""
+    """Groups of classes: node and component, for classes with a link. sigs: c, sig, low."""
     posted = cut(postings(sigs), "near-postings")
-    # Lists are cut up by size, and the classes of one size step are tried against the first of them. This finds most
-    # links; the next step finds the others.
-    step = F.floor(F.log2(F.col("n")) * 3)
-    steps = posted.withColumn("step", step)
-    leaders = steps.groupBy("token", "step").agg(F.min(F.struct("c", "n")).alias("lead")).select("token", "step", F.col("lead.c").alias("a"), F.col("lead.n").alias("na"))
-    tried = steps.join(leaders, ["token", "step"]).where((F.col("a") != F.col("c")) & alike_in_size("na", "n"))
-    tried = cut(tried.select("a", F.col("c").alias("b")).distinct(), "near-tried")
-    first = confirmed(tried, sigs, docs)
-    groups = components(first)
-
-    grouped = posted.join(groups, posted["c"] == groups["node"], "left").select("token", "c", "n", F.coalesce("component", "c").alias("g"))
-    # Lists with one group left need no more tries.
-    several = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
-    left = cut(grouped.join(several, "token"), "near-open")
-    x = left.select("token", F.col("c").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-    y = left.select("token", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    rest = (
-        x.join(y, "token").where((F.col("ga") < F.col("gb")) & alike_in_size("na", "nb"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    tested = []
+
+    def step(groups: DataFrame | None, met: DataFrame) -> DataFrame:
+        """Groups after the pairs of `met` that weren't tested before are confirmed."""
+        for old in tested:
+            met = met.join(old, ["a", "b"], "left_anti")
+        likely = cut(met.distinct(), "near-likely")
+        tested.append(likely)
+        if likely.isEmpty():
+            return groups
+        links = confirmed(likely, docs)
+        if groups is not None:
+            if links.isEmpty():
+                return groups
+            links = links.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return cut(components(links), "near-groups")
+
+    top = posted.groupBy("c").agg(F.max(F.struct("df", "token")).alias("t"), F.first("low").alias("low")).select("c", "low", "t.token")
+    top = cut(top, "near-top")
+    leads = top.groupBy("token").agg(F.min(F.struct("c", "low")).alias("one")).select("token", F.col("one.c").alias("lead"), F.col("one.low").alias("lead_low"))
+    first = top.join(leads, "token").where((F.col("c") != F.col("lead")) & (collisions("low", "lead_low") >= MATCHES))
+    groups = step(None, first.select(*pair("c", "lead")))
+    if groups is None:
+        groups = cut(sigs.select(F.col("c").alias("node"), F.col("c").alias("component")).where("false"), "near-groups")
+
+    for turn in range(LEADER_ROUNDS):
+        lists = open_lists(posted, groups)
+        if lists.isEmpty():
+            return groups
+        met = lists.join(main_groups(lists, turn), "token").where((F.col("g") != F.col("main")) & (collisions("low", "lead_low") >= MATCHES))
+        groups = step(groups, met.select(*pair("c", "lead")))
+
+    lists = open_lists(posted, groups)
+    lists = cut(lists.join(main_groups(lists, 0).select("token", "main"), "token"), "near-left")
+    x = lists.where("g <> main").select("token", F.col("c").alias("x"), F.col("g").alias("gx"), F.col("low").alias("lx"), "main")
+    y = lists.select("token", F.col("c").alias("y"), F.col("g").alias("gy"), F.col("low").alias("ly"))
+    met = x.join(y, "token").where(
+        (F.col("gx") != F.col("gy")) & ((F.col("gy") == F.col("main")) | (F.col("gx") < F.col("gy"))) & (collisions("lx", "ly") >= MATCHES)
     )
-    rest = cut(rest, "near-rest")
-    if rest.isEmpty():
-        return groups
-    second = confirmed(rest, sigs, docs)
-    return groups if second.isEmpty() else components(first.union(second))
+    return step(groups, met.select(*pair("x", "y")))
 
 
 def near_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, a row per row of docs."""
     every = cut(signed(docs), "near-signed")
     some = every.where("n_shingles > 0 and doc_id is not null")
-    sigs = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    sigs = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("c"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     sigs = cut(sigs, "near-signatures")
     groups = class_groups(sigs, docs)
     placed = sigs.join(groups, sigs["c"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "c").alias("component_id"))
@@ -180,9 +235,11 @@ def near_ids(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with n_shingles, component_id and kept (doc_id = component_id); rows of one doc_id get one answer."""
     keyed = near_ids(docs).groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    keyed = keyed.withColumnRenamed("doc_id", "_id")
-    own = docs.drop("n_shingles", "component_id", "kept")
-    return own.join(keyed, own["doc_id"].eqNullSafe(keyed["_id"])).drop("_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keyed = keyed.select(F.struct("doc_id", "n_shingles", "component_id").alias("found"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(keyed, F.col("row.doc_id").eqNullSafe(F.col("found.doc_id")))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
+    return joined.select(*own, "found.n_shingles", "found.component_id", F.col("row.doc_id").eqNullSafe(F.col("found.component_id")).alias("kept"))
 
 
 def kept_rows(docs: DataFrame, row: str) -> DataFrame:
