@@ -8,10 +8,13 @@
 4. A posting carries the low byte of every coordinate, so the skipped tokens are merged in where two postings meet: their
    collisions are counted inside the join, and only pairs of MATCHES or more come out of it. Such pairs are confirmed on
    the full sets, 100 * intersection >= 75 * union.
-5. Lists are not paired off. First each class meets the first class of its most frequent list, which joins most of a
-   large group of near copies by a link per member. Then, in LEADER_ROUNDS rounds, the members of each list that are
-   outside its largest group meet one member of that group. What is still apart after that meets all other groups of its
-   lists, so no link between groups is left untried; members of one group never meet again.
+5. Lists are not paired off. First each class meets the most central class of its most frequent list, which joins most
+   of a large group of near copies by a link per member. Then the members of each list that are outside its largest group
+   meet the most central member of that group. Central is who has the most frequent tokens, so few words of its own.
+6. What is still apart is held against an exact bound: of the shingles of a class, those that no other group of the open
+   lists has can't be in an intersection. The others are ordered by how many open classes have them, and two classes of a
+   similarity of 0.75 share one of each other's rarest, so only that prefix is posted, and its lists are those that are
+   paired off between groups. Members of one group never meet again, and no link between groups is left untried.
 
 A pair at a similarity of exactly 0.75 agrees in fewer than MATCHES = 24 of 64 coordinates with probability 5e-11; it is
 this that could lose a link, nothing else is capped. Low bytes that agree by chance only add pairs to confirm.
@@ -36,8 +39,6 @@ SHINGLE = 5
 COORDINATES = 64
 MATCHES = 24
 SIMILARITY = 75
-#: Rounds in which the open members of each list meet a member of its largest group. They only save work.
-LEADER_ROUNDS = 2
 #: Low bytes of the coordinates lie in lanes of 9 bits, 7 to a long, so that a sum never runs into the next lane.
 LANE, LANES = 9, 7
 LONGS = -(-COORDINATES // LANES)
@@ -127,15 +128,16 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def postings(sigs: DataFrame) -> DataFrame:
-    """(token, df, c, low): each class under the rarest COORDINATES - MATCHES + 1 of its tokens, if another class has them."""
+    """(token, df, c, w, n, low): each class under the rarest COORDINATES - MATCHES + 1 of its tokens, if another class has
+    them. w is the sum of df over all its tokens."""
     token = F.expr("transform(sig, (v, i) -> (cast(i as bigint) << 32) | (cast(v as bigint) & 4294967295L))")
     every = sigs.select("c", F.explode(token).alias("token"))
     common = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    lists = every.join(common, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))  # at most COORDINATES each
+    lists = every.join(common, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"), F.sum("df").alias("w"))  # at most COORDINATES each
     # Tokens that nobody else has are the rarest of all, and take places of the prefix.
     room = F.size("ts") - (MATCHES - 1)
-    lists = lists.where(room > 0).select("c", F.slice("ts", 1, room).alias("ts")).join(sigs.select("c", "low"), "c")
-    return lists.select("c", "low", F.explode("ts").alias("t")).select("t.token", "t.df", "c", "low")
+    lists = lists.where(room > 0).select("c", "w", F.slice("ts", 1, room).alias("ts")).join(sigs.select("c", "n", "low"), "c")
+    return lists.select("c", "w", "n", "low", F.explode("ts").alias("t")).select("t.token", "t.df", "c", "w", "n", "low")
 
 
 def confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
@@ -157,24 +159,51 @@ def pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def open_lists(posted: DataFrame, groups: DataFrame | None) -> DataFrame:
+def in_several(lists: DataFrame) -> DataFrame:
+    """Rows of the lists that hold more than one group."""
+    several = lists.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
+    return lists.join(several, "token")
+
+
+def open_lists(posted: DataFrame, groups: DataFrame) -> DataFrame:
     """Postings, with group g, of the lists that hold more than one group."""
     own = groups.select(F.col("node").alias("c"), F.col("component").alias("g"))
-    grouped = posted.join(own, "c", "left").select("token", "c", "low", F.coalesce("g", "c").alias("g"))
-    several = grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
-    return cut(grouped.join(several, "token"), "near-open")
+    grouped = posted.join(own, "c", "left").select("token", "c", "w", "n", "low", F.coalesce("g", "c").alias("g"))
+    return cut(in_several(grouped), "near-open")
+
+
+def central() -> Column:
+    """Of several classes the one with the most frequent tokens, then of the least id."""
+    return F.max_by(F.struct("c", "low"), F.struct(F.col("w"), -F.col("c")))
 
 
-def main_groups(lists: DataFrame, turn: int) -> DataFrame:
-    """Per list its largest group, and a member of it that depends on the turn."""
-    member = F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "low")).alias("one")
-    sizes = lists.groupBy("token", "g").agg(F.count("*").alias("n"), member)
-    most = sizes.groupBy("token").agg(F.max(F.struct("n", "g", "one")).alias("most"))
+def main_groups(lists: DataFrame) -> DataFrame:
+    """Per list its largest group, and the group's most central member."""
+    sizes = lists.groupBy("token", "g").agg(F.count("*").alias("k"), central().alias("one"))
+    most = sizes.groupBy("token").agg(F.max(F.struct("k", "g", "one")).alias("most"))
     return most.select("token", F.col("most.g").alias("main"), F.col("most.one.c").alias("lead"), F.col("most.one.low").alias("lead_low"))
 
 
+def rare_shingles(lists: DataFrame, docs: DataFrame) -> DataFrame:
+    """Postings like those of `lists`, their tokens being the rarest shingles of each class that another group has too."""
+    least = lists.groupBy("token").agg(F.min("n").alias("m"))
+    members = lists.join(least, "token").groupBy("c", "g").agg(F.first("w").alias("w"), F.first("n").alias("n"), F.min("m").alias("m"), F.first("low").alias("low"))
+    members = cut(members, "near-members")
+    texts = docs.select("doc_id", "text").join(sized_broadcast(members.select(F.col("c").alias("doc_id")), 16), "doc_id", "left_semi")
+    sets = shingle_sets(texts).select("c", F.explode("set").alias("token")).distinct()
+    rows = cut(sets.join(members.select("c", "g"), "c").select("token", "c", "g"), "near-shingles")
+    common = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token", "df")
+    ranked = rows.join(common, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))  # a text's own shingles
+    # An intersection is 3/7 of both sizes at least; a partner is no smaller than the least class of the lists that are
+    # shared with it, nor than 0.75 of the class.
+    partner = F.greatest(F.col("m"), F.ceil(F.col("n") * SIMILARITY / 100))
+    room = F.size("ts") - F.ceil(SIMILARITY * (F.col("n") + partner) / (100 + SIMILARITY)) + 1
+    found = ranked.join(members, "c").where(room > 0).select("c", "g", "w", "n", "low", F.explode(F.slice("ts", F.lit(1), room.cast("int"))).alias("t"))
+    return cut(in_several(found.select("t.token", "c", "g", "w", "n", "low")), "near-rare")
+
+
 def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Groups of classes: node and component, for classes with a link. sigs: c, sig, low."""
+    """Groups of classes: node and component, for classes with a link. sigs: c, n, sig, low."""
     posted = cut(postings(sigs), "near-postings")
     tested = []
 
@@ -193,23 +222,23 @@ def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
             links = links.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return cut(components(links), "near-groups")
 
-    top = posted.groupBy("c").agg(F.max(F.struct("df", "token")).alias("t"), F.first("low").alias("low")).select("c", "low", "t.token")
+    top = posted.groupBy("c").agg(F.max_by(F.struct("token", "w", "low"), F.struct("df", "token")).alias("t")).select("c", "t.*")
     top = cut(top, "near-top")
-    leads = top.groupBy("token").agg(F.min(F.struct("c", "low")).alias("one")).select("token", F.col("one.c").alias("lead"), F.col("one.low").alias("lead_low"))
+    leads = top.groupBy("token").agg(central().alias("one")).select("token", F.col("one.c").alias("lead"), F.col("one.low").alias("lead_low"))
     first = top.join(leads, "token").where((F.col("c") != F.col("lead")) & (collisions("low", "lead_low") >= MATCHES))
     groups = step(None, first.select(*pair("c", "lead")))
     if groups is None:
         groups = cut(sigs.select(F.col("c").alias("node"), F.col("c").alias("component")).where("false"), "near-groups")
 
-    for turn in range(LEADER_ROUNDS):
-        lists = open_lists(posted, groups)
-        if lists.isEmpty():
-            return groups
-        met = lists.join(main_groups(lists, turn), "token").where((F.col("g") != F.col("main")) & (collisions("low", "lead_low") >= MATCHES))
-        groups = step(groups, met.select(*pair("c", "lead")))
+    lists = open_lists(posted, groups)
+    met = lists.join(main_groups(lists), "token").where((F.col("g") != F.col("main")) & (collisions("low", "lead_low") >= MATCHES))
+    groups = step(groups, met.select(*pair("c", "lead")))
 
     lists = open_lists(posted, groups)
-    lists = cut(lists.join(main_groups(lists, 0).select("token", "main"), "token"), "near-left")
+    if lists.isEmpty():
+        return groups
+    lists = rare_shingles(lists, docs)
+    lists = cut(lists.join(main_groups(lists).select("token", "main"), "token"), "near-left")
     x = lists.where("g <> main").select("token", F.col("c").alias("x"), F.col("g").alias("gx"), F.col("low").alias("lx"), "main")
     y = lists.select("token", F.col("c").alias("y"), F.col("g").alias("gy"), F.col("low").alias("ly"))
     met = x.join(y, "token").where(
@@ -222,7 +251,7 @@ def near_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, a row per row of docs."""
     every = cut(signed(docs), "near-signed")
     some = every.where("n_shingles > 0 and doc_id is not null")
-    sigs = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("c"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    sigs = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     sigs = cut(sigs, "near-signatures")
     groups = class_groups(sigs, docs)
     placed = sigs.join(groups, sigs["c"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "c").alias("component_id"))
