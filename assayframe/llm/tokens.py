@@ -14,6 +14,7 @@ doc_id comes first and has a flag of its own; a document longer than a shard is
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -36,10 +37,12 @@ HEADER = struct.Struct("<8sIIQQ")
 LEAST_PAIRS = 16
 #: First nonterminal; above any id of the public tokenizers.
 FIRST_RULE = 1 << 20
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Bytes of text that are encoded together, one text at least; a task holds a few times as much beside its shard.
+ENCODE_BYTES = 1 << 20
 #: Pairs are counted roughly in so many bins (a power of two) before they are counted exactly.
 PAIR_BITS = 20
-ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD, OTHER_ODD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -56,6 +59,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Tasks are Spark's unit of work: threads of the library's own would only compete with other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,13 +78,26 @@ class Encoder:
             self.forget()
             new = [w for w in words if w]
         for i in range(0, len(new), 10_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.row.update(zip(new[i : i + 10_000], range(len(self.sizes), len(self.sizes) + len(found)), strict=True))
+            some = new[i : i + 10_000]
+            sizes, ids = self.encode_words(some)
+            self.row.update(zip(some, range(len(self.sizes), len(self.sizes) + len(some)), strict=True))
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, ids])
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
+    def encode_words(self, words: list[str], together: int = 100) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids. Words go in as lines of several, and each id's place tells its word."""
+        parts = [words[i : i + together] for i in range(0, len(words), together)]
+        found = self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)
+        # Places count on over all lines; a word's places end with the space behind it.
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        begin = ends[[together * k - 1 for k in range(1, len(parts))]].tolist()
+        begin.insert(0, 0)
+        counts = [len(e.ids) for e in found]
+        at = np.fromiter((a for e in found for a, _ in e.offsets), np.int64, sum(counts)) + np.repeat(begin, counts)
+        sizes = np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(words))
+        return sizes, np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, len(at))
+
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (nulls are empty), its end id last."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -100,43 +118,44 @@ def re_pair(ids: np.ndarray, last: np.ndarray, least: int = LEAST_PAIRS) -> tupl
     Each round counts the adjacent pairs and gives a rule to all that occur `least` times. Where chosen pairs overlap the
     more frequent one is replaced, and the leftmost of a run; a rule that is left with too few places is dropped.
     """
-    sym, rules, n_rules = ids.astype(np.int64), [], 0
+    sym, rules, n_rules = ids.astype(np.uint32), [], 0
+    none = 1 << PAIR_BITS  # bin of pairs that reach over a document's end
     while len(sym) > 1:
-        keys = (sym[:-1] << 32) | sym[1:]
-        inside = np.flatnonzero(~last[:-1])
         # Counts of hashed pairs are never too small, so only pairs that may reach the bound need to be sorted.
-        bins = ((keys[inside].view(np.uint64) * ODD) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
-        rough = np.bincount(bins, minlength=1)
+        bins = (sym[:-1] * ODD ^ sym[1:] * OTHER_ODD) >> np.uint32(32 - PAIR_BITS)
+        bins[last[:-1]] = none
+        rough = np.bincount(bins, minlength=none + 1)
+        rough[none] = 0
         most = int(rough.max())
         # Only the upper part of the pairs each round, so that frequent pairs come first as in one-by-one replacement.
         while True:
             bound = max(least, most // 16)
-            some = inside[rough[bins] >= bound]
-            kinds, back, counts = np.unique(keys[some], return_inverse=True, return_counts=True)
+            at = np.flatnonzero((rough >= bound)[bins])
+            kinds, back, counts = np.unique(sym[at].astype(np.uint64) << np.uint64(32) | sym[at + 1], return_inverse=True, return_counts=True)
             if bound == least or (len(counts) and counts.max() >= bound):
                 break
             most = bound
-        inside = some
         if not len(counts) or counts.max() < least:
             break
-        score = np.zeros(len(keys) + 2, np.int64)  # ranks of chosen pairs; 0 for none
-        rank = np.zeros(len(kinds), np.int64)
+        rank = np.zeros(len(kinds), np.int64)  # of chosen pairs; 0 for none
         good = np.flatnonzero(counts >= bound)
         rank[good[np.argsort(counts[good], kind="stable")]] = np.arange(1, len(good) + 1)
-        score[1:-1][inside] = rank[back]
-        mid = score[1:-1]
-        take = (mid > 0) & (mid > score[:-2]) & (mid >= score[2:])
-        at = np.flatnonzero(take)
-        name = mid[at]
+        score = rank[back]
+        at, score = at[score > 0], score[score > 0]
+        beside = np.diff(at) == 1
+        before = np.concatenate([[0], np.where(beside, score[:-1], 0)])
+        after = np.append(np.where(beside, score[1:], 0), 0)
+        take = (score > before) & (score >= after)
+        at, name = at[take], score[take]
         used, new, n = np.unique(name, return_inverse=True, return_counts=True)
         worth = n >= max(2, least // 2)
         if not worth.any():
             break
         number = np.cumsum(worth) - 1
-        by_rank = np.zeros(len(good) + 1, np.int64)
+        by_rank = np.zeros(len(good) + 1, np.uint64)
         by_rank[rank[good]] = kinds[good]
         pairs = by_rank[used[worth]]
-        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1))
         ok = worth[new]
         at = at[ok]
         sym[at] = FIRST_RULE + n_rules + number[new[ok]]
@@ -145,8 +164,8 @@ def re_pair(ids: np.ndarray, last: np.ndarray, least: int = LEAST_PAIRS) -> tupl
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         sym, last = sym[keep], last[keep]
-    table = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
-    return sym.astype(np.uint32), table.astype(np.uint32), last
+    table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint64)
+    return sym, table.astype(np.uint32), last
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:
@@ -178,6 +197,7 @@ class Shard:
     """A shard's file, opened; documents are decoded one by one."""
 
     def __init__(self, data: bytes):
+        self.flat = None
         magic, self.base, n_rules, n_symbols, n_docs = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("no token shard")
@@ -197,15 +217,23 @@ class Shard:
         self.start = np.append(take(np.uint64, n_docs), take(np.uint64, 1)).astype(np.int64)
 
     def expand(self, sym: np.ndarray) -> np.ndarray:
-        """All tokens of symbols: each pass opens every nonterminal by one rule."""
-        while (rule := sym >= self.base).any():
-            pos = np.cumsum(np.where(rule, 2, 1))
-            out = np.empty(pos[-1], np.uint32)
-            out[(pos - 1)[~rule]] = sym[~rule]
-            pair = self.rules[sym[rule] - self.base]
-            out[(pos - 2)[rule]], out[(pos - 1)[rule]] = pair[:, 0], pair[:, 1]
-            sym = out
-        return sym
+        """All tokens of symbols; what each rule stands for is written out once."""
+        if self.flat is None:
+            parts: list[np.ndarray] = []
+            for pair in self.rules.tolist():
+                parts.append(np.concatenate([parts[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in pair]))
+            self.flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+            self.offset = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        at = np.flatnonzero(sym >= self.base)
+        rule = sym[at] - self.base
+        size = np.ones(len(sym), np.int64)
+        size[at] = n = self.lengths[rule].astype(np.int64)
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        out[first] = sym
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(first[at], n) + step] = self.flat[np.repeat(self.offset[rule], n) + step]
+        return out
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.first[k] : self.first[k + 1]])
@@ -224,6 +252,16 @@ class Shard:
         raise IndexError(i)
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose strings in a column have about `most` bytes together, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = np.cumsum(size) // most
+    edge = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
+
+
 INDEX = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("file", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 
 
@@ -254,8 +292,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, most: int = SHARD
 
         part = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
+            for some in by_bytes(batch, 2, ENCODE_BYTES):
                 part = some.column(0)[0].as_py()
                 for d, t in zip(some.column(1).to_pylist(), encode(some.column(2)), strict=True):
                     if parts and size + len(t) > most:
