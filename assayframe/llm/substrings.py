@@ -7,8 +7,10 @@ than LIMITS says, so equal windows of WINDOW words have the same symbols but for
 
 Every window picks one interior symbol, the longest and then the one of least name, and windows that follow each other
 and pick the same symbol form a span. A span is posted under the words around its symbol that all its windows share.
-Documents that share a key are revealed; equal spans verify all their windows at once. Where spans of a key differ, one
-holder of each posts its windows, and those are matched by themselves. So copies cost a row per span, not pairs.
+Keys alone are counted first, and only spans whose key occurs again move on. Documents that share a key are revealed;
+equal spans verify all their windows at once. Where spans of a key differ, one holder of each posts its windows, and
+those are matched by themselves. So copies cost a row per span, not pairs. The texts of documents with something to
+match or to remove are set apart once, and later steps read those only.
 
 Documents of equal word sequences form a class first, and only its smallest doc_id is posted.
 
@@ -67,7 +69,8 @@ def recompress(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def spans(words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Key, span hash, first and last window start of each span of a document of WINDOW words or more."""
+    """Key, span hash and place (packed: first window start, further windows, words from there to the symbol) of each span of
+    a document of WINDOW words or more."""
     n_windows = len(words) - WINDOW + 1
     start, size, name = recompress(words)
     rank = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
@@ -83,9 +86,10 @@ def spans(words: np.ndarray) -> tuple[np.ndarray, ...]:
     # Polynomial prefix sums give the hash of a span of any length.
     with np.errstate(over="ignore"):
         whole = window_hashes(words, WINDOW)
-        full = mix64(whole[first] + np.uint64(3) * mix64(whole[last] + np.uint64(1)) + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    lead = (at - first).astype(np.int64)
-    return key, full, first, last, lead
+        lead = (at - first).astype(np.uint64)
+        more = (last - first).astype(np.uint64)
+        full = mix64(whole[first] + np.uint64(3) * mix64(whole[last] + np.uint64(1)) + (more * np.uint64(WINDOW) + lead) * np.uint64(0x9E3779B97F4A7C15))
+    return key, full, (first << 16) | (last - first << 8) | (at - first)
 
 
 def document_keys(rows: DataFrame) -> DataFrame:
@@ -102,7 +106,8 @@ def document_keys(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, n_words long, digest string")
 
 
-NAMES = ["doc_id", "row", "key", "span", "lead", "first", "last"]
+NAMES = ["doc_id", "row", "key", "span", "place"]
+FIRST, LAST = "shiftright(place, 16)", "shiftright(place, 16) + (shiftright(place, 8) & 255)"
 
 
 def post_spans(rows: DataFrame) -> DataFrame:
@@ -111,13 +116,13 @@ def post_spans(rows: DataFrame) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for lo in range(0, batch.num_rows, 128):
                 out = []
-                for doc_id, row, t in zip(*[c.to_pylist() for c in batch.slice(lo, 256).columns], strict=True):
+                for doc_id, row, t in zip(*[c.to_pylist() for c in batch.slice(lo, 128).columns], strict=True):
                     ws = split_words(t)
                     if len(ws) >= WINDOW:
-                        key, full, first, last, lead = spans(hashes.of(ws))
-                        out.append((np.full(len(key), doc_id, np.int64), np.full(len(key), row, np.int64), key.view(np.int64), full.view(np.int64), lead, first, last))
+                        key, full, place = spans(hashes.of(ws))
+                        out.append((np.full(len(key), doc_id, np.int64), np.full(len(key), row, np.int64), key.view(np.int64), full.view(np.int64), place))
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * len(NAMES)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=NAMES)
 
@@ -144,27 +149,36 @@ def post_windows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row", "text", "listed").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def removals(rows: DataFrame) -> DataFrame:
-    """(doc_id, row, ranges of window starts) that also occur in a smaller doc_id. rows: doc_id, row, text."""
+def removals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, ranges of window starts) that also occur in a smaller doc_id, and the texts of such rows, among others.
+    rows: doc_id, row, text."""
     posted = cut(post_spans(rows), "sub-spans")
+    again = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    kept = cut(posted.join(again, "key", "left_semi"), "sub-kept")
+    drop_cut(posted)
     # A row per different span first: what follows is about those, however many documents hold each.
-    held = cut(posted.groupBy("key", "span", "lead").agg(F.min("doc_id").alias("holder"), F.count("*").alias("n")), "sub-held")
-    per_key = held.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
-    shared = cut(held.join(per_key, "key").select("key", "span", "lead", "holder", "n", "kinds"), "sub-shared")
+    held = kept.groupBy("key", "span").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other"))
+    held = cut(held, "sub-held")
+    per_key = held.groupBy("key").agg(F.count("*").alias("kinds"), F.min("holder").alias("lo"), F.max("other").alias("hi")).where("lo < hi")
+    shared = held.join(per_key.select("key", "kinds"), "key").where("kinds > 1 or holder < other").select("key", "span", "holder", "kinds")
+    # Later holders of a span lose it; of a key with several spans one holder of each posts its windows.
+    met = kept.join(shared, ["key", "span"]).where("doc_id > holder or kinds > 1")
+    met = cut(met.select("doc_id", "row", "key", F.expr(FIRST).alias("first"), F.expr(LAST).alias("last"), (F.col("doc_id") > F.col("holder")).alias("later")), "sub-met")
+    drop_cut(kept)
     drop_cut(held)
+    involved = cut(met.select("doc_id", "row").distinct(), "sub-involved")
+    texts = cut(rows.join(sized_broadcast(involved, 24), ["doc_id", "row"], "left_semi"), "sub-texts")
 
-    several = shared.where("n > 1").select("key", "span", "lead", "holder")
-    equal = posted.join(several, ["key", "span", "lead"]).where("doc_id > holder").select("doc_id", "row", "first", "last")
-
-    # One holder of each span of a key with several of them posts its windows.
-    differ = shared.where("kinds > 1").select("key", "span", "lead", F.col("holder").alias("doc_id"))
-    asked = posted.join(differ, ["key", "span", "lead", "doc_id"]).select("doc_id", "row", "key", "first", "last").distinct()
+    asked = met.where("not later").select("doc_id", "row", "key", "first", "last").distinct()
     asked = cut(asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "first", "last")).alias("listed")), "sub-asked")
-    windows = cut(post_windows(rows.join(list_side(asked, "listed"), ["doc_id", "row"])), "sub-windows")
-    least = windows.groupBy("key", "window").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    windows = cut(post_windows(texts.join(list_side(asked, "listed"), ["doc_id", "row"])), "sub-windows")
+    least = windows.groupBy("key", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     single = windows.join(least, ["key", "window"]).where("doc_id > least").select("doc_id", "row", F.col("at").alias("first"), F.col("at").alias("last"))
     # A document's list is bounded by its length.
-    return cut(equal.union(single).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "sub-ranges")
+    equal = met.where("later").select("doc_id", "row", "first", "last")
+    ranges = cut(equal.union(single).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "sub-ranges")
+    drop_cut(windows)
+    return ranges, texts
 
 
 def list_side(df: DataFrame, column: str) -> DataFrame:
@@ -212,8 +226,8 @@ def changed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = long_rows.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other")).where("holder < other").drop("other")
     copies = cut(long_rows.join(classes, "digest").where("doc_id > holder").select("doc_id", "row").distinct(), "sub-copies")
     texts = rows.join(sized_broadcast(copies, 64), ["doc_id", "row"], "left_anti")
-    ranges = removals(texts)
-    lost = cut_out(rows.join(list_side(ranges, "ranges"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]))
+    ranges, some = removals(texts)
+    lost = cut_out(some.join(list_side(ranges, "ranges"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]))
     return every, copies, lost
 
 

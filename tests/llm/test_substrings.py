@@ -67,7 +67,8 @@ def test_equal_windows_pick_equal_symbols():
             found = []
             for _ in range(2):
                 a, b = (names[rng.integers(0, kinds, rng.integers(0, 9))] for _ in range(2))
-                key, _, first, last, _ = substrings.spans(np.concatenate([a, middle, b]))
+                key, _, place = substrings.spans(np.concatenate([a, middle, b]))
+                first, last = place >> 16, (place >> 16) + (place >> 8 & 255)
                 found.append(key[(first <= len(a)) & (last >= len(a))][0])
             assert found[0] == found[1]
 
