@@ -74,7 +74,7 @@ def open_store(uri: str):
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered; forgets everything at `limit` words to bound memory."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
