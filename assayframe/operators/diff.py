@@ -23,12 +23,30 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return cells.groupBy("report_id", "key").agg(F.min_by("x", "x.ord").alias("x"))
 
 
-def _bucket(a: str, b: str) -> Column:
-    x, y = F.col(f"{a}.value"), F.col(f"{b}.value")
+def values_equal(x: Column, y: Column, x_text: Column, y_text: Column) -> Column:
+    """Two texts are compared without case, a text never equals a bare number, and numbers may be TOLERANCE of the larger apart."""
+    s, t = F.lower(F.nullif(x_text, F.lit(""))), F.lower(F.nullif(y_text, F.lit("")))
     near = F.abs(x - y) <= TOLERANCE * F.greatest(F.abs(x), F.abs(y))
-    unit = lambda side: F.regexp_replace(F.lower(F.coalesce(f"{side}.unit", F.lit(""))), r"\s+", "")
-    same = F.when(x.isNotNull() & y.isNotNull(), near).otherwise(x.eqNullSafe(y) & F.col(f"{a}.value_text").eqNullSafe(F.col(f"{b}.value_text")))
-    return F.when(unit(a) != unit(b), "units").when(~same, "value").otherwise("matched")
+    numbers = F.when(x.isNull() & y.isNull(), True).otherwise(F.coalesce(near, F.lit(False)))
+    return F.when(s.isNotNull() | t.isNotNull(), F.coalesce(s == t, F.lit(False))).otherwise(numbers)
+
+
+def units_equal(x: Column, y: Column) -> Column:
+    bare = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
+    return bare(x) == bare(y)
+
+
+def percent_change(old: Column, new: Column) -> Column:
+    """Signed change in percent to one place, as text; a dash if either is null or the old value is 0."""
+    change = (new - old) / F.nullif(old, F.lit(0.0)) * 100
+    text = F.concat(F.when(change >= 0, "+").otherwise(""), F.format_string("%.1f", change), F.lit("%"))
+    return F.when(change.isNull(), "—").otherwise(text)
+
+
+def _bucket(a: str, b: str) -> Column:
+    side = lambda s: [F.col(f"{s}.{c}") for c in ("value", "value_text", "unit")]
+    (x, xt, xu), (y, yt, yu) = side(a), side(b)
+    return F.when(~units_equal(xu, yu), "units").when(~values_equal(x, y, xt, yt), "value").otherwise("matched")
 
 
 def extract_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayframe.functions.text import canonical_unit, normalize_name
 
 
+def guarded_flag(c: Column) -> Column:
+    return F.when(c.isin("high", "low", "ok"), c)
+
+
+def is_flagged(c: Column) -> Column:
+    return c.isin("high", "low")
+
+
 def resolve(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds `canonical`: the alias of the row's provider, else the global one, else null. rows: key, provider.
 
-    One equi-join on the key: both targets of a name are in one row first, so rows never fan out."""
+    One equi-join on the key: all targets of a name are in one row first, so rows never fan out. Of an alias that is
+    listed twice for one provider the first target by code point counts."""
+    single = aliases.groupBy("alias", "alias_provider").agg(F.min("canonical").alias("canonical"))
     scoped = F.map_from_entries(F.collect_list(F.struct("alias_provider", "canonical")))
-    table = aliases.groupBy("alias").agg(scoped.alias("targets"))
+    table = single.groupBy("alias").agg(scoped.alias("targets"))
     found = rows.join(table, rows["key"] == table["alias"], "left")
     target = F.coalesce(F.element_at("targets", normalize_name(F.col("provider"))), F.element_at("targets", F.lit("")))
     return found.withColumn("canonical", target).drop("alias", "targets")
@@ -34,18 +44,44 @@ def dominant(rows: DataFrame, by: list[str], value: str, order) -> DataFrame:
     return votes.withColumn("place", best).where("place = 1").select(*by, F.col(value).alias("dominant"))
 
 
-def convert_units(fact: DataFrame, factors: DataFrame) -> DataFrame:
-    """Adds `factor` and `rescaled` for metrics with a unit table, and `excluded` where the table lacks the unit."""
+def unit_votes(rows: DataFrame, order) -> DataFrame:
+    """canonical, dominant unit key (null counts; ties go to the unit seen first) and the number of non-null units."""
+    votes = rows.groupBy("canonical", "unit_key").agg(F.count("*").alias("n"), F.min(order).alias("seen"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "seen", "unit_key")).alias("best")
+    return votes.groupBy("canonical").agg(best, F.count("unit_key").alias("n_units")).select("canonical", "n_units", F.col("best.unit_key").alias("dominant"))
+
+
+def partition_units(rows: DataFrame, factors: DataFrame, order) -> DataFrame:
+    """Adds `factor`, `display_unit`, `rescaled`, `low`, `high` and `excluded`; value, ref_low and ref_high stay as they were.
+
+    A metric with a unit table keeps the units that it lists and rescales values and references. Any other metric with
+    more than one unit keeps its dominant one, which may be null. rows: plottable ones of known metrics.
+    """
     specs = F.broadcast(factors)  # a fixed table of a few rows per metric
     with_spec = F.broadcast(factors.select("canonical").distinct().withColumn("spec", F.lit(True)))
-    joined = fact.join(specs, ["canonical", "unit_key"], "left").join(with_spec, "canonical", "left")
-    return joined.withColumn("excluded", F.col("spec").isNotNull() & F.col("factor").isNull()).withColumn("rescaled", F.col("value") * F.coalesce("factor", F.lit(1.0)))
+    joined = rows.join(specs, ["canonical", "unit_key"], "left").join(with_spec, "canonical", "left").join(unit_votes(rows, order), "canonical")
+    by_vote = (F.col("n_units") > 1) & ~F.col("unit_key").eqNullSafe(F.col("dominant"))
+    factor = F.coalesce("factor", F.lit(1.0))
+    return joined.withColumn("excluded", F.when(F.col("spec"), F.col("factor").isNull()).otherwise(by_vote)).withColumns(
+        {"rescaled": F.col("value") * factor, "low": F.col("ref_low") * factor, "high": F.col("ref_high") * factor}
+    )
+
+
+#: Orders the rows of one metric and date: the newest upload first, then the order of rows, then the lower values.
+NEWEST = F.struct(F.col("uploaded_at"), F.struct(*[(-F.col(f"ord.{c}")).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]), -F.col("rescaled"), -F.col("low"), -F.col("high"))
 
 
 def date_dedupe(points: DataFrame) -> DataFrame:
     """The newest upload's point of each metric and date, with the number of others and whether they conflict."""
-    picked = points.groupBy("canonical", "report_date").agg(
-        F.max_by("rescaled", F.struct("uploaded_at", F.struct(*[(-F.col(f"ord.{c}")).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))).alias("value"),
-        F.count("*").alias("n"), F.min("rescaled").alias("lo"), F.max("rescaled").alias("hi"),
-    )
-    return picked.select("canonical", "report_date", "value", (F.col("n") - 1).alias("others"), (F.col("lo") < F.col("hi")).alias("conflict"))
+    kept = F.max_by(F.struct("rescaled", "low", "high", "units", "provider", "report_id", "ord", "display_unit"), NEWEST).alias("k")
+    picked = points.groupBy("canonical", "report_date").agg(kept, F.count("*").alias("n"), F.min("rescaled").alias("lo"), F.max("rescaled").alias("hi"))
+    return picked.select("canonical", "report_date", F.col("k.rescaled").alias("value"), "k.low", "k.high", "k.units", "k.provider", "k.report_id", "k.ord",
+                         "k.display_unit", (F.col("n") - 1).alias("others"), (F.col("lo") < F.col("hi")).alias("conflict"))
+
+
+def discarded(points: DataFrame) -> DataFrame:
+    """canonical, report_date and each row that a newer upload of another value displaced, with its place from 1."""
+    place = F.row_number().over(W.partitionBy("canonical", "report_date").orderBy(F.desc(NEWEST)))
+    clash = points.groupBy("canonical", "report_date").agg((F.min("rescaled") < F.max("rescaled")).alias("clash")).where("clash").drop("clash")
+    rows = points.join(clash, ["canonical", "report_date"]).withColumn("place", place - 1)
+    return rows.where("place > 0").select("canonical", "report_date", "place", F.col("rescaled").alias("value"), "report_id", "provider", "uploaded_at")

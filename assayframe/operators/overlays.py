@@ -35,3 +35,24 @@ def padded_from_zero(lo: Column, hi: Column, share: float = 0.1) -> tuple[Column
 def scaled(value: Column, lo: Column, hi: Column, height: float = 24.0, pad: float = 2.0) -> Column:
     """Height of a value in a box whose origin is at the top."""
     return height - pad - (value - lo) / F.greatest(F.lit(1e-9), hi - lo) * (height - 2 * pad)
+
+
+def compare_padded(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """Axis ends of a comparison: 12 % of the span, or 1 for a flat series."""
+    pad = F.when(hi > lo, (hi - lo) * 0.12).otherwise(F.lit(1.0))
+    return lo - pad, hi + pad
+
+
+def date_padded(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """Ends of a time axis in seconds, from those of the dates: 4 % of the span, or 30 days for a single date."""
+    a, b = F.unix_timestamp(lo.cast("timestamp")), F.unix_timestamp(hi.cast("timestamp"))
+    pad = F.when(b > a, (b - a) * 0.04).otherwise(F.lit(30.0 * 86400))
+    return a - pad, b + pad
+
+
+def event_text(kind: Column, name: Column, old: Column, new: Column) -> Column:
+    """The text of an emitted event; null where a command emits none, as a change to the same dose."""
+    return (
+        F.when(kind == "start", F.concat(F.lit("Started "), name, F.lit(" ("), new, F.lit(")"))).when(kind == "stop", F.concat(F.lit("Stopped "), name))
+        .when((kind == "change") & (old != new), F.concat(F.lit("Changed "), name, F.lit(": "), old, F.lit(" to "), new))
+    )

@@ -56,16 +56,15 @@ def pdf_domain(spark, sf_dir):
 
 def sparkline(spark, sf_dir):
     """Height of each point; the ends are an aggregate that joins back, so no series is in one task."""
-    points = m.metric_series_points(spark, sf_dir).join(F.broadcast(_ends(spark, sf_dir)), "canonical")  # a row per metric of a fixed table
+    points = m.metric_series_points(spark, sf_dir).join(_ends(spark, sf_dir), "canonical")
     return points.select("canonical", "report_date", F.round(overlays.scaled(F.col("value"), F.col("lo"), F.col("hi")), 6).alias("y"))
 
 
 def provider_pivot(spark, sf_dir):
-    """A metric's points by date, a column for each provider; the last one written counts."""
+    """A metric's points by date and provider, in long form so that any number of providers fits; the last one written counts."""
     rows = m.converted(spark, sf_dir).where(~F.col("excluded"))
-    names = ["1-urgent", "2-high", "3-medium", "4-not specified", "5-low"]
-    last = lambda p: F.max_by(F.when(F.col("provider") == p, F.col("rescaled")), F.when(F.col("provider") == p, F.struct("uploaded_at", "ord", "rescaled"))).alias(f"p{p[0]}")
-    return rows.groupBy("canonical", "report_date").agg(*[last(p) for p in names])
+    last = F.max_by("rescaled", F.struct("uploaded_at", "ord", "rescaled"))
+    return rows.groupBy("canonical", "report_date", "provider").agg(last.alias("value"))
 
 
 def _extracted(spark, sf_dir):
@@ -78,7 +77,8 @@ def extract_diff(spark, sf_dir):
     left = _extracted(spark, sf_dir)
     supplier, part = F.col("ord.l_suppkey"), F.col("ord.l_partkey")
     right = left.where(supplier % 11 != 0).withColumn("value", F.when(part % 7 == 0, F.col("value") * 1.2).when(part % 7 == 1, F.col("value") * 1.04).otherwise(F.col("value")))
-    right = right.withColumn("panel", F.when(part % 5 != 0, F.col("panel"))).withColumn("unit", F.when(part % 13 == 0, "mg/dL").otherwise(F.col("unit")))
+    text = F.when(part % 17 == 0, F.lit("5 (high)")).when(part % 3 == 0, F.upper("value_text")).otherwise(F.col("value_text"))
+    right = right.withColumn("value_text", text).withColumn("panel", F.when(part % 5 != 0, F.col("panel"))).withColumn("unit", F.when(part % 13 == 0, "mg/dL").otherwise(F.col("unit")))
     return diff(left, right).groupBy("report_id").agg(*[F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in ("matched", "value", "units", "left", "right")])
 
 
@@ -123,23 +123,22 @@ SQL = {
     "axis_domain": "select canonical, round(lo - 0.15 * s, 6) as y_lo, round(hi + 0.15 * s, 6) as y_hi from (select canonical, min(value) as lo, max(value) as hi, greatest(max(value) - min(value), abs(max(value)) * 0.1, 1) as s from pts group by canonical)",
     "pdf_domain": "select canonical, round(case when lo >= 0 then greatest(0, lo - 0.1 * s) else lo - 0.1 * s end, 6) as y_lo, round(hi + 0.1 * s, 6) as y_hi from (select canonical, min(value) as lo, max(value) as hi, case when min(value) = max(value) then greatest(abs(max(value)) * 0.1, 1) else max(value) - min(value) end as s from pts group by canonical)",
     "sparkline": "select canonical, report_date, round(22 - (value - lo) / greatest(1e-9, hi - lo) * 20, 6) as y from pts join (select canonical, min(value) as lo, max(value) as hi from pts group by canonical) using (canonical)",
-    "provider_pivot": "select canonical, report_date, " + ", ".join(f"arg_max(rescaled, {{'u': uploaded_at, 'o': ord, 'r': rescaled}}) filter (where provider[1] = '{i}') as p{i}" for i in "12345")
-    + " from (select f.canonical, f.report_date, f.uploaded_at, f.ord, f.provider, value * coalesce(factor, 1) as rescaled from fact f left join factors using (canonical, unit_key) where canonical is not null and value is not null and (factor is not null or canonical not in (select canonical from factors))) group by canonical, report_date",
+    "provider_pivot": "select canonical, report_date, provider, arg_max(rescaled, {'u': uploaded_at, 'o': ord, 'r': rescaled}) as value from conv group by canonical, report_date, provider",
     "extract_diff": """select report_id, count(*) filter (where b = 'matched') as n_matched, count(*) filter (where b = 'value') as n_value, count(*) filter (where b = 'units') as n_units, count(*) filter (where b = 'left') as n_left, count(*) filter (where b = 'right') as n_right
-      from (select report_id, case when y_ord is null then 'left' when x_ord is null then 'right' when x_unit <> y_unit then 'units' when not (case when x_value is not null and y_value is not null then abs(x_value - y_value) <= 0.05 * greatest(abs(x_value), abs(y_value)) else x_value is not distinct from y_value end) then 'value' else 'matched' end as b
-        from (select report_id, x_ord, y_ord, x_unit, y_unit, x_value, y_value from p1 where x_ord is not null and y_ord is not null union all select report_id, x_ord, y_ord, x_unit, y_unit, x_value, y_value from p2)) group by report_id""",
+      from (select report_id, case when y_ord is null then 'left' when x_ord is null then 'right' when x_unit <> y_unit then 'units' when not (case when x_text is not null or y_text is not null then coalesce(lower(x_text) = lower(y_text), false) when x_value is not null and y_value is not null then x_value = y_value or abs(x_value - y_value) <= 0.05 * greatest(abs(x_value), abs(y_value)) else x_value is null and y_value is null end) then 'value' else 'matched' end as b
+        from (select report_id, x_ord, y_ord, x_unit, y_unit, x_value, y_value, x_text, y_text from p1 where x_ord is not null and y_ord is not null union all select report_id, x_ord, y_ord, x_unit, y_unit, x_value, y_value, x_text, y_text from p2)) group by report_id""",
     "latest_extraction": "select user_id, x.e as event_id, x.p as props from (select user_id, arg_max({'e': event_id, 'p': props}, {'t': ts, 'e': event_id}) as x from events group by user_id)",
     "replay_metrics": "select user_id, k from (select user_id, cast(json_extract(arg_max(props, {'t': ts, 'e': event_id}), '$.k') as bigint) as k from events group by user_id) where k is not null",
     "prose_lines": r"select doc_id, count(*) filter (where len(regexp_extract_all(line, '\b[a-z]{3,}\b')) >= 5) as n_prose, count(*) as n_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null) group by doc_id",
     "parsed_lines": "select trim(name) as name, case when flag <> 'ok' then flag end as flag, value_text as text, 'org/g' as units, count(*) as n, cast(sum(cast(value as decimal(12,2))) as double) as total, cast(sum(cast(ref_low as decimal(12,2))) as double) as low, cast(sum(cast(ref_high as decimal(12,2))) as double) as high from metrics group by 1, 2, 3",
 }
 #: The two passes of the diff: sides first by key, then what is left by name and turn.
-DIFF = """, l0 as (select report_id, coalesce(canonical, '') as panel, key as name, value, ord, coalesce(lower(units), '') as unit from fact),
-r0 as (select report_id, case when ord[3] % 5 <> 0 then panel else '' end as panel, name, case ord[3] % 7 when 0 then value * 1.2 when 1 then value * 1.04 else value end as value, ord, case when ord[3] % 13 = 0 then 'mg/dl' else unit end as unit from l0 where ord[4] % 11 <> 0),
+DIFF = """, l0 as (select report_id, coalesce(canonical, '') as panel, key as name, value, value_text as text, ord, coalesce(lower(units), '') as unit from fact),
+r0 as (select report_id, case when ord[3] % 5 <> 0 then panel else '' end as panel, name, case ord[3] % 7 when 0 then value * 1.2 when 1 then value * 1.04 else value end as value, case when ord[3] % 17 = 0 then '5 (high)' when ord[3] % 3 = 0 then upper(text) else text end as text, ord, case when ord[3] % 13 = 0 then 'mg/dl' else unit end as unit from l0 where ord[4] % 11 <> 0),
 l1 as (select * from (select *, case when panel <> '' then panel || '::' || name else name end as k, row_number() over (partition by report_id, panel, name order by ord) as r from l0) where r = 1),
 r1 as (select * from (select *, case when panel <> '' then panel || '::' || name else name end as k, row_number() over (partition by report_id, panel, name order by ord) as r from r0) where r = 1),
-p1 as (select coalesce(x.report_id, y.report_id) as report_id, coalesce(x.name, y.name) as name, x.ord as x_ord, y.ord as y_ord, x.unit as x_unit, y.unit as y_unit, x.value as x_value, y.value as y_value from l1 x full join r1 y on x.report_id = y.report_id and x.k = y.k),
+p1 as (select coalesce(x.report_id, y.report_id) as report_id, coalesce(x.name, y.name) as name, x.ord as x_ord, y.ord as y_ord, x.unit as x_unit, y.unit as y_unit, x.value as x_value, y.value as y_value, x.text as x_text, y.text as y_text from l1 x full join r1 y on x.report_id = y.report_id and x.k = y.k),
 lx as (select *, row_number() over (partition by report_id, name order by x_ord desc) as t from p1 where y_ord is null),
 ry as (select *, row_number() over (partition by report_id, name order by y_ord) as t from p1 where x_ord is null),
-p2 as (select coalesce(x.report_id, y.report_id) as report_id, x.x_ord, y.y_ord, x.x_unit, y.y_unit, x.x_value, y.y_value from lx x full join ry y on x.report_id = y.report_id and x.name = y.name and x.t = 1 and y.t = 1)
+p2 as (select coalesce(x.report_id, y.report_id) as report_id, x.x_ord, y.y_ord, x.x_unit, y.y_unit, x.x_value, y.y_value, x.x_text, y.y_text from lx x full join ry y on x.report_id = y.report_id and x.name = y.name and x.t = 1 and y.t = 1)
 """

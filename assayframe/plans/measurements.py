@@ -37,7 +37,7 @@ def dash_groups(spark, sf_dir):
 def dash_trend(spark, sf_dir):
     """Last numeric value against the mean of those before it, from sums, so no group's history is collected."""
     rows = fact(spark, sf_dir).where("value is not null").groupBy("grp").agg(
-        F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"), F.max_by("value", F.struct("report_date", "ord")).alias("last")
+        F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(38,12)")).alias("total"), F.max_by("value", F.struct("report_date", "ord")).alias("last")
     )
     prior = (F.col("total").cast("double") - F.col("last")) / F.nullif(F.col("n") - 1, F.lit(0))
     change = (F.col("last") - prior) / F.abs(prior)
@@ -70,7 +70,7 @@ def report_rollup(spark, sf_dir):
     """Per report with metrics: rows, flagged rows, categories, and whether any row is unmapped."""
     cats = model.canonicals(spark).select("canonical", "category")
     return fact(spark, sf_dir).join(F.broadcast(cats), "canonical", "left").groupBy("report_id", "provider", "report_date").agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("flag") != "ok").alias("n_flagged"),
+        F.count("*").alias("n_rows"), F.count_if(facts.is_flagged(F.col("flag"))).alias("n_flagged"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.bool_or(F.col("canonical").isNull()).alias("any_unmapped"))
 
 
@@ -93,7 +93,7 @@ def unit_dominant_filter(spark, sf_dir):
     rows = mapped(spark, sf_dir).where("value is not null")
     top = facts.dominant(rows, ["canonical"], "unit_key", F.struct("report_date", "ord"))
     same = F.col("unit_key").eqNullSafe(F.col("dominant"))
-    return rows.join(F.broadcast(top), "canonical").groupBy("canonical").agg(F.count_if(same).alias("n_kept"), F.count_if(~same).alias("n_excluded"))
+    return rows.join(top, "canonical").groupBy("canonical").agg(F.count_if(same).alias("n_kept"), F.count_if(~same).alias("n_excluded"))
 
 
 def units_mismatch(spark, sf_dir):
@@ -105,24 +105,32 @@ def distinct_lists(spark, sf_dir):
     return mapped(spark, sf_dir).groupBy("canonical").agg(pick(trimmed(F.lower("name"))).alias("names"), pick("units").alias("units"), pick("provider").alias("providers"))
 
 
+def plottable(spark, sf_dir):
+    return mapped(spark, sf_dir).where("value is not null and report_date is not null")
+
+
 def converted(spark, sf_dir):
-    return facts.convert_units(mapped(spark, sf_dir).where("value is not null"), model.factors(spark))
+    return facts.partition_units(plottable(spark, sf_dir), model.factors(spark), F.struct("report_date", "ord"))
 
 
 def unit_convert(spark, sf_dir):
     return converted(spark, sf_dir).where("factor is not null and factor <> 1").select(
-        "canonical", "report_id", F.col("ord.l_linenumber").alias("line"), F.col("ord.l_partkey").alias("part"), "value", "rescaled")
+        "canonical", "report_id", F.col("ord.l_linenumber").alias("line"), F.col("ord.l_partkey").alias("part"), "value", "ref_low", "ref_high", "rescaled", "low", "high")
 
 
 def unit_excluded(spark, sf_dir):
     return converted(spark, sf_dir).groupBy("canonical").agg(F.count_if("excluded").alias("n_excluded"), F.count_if(~F.col("excluded")).alias("n_kept"))
 
 
-def metric_series_points(spark, sf_dir):
-    """One point per metric and date after conversion; the newest upload wins."""
+def series_points(spark, sf_dir):
     return facts.date_dedupe(converted(spark, sf_dir).where(~F.col("excluded")))
 
 
+def metric_series_points(spark, sf_dir):
+    """One point per metric and date, in one unit a metric; the newest upload wins."""
+    return series_points(spark, sf_dir).select("canonical", "report_date", "value", "low", "high", "units", "provider", "others", "conflict")
+
+
 def series_stats(spark, sf_dir):
     return metric_series_points(spark, sf_dir).groupBy("canonical").agg(
         F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 6).alias("mean"),
@@ -132,7 +140,7 @@ def series_stats(spark, sf_dir):
 
 def export_candidates(spark, sf_dir, since="1996-01-01", until="1998-12-31"):
     inside = F.col("report_date").between(F.to_date(F.lit(since)), F.to_date(F.lit(until)))
-    return mapped(spark, sf_dir).groupBy("canonical").agg(F.count_if(inside).alias("n_window"), F.count_if(inside & (F.col("flag") != "ok")).alias("n_flagged"))
+    return mapped(spark, sf_dir).groupBy("canonical").agg(F.count_if(inside).alias("n_window"), F.count_if(inside & facts.is_flagged(F.col("flag"))).alias("n_flagged"))
 
 
 def non_numeric_count(spark, sf_dir):
@@ -204,23 +212,23 @@ def manual_map_backfill(spark, sf_dir, name="cold ring", target="ring"):
 SQL = {
     "dash_latest": "select grp, x.value, x.value_text, x.flag, x.units, x.report_date from (select grp, arg_max_null({'value': value, 'value_text': value_text, 'flag': flag, 'units': units, 'report_date': report_date}, {'d': report_date, 'o': ord}) as x from fact group by grp)",
     "dash_groups": "select grp, count(*) as n_rows, count(distinct report_id) as n_reports, trim(arg_min(name, ord)) as label from fact group by grp",
-    "dash_trend": "select grp, n as n_points, last, case when n < 2 or abs(p) < 1e-9 then 'flat' when (last - p) / abs(p) > 0.05 then 'up' when (last - p) / abs(p) < -0.05 then 'down' else 'flat' end as trend from (select *, (total - last) / nullif(n - 1, 0) as p from (select grp, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as total, arg_max(value, {'d': report_date, 'o': ord}) as last from fact where value is not null group by grp))",
+    "dash_trend": "select grp, n as n_points, last, case when n < 2 or abs(p) < 1e-9 then 'flat' when (last - p) / abs(p) > 0.05 then 'up' when (last - p) / abs(p) < -0.05 then 'down' else 'flat' end as trend from (select *, (total - last) / nullif(n - 1, 0) as p from (select grp, count(*) as n, cast(sum(cast(value as decimal(38,12))) as double) as total, arg_max(value, {'d': report_date, 'o': ord}) as last from fact where value is not null group by grp))",
     "category_counts": "select category, count(distinct canonical) as n from fact join canonicals using (canonical) group by category",
     "tag_counts": "select tag, count(*) as n from (select distinct canonical, unnest(tags) as tag from fact join canonicals using (canonical)) group by tag",
     "unmapped_counts": "select count(*) filter (where canonical is null) as n_rows, count(distinct key) filter (where canonical is null and key <> '') as n_names from fact",
     "unmapped_queue": "select key, n, providers, s.d as sample_date, s.u as sample_units from (select key, count(*) as n, string_agg(distinct provider, ',' order by provider) as providers, arg_max_null({'d': report_date, 'u': units}, {'d': report_date, 't': uploaded_at, 'o': ord}) as s from fact where canonical is null and key <> '' group by key)",
-    "report_rollup": "select report_id, provider, report_date, count(*) as n_rows, count(*) filter (where flag <> 'ok') as n_flagged, coalesce(string_agg(distinct category, ',' order by category), '') as categories, bool_or(canonical is null) as any_unmapped from fact left join canonicals using (canonical) group by all",
+    "report_rollup": "select report_id, provider, report_date, count(*) as n_rows, count(*) filter (where flag in ('high', 'low')) as n_flagged, coalesce(string_agg(distinct category, ',' order by category), '') as categories, bool_or(canonical is null) as any_unmapped from fact left join canonicals using (canonical) group by all",
     "report_category_counts": "select category, count(distinct report_id) as n_reports from fact join canonicals using (canonical) group by category",
     "report_tag_counts": "select tag, count(distinct report_id) as n_reports from (select report_id, unnest(tags) as tag from fact join canonicals using (canonical)) group by tag",
     "dominant_value": "select canonical, unit_key from (select canonical, unit_key, row_number() over (partition by canonical order by n desc, seen) as r from (select canonical, unit_key, count(*) as n, min({'d': report_date, 'o': ord}) as seen from fact where canonical is not null and value is not null group by canonical, unit_key)) where r = 1",
     "unit_dominant_filter": "select f.canonical, count(*) filter (where f.unit_key is not distinct from d.unit_key) as n_kept, count(*) filter (where f.unit_key is distinct from d.unit_key) as n_excluded from fact f join (select canonical, unit_key from (select canonical, unit_key, row_number() over (partition by canonical order by n desc, seen) as r from (select canonical, unit_key, count(*) as n, min({'d': report_date, 'o': ord}) as seen from fact where canonical is not null and value is not null group by canonical, unit_key)) where r = 1) d on f.canonical = d.canonical where f.value is not null group by f.canonical",
     "units_mismatch": "select canonical, count(distinct unit_key) > 1 as mismatch from fact where canonical is not null and value is not null group by canonical",
     "distinct_lists": "select canonical, string_agg(distinct key, '|' order by key) as names, string_agg(distinct units, '|' order by units) as units, string_agg(distinct provider, '|' order by provider) as providers from fact where canonical is not null group by canonical",
-    "unit_convert": "select canonical, report_id, ord[2] as line, ord[3] as part, value, value * factor as rescaled from fact join factors using (canonical, unit_key) where value is not null and factor <> 1",
-    "unit_excluded": "select canonical, count(*) filter (where bad) as n_excluded, count(*) filter (where not bad) as n_kept from (select canonical, factor is null and canonical in (select canonical from factors) as bad from fact left join factors using (canonical, unit_key) where canonical is not null and value is not null) group by canonical",
-    "metric_series_points": "select canonical, report_date, value, others, conflict from pts",
+    "unit_convert": "select canonical, report_id, ord[2] as line, ord[3] as part, value, ref_low, ref_high, rescaled, low, high from parted where factor is not null and factor <> 1",
+    "unit_excluded": "select canonical, count(*) filter (where excluded) as n_excluded, count(*) filter (where not excluded) as n_kept from parted group by canonical",
+    "metric_series_points": "select canonical, report_date, value, low, high, units, provider, others, conflict from pts",
     "series_stats": "select canonical, count(*) as n, min(value) as lo, max(value) as hi, round(avg(value), 6) as mean, arg_max(value, report_date) as latest, count(*) filter (where conflict) as n_conflicts, cast(sum(case when conflict then 0 else others end) as bigint) as n_collapsed from pts group by canonical",
-    "export_candidates": "select canonical, count(*) filter (where w) as n_window, count(*) filter (where w and flag <> 'ok') as n_flagged from (select *, report_date between date '1996-01-01' and date '1998-12-31' as w from fact where canonical is not null) group by canonical",
+    "export_candidates": "select canonical, count(*) filter (where w) as n_window, count(*) filter (where w and flag in ('high', 'low')) as n_flagged from (select *, report_date between date '1996-01-01' and date '1998-12-31' as w from fact where canonical is not null) group by canonical",
     "non_numeric_count": "select canonical, count(*) filter (where value is null) as n_text from fact where canonical is not null group by canonical",
     "compare_domain": "select min(report_date) as lo, max(report_date) as hi, cast(greatest(1, year(max(report_date)) - year(min(report_date)) + 1) as bigint) as years from fact where canonical is not null and value is not null",
     "recent_reports": "select report_id, provider, report_date from reports order by report_date desc nulls last, uploaded_at desc, report_id limit 5",
@@ -234,9 +242,17 @@ SQL = {
     "canonical_units": "select units, case lower(replace(units, 'µ', 'u')) when 'x10e3/ul' then 'k/ul' when 'thousand/ul' then 'k/ul' else lower(replace(units, 'µ', 'u')) end as unit_key, count(*) as n from metrics group by units",
     "manual_map_backfill": "select case when key = 'cold ring' then 'ring' else canonical end as canonical, count(*) as n from fact group by 1",
 }
-EXTRA = """, conv as (select canonical, report_date, uploaded_at, ord, value * coalesce(factor, 1) as rescaled from fact left join factors using (canonical, unit_key)
-  where canonical is not null and value is not null and (factor is not null or canonical not in (select canonical from factors))),
-pts as (select canonical, report_date, rescaled as value, n - 1 as others, lo < hi as conflict from (select *, row_number() over (partition by canonical, report_date order by uploaded_at desc, ord) as r,
+#: By the rules of the series: a metric with a factor table keeps the units it lists, values and references rescaled; another
+#: with more than one unit keeps the unit that most of its dated numeric rows have (null counts, ties to the one seen first).
+EXTRA = """, num as (select * from fact where canonical is not null and value is not null and report_date is not null),
+votes as (select canonical, unit_key, count(*) as n, min({'d': report_date, 'o': ord}) as seen from num group by canonical, unit_key),
+top as (select canonical, unit_key as top_unit from (select *, row_number() over (partition by canonical order by n desc, seen) as r from votes) where r = 1),
+kinds as (select canonical, count(unit_key) as n_units from votes group by canonical),
+parted as (select n.*, f.factor, f.display_unit, n.value * coalesce(f.factor, 1) as rescaled, n.ref_low * coalesce(f.factor, 1) as low, n.ref_high * coalesce(f.factor, 1) as high,
+  case when n.canonical in (select canonical from factors) then f.factor is null when k.n_units > 1 then n.unit_key is distinct from t.top_unit else false end as excluded
+  from num n left join factors f on n.canonical = f.canonical and n.unit_key = f.unit_key join top t on n.canonical = t.canonical join kinds k on n.canonical = k.canonical),
+conv as (select * from parted where not excluded),
+pts as (select canonical, report_date, rescaled as value, low, high, units, provider, report_id, ord, display_unit, n - 1 as others, lo < hi as conflict from (select *, row_number() over (partition by canonical, report_date order by uploaded_at desc, ord, rescaled, low, high) as r,
   count(*) over (partition by canonical, report_date) as n, min(rescaled) over (partition by canonical, report_date) as lo, max(rescaled) over (partition by canonical, report_date) as hi from conv) where r = 1),
 iv as (select user_id, cast(min(ts) as date) as started_on, case when user_id % 5 <> 0 then cast(max(ts) as date) end as stopped_on from events group by user_id)
 """

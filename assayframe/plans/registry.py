@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from assayframe.plans import derived, measurements
+from assayframe.plans import derived, filters, measurements
 from assayframe.sources.model import MODEL_SQL
 
-QUERIES: dict = {name: getattr(plans, name) for plans in (measurements, derived) for name in plans.SQL}
-ORACLES: dict = {name: MODEL_SQL + measurements.EXTRA + sql for name, sql in measurements.SQL.items()}
-ORACLES |= {name: MODEL_SQL + measurements.EXTRA + (derived.DIFF if name == "extract_diff" else "") + sql for name, sql in derived.SQL.items()}
+MODULES = (measurements, derived, filters)
+QUERIES: dict = {name: getattr(plans, name) for plans in MODULES for name in plans.SQL}
+#: What a query's SQL needs besides the model.
+WITH = {"extract_diff": derived.DIFF}
+ORACLES: dict = {name: MODEL_SQL + measurements.EXTRA + WITH.get(name, "") + sql for plans in MODULES for name, sql in plans.SQL.items()}
