@@ -52,3 +52,72 @@ def trend(history: Column) -> Column:
     prior = F.aggregate(F.slice(history, 1, F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda s, x: s + x) / (n - 1)
     change = (F.element_at(history, -1) - prior) / F.abs(prior)
     return F.when(n < 2, "flat").when(F.abs(prior) < 1e-9, "flat").when(change > 0.05, "up").when(change < -0.05, "down").otherwise("flat")
+
+
+def trend_of(n: Column, total: Column, last: Column) -> Column:
+    """The same from a count, a sum and the last value, so that no history is collected."""
+    prior = (total - last) / F.nullif(n - 1, F.lit(0))
+    change = (last - prior) / F.abs(F.nullif(prior, F.lit(0.0)))
+    return F.when((n < 2) | (F.abs(prior) < 1e-9), "flat").when(change > 0.05, "up").when(change < -0.05, "down").otherwise("flat")
+
+
+def js_number(c: Column) -> Column:
+    """A double as a browser prints it: whole numbers without a point, no exponent between 1e-6 and 1e21."""
+    plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,16)").cast("string"), "0+$", ""), "[.]$", "")
+    return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).when(c.cast("string").contains("E"), plain).otherwise(c.cast("string"))
+
+
+def format_value(c: Column) -> Column:
+    """Whole numbers from 100 on as they are, others to three places without trailing zeros."""
+    return F.when((F.abs(c) >= 100) & (c == F.floor(c)), c.cast("decimal(38,0)").cast("string")).otherwise(F.call_function("format_number", c, F.lit("0.###")))
+
+
+def format_bytes(c: Column) -> Column:
+    return (
+        F.when(c.isNull(), "—").when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024 * 1024, F.format_string("%.1f KB", c / 1024.0))
+        .otherwise(F.format_string("%.1f MB", c / 1048576.0))
+    )
+
+
+def point_key(report: Column, provider: Column, day: Column) -> Column:
+    """Names a chart point: report, provider and milliseconds of its date."""
+    return F.concat_ws("-", report.cast("string"), provider, F.unix_millis(day.cast("timestamp")).cast("string"))
+
+
+def percent_change(old: Column, new: Column) -> Column:
+    """Signed change in percent to one place, as text; a dash if either is null or the old value is 0."""
+    change = (new - old) / F.nullif(old, F.lit(0.0)) * 100
+    return F.when(change.isNull(), "—").otherwise(F.concat(F.when(change >= 0, "+").otherwise(""), F.format_string("%.1f", change), F.lit("%")))
+
+
+# Labels of categories; others are shown as they are.
+LABELS = {
+    "cbc": "CBC", "cmp": "Comprehensive metabolic", "lipids": "Lipids", "inflammation": "Inflammation", "thyroid": "Thyroid", "hormones": "Hormones", "nutrients": "Nutrients",
+    "kidney": "Kidney", "liver": "Liver", "glycemic": "Glycemic", "gi-microbiome": "GI · microbiome", "gi-pathogens": "GI · pathogens", "gi-inflammation": "GI · inflammation",
+    "gi-digestion": "GI · digestion", "sibo": "SIBO", "aging": "Aging", "imaging": "Imaging", "organic-acids": "Organic acids", "mycotoxins": "Mycotoxins", "other": "Other",
+}
+LABEL_SQL = "case category " + " ".join(f"when '{k}' then '{v}'" for k, v in LABELS.items()) + " else category end"
+
+
+def category_label(c: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), c), c)
+
+
+def text_or_null(c: Column) -> Column:
+    """Trimmed; blank is null."""
+    return F.nullif(trimmed(c), F.lit(""))
+
+
+def coerce_tags(c: Column) -> Column:
+    """The strings of a JSON array; other items are left out, and what can't be read is an empty array."""
+    items = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    words = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.transform(words, lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>"))
+
+
+# Colours in turn, the last for what has none, and providers with a colour of their own.
+PALETTE = ["labcorp", "quest", "lifeforce", "function", "genova", "vibrant", "gimap", "other"]
+PROVIDER_COLORS = {
+    "labcorp": "labcorp", "lab-corp": "labcorp", "quest": "quest", "quest-diagnostics": "quest", "lifeforce": "lifeforce", "function-health": "function", "function": "function",
+    "genova": "genova", "genova-diagnostics": "genova", "vibrant-america": "vibrant", "vibrant": "vibrant", "gi-map": "gimap", "gimap": "gimap",
+}

@@ -36,13 +36,6 @@ def units_equal(x: Column, y: Column) -> Column:
     return bare(x) == bare(y)
 
 
-def percent_change(old: Column, new: Column) -> Column:
-    """Signed change in percent to one place, as text; a dash if either is null or the old value is 0."""
-    change = (new - old) / F.nullif(old, F.lit(0.0)) * 100
-    text = F.concat(F.when(change >= 0, "+").otherwise(""), F.format_string("%.1f", change), F.lit("%"))
-    return F.when(change.isNull(), "—").otherwise(text)
-
-
 def _bucket(a: str, b: str) -> Column:
     side = lambda s: [F.col(f"{s}.{c}") for c in ("value", "value_text", "unit")]
     (x, xt, xu), (y, yt, yu) = side(a), side(b)
