@@ -1,12 +1,15 @@
 """Operator 7: secret scans by patterns and by dictionary-primed zstandard novelty.
 
 Three patterns find well-formed secrets. Beyond them, strings of letters and digits in a sensitive context are
-candidates: each is compressed behind the text around it, with a dictionary of common identifiers. A candidate whose
-marginal compressed bytes are near its own length repeats nothing known and is reported as `novel`. Its own copies are
-left out of the text around it, so a secret that is printed again and again stays novel; every copy is reported.
+candidates: each is compressed behind the text around it, with a dictionary of identifiers. The dictionary holds the
+words that most documents of the corpus use, counted over all of them, behind a short list of common ones. A candidate
+whose marginal compressed bytes reach NOVELTY per character repeats nothing known and is reported as `novel`: short
+random strings are stored byte by byte, while names are made of parts that occur before. Its own copies are left out of
+the text around it, so a secret that is printed again and again stays novel; every copy is reported.
 
 Edge cases: a null or empty text has no spans and the digest of the empty string; spans of one kind never overlap;
-`novel` spans never overlap those of the patterns; offsets are code points; very long texts are read in whole.
+`novel` spans never overlap those of the patterns; offsets are code points; very long texts are read in whole; equal
+counts of words are ordered by code point; an empty table gives no rows and no words.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ SENSITIVE = re.compile(r"pass|secret|token|key|auth|credential|bearer|private|ce
 #: Characters before a candidate that are searched for a sensitive word, and those around it that it is compressed behind.
 CONTEXT, AROUND = 48, 2000
 #: A reported string adds at least so many bytes per character.
-NOVELTY = 0.7
+NOVELTY = 0.85
+#: Words of the corpus that the dictionary takes at most, and characters of each.
+DICTIONARY_WORDS, WORD_LENGTH = 3000, (4, 24)
 IDENTIFIERS = (
     "self return import function const class public private static string number boolean value default config "
     "username password authorization content-type application/json localhost https:// http:// www. .com index "
@@ -112,14 +117,29 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def corpus_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> str:
+    """The words, in lower case, that most documents have, the most frequent last: a match near the end is the cheapest.
+
+    Parts of names count as words: a capital or any character that isn't a letter begins a new one. A document counts a
+    word once, and counts are merged map-side, so what is shuffled is a row per word and task."""
+    least, longest = WORD_LENGTH
+    apart = F.regexp_replace("text", "([a-z])([A-Z])", "$1 $2")
+    words = F.array_distinct(F.filter(F.split(F.lower(apart), "[^a-z]+"), lambda w: F.length(w).between(least, longest)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()  # DICTIONARY_WORDS rows at most
+    return " ".join(r["word"] for r in reversed(top))
+
+
 KIND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with column `secrets`: counts per pattern, digest of the pattern spans, and all spans."""
+def scan(docs: DataFrame, words: str | None = None) -> DataFrame:
+    """docs with column `secrets`: counts per pattern, digest of the pattern spans, and all spans. `words` is the dictionary
+    of the corpus, by default that of docs."""
+    known = f"{corpus_words(docs) if words is None else words} {IDENTIFIERS}"
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        novelty, rows = Novelty(), []
+        novelty, rows = Novelty(known), []
         for t in texts:
             t = t or ""
             base = base_spans(t)

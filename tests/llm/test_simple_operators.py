@@ -118,3 +118,21 @@ def test_empty_table(spark, docs_table):
     folder = docs_table([])
     for q in (quality.op5_quality_rules, secretscan.op7_secret_scan, tokens.op6_token_binary):
         assert q(spark, folder).count() == 0
+
+
+def test_novelty_tells_random_strings_from_names(spark, docs_table):
+    """Of 240 random strings in four alphabets nearly all are novel; of 24 names made of words of the corpus or common ones none is."""
+    import random
+    import string
+
+    words = "configuration settings request handler session manager application server response version database client".split()
+    docs = spark.read.parquet(docs_table([(i, f"the {w} of {v}Name") for i, (w, v) in enumerate(zip(words * 2, words[1:] * 2 + words[:2], strict=False))]) + "/documents.parquet")
+    known = secretscan.corpus_words(docs)
+    assert set(words) <= set(known.split()) and secretscan.corpus_words(docs.where("false")) == ""
+    novelty, rng = secretscan.Novelty(f"{known} {secretscan.IDENTIFIERS}"), random.Random(4)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits]
+    context = "the file has an authorization token for it: "
+    found = [novelty(context, "".join(rng.choice(a) for _ in range(n))) >= secretscan.NOVELTY for a in alphabets for n in (16, 24, 32, 48) for _ in range(15)]
+    assert sum(found) >= 235 and len(found) == 240  # 239 when written
+    names = [f"{a}_{b}_{i}" for i, (a, b) in enumerate(zip(words, words[1:] + words[:1], strict=True))] + [f"{a}{b.title()}V{i}" for i, (a, b) in enumerate(zip(words, words[2:] + words[:2], strict=True))]
+    assert sum(novelty(context, x) >= secretscan.NOVELTY for x in names) == 0 and len(names) == 24
