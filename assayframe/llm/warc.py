@@ -35,6 +35,9 @@ ARCHIVE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 
+#: Bytes of records that a reading task gets on average.
+TASK_BYTES = 4 << 20
+
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string"
 RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -160,13 +163,16 @@ def ranges(rows: list[tuple[str, int, int]], gap: int = GAP_BYTES, most: int = R
 
 
 def read_records(index: DataFrame, folder: str, columns: str = RECORD) -> DataFrame:
-    """The records of selected index rows, in the given columns. Rows are dealt by archive and stretch of
-    READ_BYTES, sorted, and read by joined ranges, so a task reads each stretch once whatever was selected in it."""
+    """The records of selected index rows, in the given columns. Rows are dealt by archive and stretch of TASK_BYTES over as
+    many tasks, sorted, and read by joined ranges, so a task reads each stretch once whatever was selected in it."""
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[c.split()[1]] for c in columns.split(", ")]
-    stretch = F.floor(F.col("offset") / READ_BYTES)
-    chosen = index.select("archive", "offset", "length", stretch.alias("stretch")).repartition("archive", "stretch")
+    stretch = F.floor(F.col("offset") / TASK_BYTES)
+    chosen = index.select("archive", "offset", "length", stretch.alias("stretch"))
+    # Index rows are few bytes each; a stated number of partitions keeps Spark from putting all stretches into one task.
+    size = chosen.agg(F.sum("length")).first()[0] or 0
+    chosen = chosen.repartition(max(1, min(-(-size // TASK_BYTES), 20_000)), "archive", "stretch")
     chosen = chosen.sortWithinPartitions("archive", "offset").drop("stretch")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
