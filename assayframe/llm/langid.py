@@ -300,16 +300,17 @@ def _grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def identify(docs: DataFrame, learned: dict) -> DataFrame:
-    """docs with lang_pred, score, bits (per character) and rejected; other columns stay as they are.
+    """docs with lang_pred, score, bits (per character) and rejected; columns of these names are replaced, others stay.
 
     The score is the winner's share among exp(-bits) of all languages over up to 200 characters' worth of evidence.
     """
     names, groups = learned["languages"], learned["groups"]
     limits = np.array(learned["limits"]).reshape(len(names), LONGEST + 1)
     final = "lang_pred string, score double, bits double, rejected boolean"
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "bits", "rejected", "_guess")]
     if not names:
         none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(float("nan")).alias("bits"), F.lit(True).alias("rejected"))
-        return docs.withColumn("_guess", none).select(*[F.col(f"`{c}`") for c in docs.columns], "_guess.*")
+        return docs.withColumn("_guess", none).select(*own, "_guess.*")
 
     def guess_of(i: int):
         """Scores group i; joins it to what earlier groups gave (winner, its bits, odds against it), and ends at the last."""
@@ -367,7 +368,7 @@ def identify(docs: DataFrame, learned: dict) -> DataFrame:
         kind = final if i + 1 == len(groups) else "best long, low double, odds double"
         # Each group's pass is written, so no task holds the models of two.
         out = (cut(out, "langid-group") if i else out).withColumn("_guess", F.pandas_udf(guess_of(i), kind)("text", *["_guess"] * (i > 0)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_guess.*")
+    return out.select(*own, "_guess.*")
 
 
 def held_out(doc_id) -> bool:

@@ -19,9 +19,11 @@ BROADCAST_BYTES = 24 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new one if that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or in local mode a new one if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="assayframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

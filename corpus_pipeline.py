@@ -2,6 +2,12 @@
 
 Stages decide on rows, not on doc_ids, so a null or repeated doc_id joins nothing. `run` numbers the rows once in column
 ROW; a stage that is called on other documents writes them with numbers first.
+
+Edge cases: a null or empty text, or one without letters, has no language and goes in the first stage; rows that repeat
+an earlier one's text are near duplicates of it and go in the second, whatever their ids; a null doc_id is kept and told
+apart by its row; of equal rows that contamination finds all go; very long texts are read in whole; ties are settled by
+the operators' rules; columns that documents have besides are carried along under their names, those named like an
+operator's own results included; an empty table gives no rows. A document's column named as ROW is taken for the number.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from assayframe.llm.shared import cut
 
 
 #: A unique number of each row.
-ROW = "_row"
+ROW = "_pipeline_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -24,8 +30,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language the models don't reject."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"), "text")
+    return langid.identify(rows, langid.train(docs)).where("not rejected").select("_document.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out rows so that each source's words come near its target."""
     rows = numbered(docs)
     copies = mixing.mix(rows, row=(ROW,)).where("copies > 0")
-    copies = copies.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    copies = copies.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select(ROW)
     return rows.join(copies, ROW).select(*docs.columns)
 
 
