@@ -67,13 +67,15 @@ def partition_units(rows: DataFrame, factors: DataFrame, order) -> DataFrame:
     )
 
 
-#: Orders the rows of one metric and date: the newest upload first, then the order of rows, then the lower values.
-NEWEST = F.struct(F.col("uploaded_at"), F.struct(*[(-F.col(f"ord.{c}")).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]), -F.col("rescaled"), -F.col("low"), -F.col("high"))
+def newest() -> Column:
+    """Orders the rows of one metric and date: the newest upload first, then the order of rows, then the lower values."""
+    row = F.struct(*[(-F.col(f"ord.{c}")).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return F.struct(F.col("uploaded_at"), row, -F.col("rescaled"), -F.col("low"), -F.col("high"))
 
 
 def date_dedupe(points: DataFrame) -> DataFrame:
     """The newest upload's point of each metric and date, with the number of others and whether they conflict."""
-    kept = F.max_by(F.struct("rescaled", "low", "high", "units", "provider", "report_id", "ord", "display_unit"), NEWEST).alias("k")
+    kept = F.max_by(F.struct("rescaled", "low", "high", "units", "provider", "report_id", "ord", "display_unit"), newest()).alias("k")
     picked = points.groupBy("canonical", "report_date").agg(kept, F.count("*").alias("n"), F.min("rescaled").alias("lo"), F.max("rescaled").alias("hi"))
     return picked.select("canonical", "report_date", F.col("k.rescaled").alias("value"), "k.low", "k.high", "k.units", "k.provider", "k.report_id", "k.ord",
                          "k.display_unit", (F.col("n") - 1).alias("others"), (F.col("lo") < F.col("hi")).alias("conflict"))
@@ -81,7 +83,7 @@ def date_dedupe(points: DataFrame) -> DataFrame:
 
 def discarded(points: DataFrame) -> DataFrame:
     """canonical, report_date and each row that a newer upload of another value displaced, with its place from 1."""
-    place = F.row_number().over(W.partitionBy("canonical", "report_date").orderBy(F.desc(NEWEST)))
+    place = F.row_number().over(W.partitionBy("canonical", "report_date").orderBy(F.desc(newest())))
     clash = points.groupBy("canonical", "report_date").agg((F.min("rescaled") < F.max("rescaled")).alias("clash")).where("clash").drop("clash")
     rows = points.join(clash, ["canonical", "report_date"]).withColumn("place", place - 1)
     return rows.where("place > 0").select("canonical", "report_date", "place", F.col("rescaled").alias("value"), "report_id", "provider", "uploaded_at")

@@ -12,16 +12,16 @@ from assayframe.plans.filters import PICKED
 from assayframe.sources import model
 
 SINCE, UNTIL = "1996-01-01", "1998-12-31"
-LATEST = F.struct("report_date", "ord")
 
 
 def dash_rows(spark, sf_dir):
     """A row a group: label, category, tags, latest row, reports, points and trend. An unmapped group has the category of
     its first row's report, and no tags."""
     tags = model.canonicals(spark).select("canonical", "category", "tags")
-    own = F.when(F.col("value").isNotNull(), LATEST)
+    latest = F.struct("report_date", "ord")
+    own = F.when(F.col("value").isNotNull(), latest)
     groups = m.fact(spark, sf_dir).groupBy("grp", "canonical").agg(
-        F.min_by(F.struct("name", "report_category"), "ord").alias("f"), F.max_by(F.struct("value", "value_text", "flag", "report_date"), LATEST).alias("x"),
+        F.min_by(F.struct("name", "report_category"), "ord").alias("f"), F.max_by(F.struct("value", "value_text", "flag", "report_date"), latest).alias("x"),
         F.count_distinct("report_id").alias("n_reports"), F.count("value").alias("n_points"), F.sum(F.col("value").cast("decimal(38,12)")).cast("double").alias("total"),
         F.max_by("value", own).alias("last"), F.min("ord").alias("seen"),
     )
