@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.functions.text import canonical_unit, normalize_name, provider_display, trimmed
+from assayframe.functions.text import canonical_unit, js_number, normalize_name, provider_display, trimmed
 from assayframe.operators import facts
 from assayframe.sources import model
 
@@ -59,11 +59,15 @@ def unmapped_counts(spark, sf_dir):
 
 
 def unmapped_queue(spark, sf_dir):
-    """Names without a metric: rows, providers, and a sample from the newest report."""
+    """Names without a metric, most frequent first: rows, providers, and the first row of the newest report as a sample."""
     rows = fact(spark, sf_dir).where(F.col("canonical").isNull() & (F.col("key") != ""))
-    newest = F.max_by(F.struct("report_date", "units"), F.struct("report_date", "uploaded_at", "ord")).alias("s")
-    return rows.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), newest).select(
-        "key", "n", "providers", F.col("s.report_date").alias("sample_date"), F.col("s.units").alias("sample_units"))
+    shown = F.coalesce(js_number(F.col("value")), "value_text", F.lit("—")).alias("shown")
+    first = F.struct("report_date", "uploaded_at", F.struct(*[(-F.col(f"ord.{c}")).alias(c) for c in model.ORD]), F.col("value"))
+    sample = F.max_by(F.struct("report_date", "report_id", "units", shown, trimmed(F.col("name")).alias("name")), first).alias("s")
+    out = rows.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), sample)
+    return out.orderBy(F.desc("n"), "key").select(
+        "key", "n", "providers", F.col("s.name").alias("sample_name"), F.col("s.report_id").alias("sample_report"), F.col("s.report_date").alias("sample_date"),
+        F.col("s.shown").alias("sample_value"), F.col("s.units").alias("sample_units"))
 
 
 def report_rollup(spark, sf_dir):
@@ -101,8 +105,13 @@ def units_mismatch(spark, sf_dir):
 
 
 def distinct_lists(spark, sf_dir):
+    """Names and units of each metric in order, and its providers as they were first seen."""
+    rows = mapped(spark, sf_dir)
     pick = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
-    return mapped(spark, sf_dir).groupBy("canonical").agg(pick(trimmed(F.lower("name"))).alias("names"), pick("units").alias("units"), pick("provider").alias("providers"))
+    seen = rows.groupBy("canonical", "provider").agg(F.min(F.struct("report_date", "ord")).alias("first"))
+    providers = seen.groupBy("canonical").agg(F.array_sort(F.collect_list(F.struct("first", "provider"))).alias("ps"))  # a row a provider
+    lists = rows.groupBy("canonical").agg(pick(trimmed(F.lower("name"))).alias("names"), pick("units").alias("units"))
+    return lists.join(providers, "canonical").select("canonical", "names", "units", F.array_join(F.transform("ps", lambda p: p["provider"]), "|").alias("providers"))
 
 
 def plottable(spark, sf_dir):
@@ -216,14 +225,14 @@ SQL = {
     "category_counts": "select category, count(distinct canonical) as n from fact join canonicals using (canonical) group by category",
     "tag_counts": "select tag, count(*) as n from (select distinct canonical, unnest(tags) as tag from fact join canonicals using (canonical)) group by tag",
     "unmapped_counts": "select count(*) filter (where canonical is null) as n_rows, count(distinct key) filter (where canonical is null and key <> '') as n_names from fact",
-    "unmapped_queue": "select key, n, providers, s.d as sample_date, s.u as sample_units from (select key, count(*) as n, string_agg(distinct provider, ',' order by provider) as providers, arg_max_null({'d': report_date, 'u': units}, {'d': report_date, 't': uploaded_at, 'o': ord}) as s from fact where canonical is null and key <> '' group by key)",
+    "unmapped_queue": "select q.key, q.n, q.providers, trim(s.name) as sample_name, s.report_id as sample_report, s.report_date as sample_date, coalesce(case when s.value = floor(s.value) then cast(cast(s.value as bigint) as varchar) else cast(s.value as varchar) end, s.value_text, '—') as sample_value, s.units as sample_units from (select key, count(*) as n, string_agg(distinct provider, ',' order by provider) as providers from fact where canonical is null and key <> '' group by key) q join (select *, row_number() over (partition by key order by report_date desc nulls last, uploaded_at desc, ord, value desc nulls last) as r from fact where canonical is null) s on q.key = s.key and s.r = 1",
     "report_rollup": "select report_id, provider, report_date, count(*) as n_rows, count(*) filter (where flag in ('high', 'low')) as n_flagged, coalesce(string_agg(distinct category, ',' order by category), '') as categories, bool_or(canonical is null) as any_unmapped from fact left join canonicals using (canonical) group by all",
     "report_category_counts": "select category, count(distinct report_id) as n_reports from fact join canonicals using (canonical) group by category",
     "report_tag_counts": "select tag, count(distinct report_id) as n_reports from (select report_id, unnest(tags) as tag from fact join canonicals using (canonical)) group by tag",
     "dominant_value": "select canonical, unit_key from (select canonical, unit_key, row_number() over (partition by canonical order by n desc, seen) as r from (select canonical, unit_key, count(*) as n, min({'d': report_date, 'o': ord}) as seen from fact where canonical is not null and value is not null group by canonical, unit_key)) where r = 1",
     "unit_dominant_filter": "select f.canonical, count(*) filter (where f.unit_key is not distinct from d.unit_key) as n_kept, count(*) filter (where f.unit_key is distinct from d.unit_key) as n_excluded from fact f join (select canonical, unit_key from (select canonical, unit_key, row_number() over (partition by canonical order by n desc, seen) as r from (select canonical, unit_key, count(*) as n, min({'d': report_date, 'o': ord}) as seen from fact where canonical is not null and value is not null group by canonical, unit_key)) where r = 1) d on f.canonical = d.canonical where f.value is not null group by f.canonical",
     "units_mismatch": "select canonical, count(distinct unit_key) > 1 as mismatch from fact where canonical is not null and value is not null group by canonical",
-    "distinct_lists": "select canonical, string_agg(distinct key, '|' order by key) as names, string_agg(distinct units, '|' order by units) as units, string_agg(distinct provider, '|' order by provider) as providers from fact where canonical is not null group by canonical",
+    "distinct_lists": "select canonical, names, units, providers from (select canonical, string_agg(distinct key, '|' order by key) as names, string_agg(distinct units, '|' order by units) as units from fact where canonical is not null group by canonical) join (select canonical, string_agg(provider, '|' order by seen) as providers from (select canonical, provider, min({'d': report_date, 'o': ord}) as seen from fact where canonical is not null group by canonical, provider) group by canonical) using (canonical)",
     "unit_convert": "select canonical, report_id, ord[2] as line, ord[3] as part, value, ref_low, ref_high, rescaled, low, high from parted where factor is not null and factor <> 1",
     "unit_excluded": "select canonical, count(*) filter (where excluded) as n_excluded, count(*) filter (where not excluded) as n_kept from parted group by canonical",
     "metric_series_points": "select canonical, report_date, value, low, high, units, provider, others, conflict from pts",

@@ -6,12 +6,15 @@ rule says about a part's name.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayframe.functions import reports as rp
 from assayframe.functions.text import normalize_name
 from assayframe.operators import mapping as mp
 from assayframe.operators.ranking import numbered
 from assayframe.plans import measurements as m
+from assayframe.plans.derived import SINCE, UNTIL, marker_semi
 from assayframe.sources import model
 
 NOW = "1998-06-01 00:10:00"
@@ -199,6 +202,30 @@ def seed_upsert(spark, sf_dir):
     return old.unionByName(seed.join(old, "canonical", "left_anti")).select("canonical", "category")
 
 
+def ingest_rows(spark, sf_dir):
+    """What a report's rows become when it is stored: equal rows once, names resolved, panels numbered as first seen."""
+    brand = model.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).alias("panel"))
+    rows = m.fact(spark, sf_dir).withColumn("pk", F.col("ord.l_partkey")).join(brand, "pk", "left")
+    once = rows.groupBy("report_id", "key", "unit_key", "value", "value_text").agg(F.min(F.struct("ord", "panel", "canonical")).alias("x"))
+    kept = once.select("report_id", "x.ord", "x.panel", "x.canonical")
+    panels = kept.where("panel is not null").groupBy("report_id", "panel").agg(F.min("ord").alias("seen"), F.count("*").alias("n"))
+    nth = F.row_number().over(W.partitionBy("report_id").orderBy("seen", "panel"))  # one report's panels
+    return panels.select("report_id", "panel", nth.cast("long").alias("nth"), "n")
+
+
+def parser_dispatch(spark, sf_dir):
+    """The parser of each text: the first whose format it has; others are left to the caller."""
+    k = F.col("o_orderkey")
+    text = F.concat_ws("\n", F.when(k % 2 == 0, "Diagnostic Solutions Laboratory"), F.lit("BACTERIAL PATHOGENS"), F.lit("H. PYLORI"), F.lit("FUNGI/YEAST"), F.when(k % 3 == 0, "{\"metrics\": []}"))
+    name = F.coalesce(*[F.when(test(text), F.lit(n)) for n, test in rp.PARSERS.items()])
+    return model.table(spark, sf_dir, "orders").groupBy(name.alias("parser")).agg(F.count("*").alias("n"))
+
+
+def drawn_markers(spark, sf_dir):
+    """Of the markers shown in a window only those without an intervention are drawn, each at its day."""
+    return marker_semi(spark, sf_dir).where("interval_id is null").select("event_id", "day")
+
+
 ITEMS = """(select o_orderkey as item_id, o_custkey as batch_id, case o_orderstatus when 'P' then 'queued' when 'O' then 'extracting' else case when o_orderkey % 4 = 0 then 'duplicate' else 'saved' end end as status, o_orderdate as updated_at,
   coalesce(case when o_orderkey % 3 <> 0 then o_orderkey end, o_orderkey + 1) as shown from orders)"""
 #: Proposals as stored, each rule in the order of the text.
@@ -236,5 +263,8 @@ SQL = {
     "alias_backfill": "select count(*) filter (where canonical is not null) as n_matched, count(*) filter (where canonical is null) as n_left, count(distinct key) filter (where canonical is null) as n_names from fact where report_id % 2 = 0",
     "seed_new_canonicals": f"select canonical, category from canonicals where canonical not in {tuple(c for c, _ in SEED)}",
     "seed_alias_additions": f"select canonical, alias from aliases where alias_provider = '' and canonical in {tuple(c for c, _ in SEED)} and (canonical, alias) not in {tuple(SEED_ALIASES)}",
+    "ingest_rows": "select report_id, panel, row_number() over (partition by report_id order by seen, panel) as nth, n from (select report_id, x.p as panel, min(x.o) as seen, count(*) as n from (select report_id, min({'o': ord, 'p': case when ord[3] % 5 <> 0 then p_brand end, 'c': canonical}) as x from fact left join part on ord[3] = p_partkey group by report_id, key, unit_key, value, value_text) where x.p is not null group by report_id, x.p)",
+    "parser_dispatch": "select case when o_orderkey % 2 = 0 then 'panel-report' when o_orderkey % 3 = 0 then 'json' end as parser, count(*) as n from orders group by 1",
+    "drawn_markers": f"select event_id, cast(ts as date) as day from events where cast(ts as date) between date '{SINCE}' and date '{UNTIL}' and user_id % 3 = 0",
     "seed_upsert": f"select canonical, category from canonicals union select * from (values {', '.join(map(str, SEED))}) as s(canonical, category) where canonical not in (select canonical from canonicals)",
 }
