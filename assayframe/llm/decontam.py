@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayframe.llm.shared import cut, lower_ascii, sized_broadcast
+from assayframe.llm.shared import cut, lower_ascii, measured_broadcast, sized_broadcast
 
 WINDOW = 13
 ANCHORS = 3
@@ -103,7 +103,7 @@ def phrase_matches(docs: DataFrame, bench: DataFrame, n: int = WINDOW) -> tuple[
     windows, items = benchmark_windows(bench, n)
     anchors = rare_anchors(corpus, windows)
     found = intersect(index_postings(corpus, anchors), anchors)
-    phrases = sized_broadcast(windows.select("wid", "phrase"), 400)
+    phrases = measured_broadcast(windows.select("wid", "phrase"), F.octet_length(F.array_join("phrase", " ")), 400)
     tries = found.join(phrases, "wid").groupBy("key").agg(F.collect_list(F.struct("wid", "start", "len", "phrase")).alias("tries"))
     tries = cut(tries, "decon-tries")  # a document's list is bounded by its length
     wanted = sized_broadcast(tries.select("key"), 64)
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, bench: DataFrame) -> DataFrame:
     hits, named = phrase_matches(docs, bench)
     ids = named.groupBy("key").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("ids"))
     found = hits.join(ids, "key").withColumnRenamed("key", "hit_key")
-    found = sized_broadcast(cut(found, "decon-result"), 400)
+    found = measured_broadcast(cut(found, "decon-result"), F.octet_length("ids"), 200)
     rows = with_keys(docs).select("doc_id", "key", F.size("ws").cast("long").alias("n_words"))
     joined = rows.join(found, rows["key"] == found["hit_key"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

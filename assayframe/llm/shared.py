@@ -46,6 +46,12 @@ def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def measured_broadcast(df: DataFrame, size: Column, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (already cut) with a broadcast hint if its rows, of row_bytes and the bytes that `size` gives each, fit the limit."""
+    total = df.agg(F.sum(F.coalesce(size.cast("long"), F.lit(0)) + row_bytes)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     jvm = spark.sparkContext._jvm

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.shared import BROADCAST_BYTES, WordHashes, cut, drop_cut, mix64, sized_broadcast, split_words, window_hashes
+from assayframe.llm.shared import WordHashes, cut, drop_cut, measured_broadcast, mix64, sized_broadcast, split_words, window_hashes
 
 WINDOW = 50
 #: Most words of a run's symbol, then of a pair's symbol in each round. A round blurs at most the longest symbol before
@@ -183,8 +183,7 @@ def removals(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def list_side(df: DataFrame, column: str) -> DataFrame:
     """df (already cut) with a broadcast hint if its rows and list items, counted, fit the limit."""
-    got = df.agg(F.count("*").alias("n"), F.sum(F.size(column)).alias("items")).first()
-    return F.broadcast(df) if 64 * got["n"] + 32 * (got["items"] or 0) <= BROADCAST_BYTES else df
+    return measured_broadcast(df, 32 * F.size(column))
 
 
 def removed_words(n: int, ranges: list) -> np.ndarray:
