@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from assayframe.llm.decontam import OP3_SQL, op3_decontaminate
+from assayframe.llm.infill import OP11_SQL, op11_fill_in_middle
 from assayframe.llm.langid import op10_language_id
 from assayframe.llm.linedup import OP8_SQL, op8_line_dedup
 from assayframe.llm.mixing import op2_mix_sources
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
