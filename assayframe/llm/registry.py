@@ -8,6 +8,7 @@ from assayframe.llm.langid import op10_language_id
 from assayframe.llm.linedup import OP8_SQL, op8_line_dedup
 from assayframe.llm.mixing import op2_mix_sources
 from assayframe.llm.neardup import op4_near_dedup
+from assayframe.llm.prefixtrie import OP13_SQL, op13_prefix_trie
 from assayframe.llm.quality import op5_quality_rules
 from assayframe.llm.secretscan import op7_secret_scan
 from assayframe.llm.substrings import op9_substring_dedup
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
     "op8_line_dedup": OP8_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
