@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assayframe.llm.bytesuffix import op12_suffix_dedup
 from assayframe.llm.decontam import OP3_SQL, op3_decontaminate
 from assayframe.llm.infill import OP11_SQL, op11_fill_in_middle
 from assayframe.llm.langid import op10_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
