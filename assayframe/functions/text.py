@@ -113,11 +113,3 @@ def coerce_tags(c: Column) -> Column:
     items = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
     words = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
     return F.coalesce(F.transform(words, lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>"))
-
-
-# Colours in turn, the last for what has none, and providers with a colour of their own.
-PALETTE = ["labcorp", "quest", "lifeforce", "function", "genova", "vibrant", "gimap", "other"]
-PROVIDER_COLORS = {
-    "labcorp": "labcorp", "lab-corp": "labcorp", "quest": "quest", "quest-diagnostics": "quest", "lifeforce": "lifeforce", "function-health": "function", "function": "function",
-    "genova": "genova", "genova-diagnostics": "genova", "vibrant-america": "vibrant", "vibrant": "vibrant", "gi-map": "gimap", "gimap": "gimap",
-}

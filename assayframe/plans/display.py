@@ -10,6 +10,7 @@ from assayframe.functions import text as t
 from assayframe.functions import tokens
 from assayframe.operators import diff, mapping
 from assayframe.plans import measurements as m
+from assayframe.resources import load
 from assayframe.sources import model
 
 
@@ -79,11 +80,11 @@ def csv_cell(spark, sf_dir):
 def provider_colors(spark, sf_dir):
     """A colour for each provider: its own, or for others those of a fixed list in turn, by first report."""
     seen = model.reports(spark, sf_dir).groupBy("provider").agg(F.min("report_id").alias("seen"))
-    known = F.create_map(*[F.lit(x) for kv in t.PROVIDER_COLORS.items() for x in kv])
+    known = F.create_map(*[F.lit(x) for kv in load("provider_colors")["own"].items() for x in kv])
     rows = seen.withColumn("own", F.element_at(known, F.lower(F.trim("provider"))))
     turn = F.row_number().over(W.partitionBy(F.col("own").isNull()).orderBy("seen")) + 1  # a row a provider
-    palette = F.array(*[F.lit(c) for c in t.PALETTE[:-1]])
-    return rows.select("provider", F.coalesce("own", F.element_at(palette, turn % (len(t.PALETTE) - 1) + 1)).alias("color"))
+    palette = F.array(*[F.lit(c) for c in load("provider_colors")["palette"][:-1]])
+    return rows.select("provider", F.coalesce("own", F.element_at(palette, turn % (len(load("provider_colors")["palette"]) - 1) + 1)).alias("color"))
 
 
 def known_slugs(spark, sf_dir):
@@ -239,7 +240,7 @@ SQL = {
     "format_range": f"select case when lo is not null and hi is not null then ({VALUE.format(v='lo')}) || '–' || ({VALUE.format(v='hi')}) when lo is not null then '≥ ' || ({VALUE.format(v='lo')}) when hi is not null then '≤ ' || ({VALUE.format(v='hi')}) else '—' end as range, count(*) as n from (select {LOW} as lo, {HIGH} as hi from lineitem) group by 1",
     "format_bytes": "select o_orderkey, case when o_orderkey % 10 = 0 then '—' when b < 1024 then b || ' B' when b < 1048576 then printf('%.1f KB', round(b / 1024.0::double, 1)) else printf('%.1f MB', round(b / 1048576.0::double, 1)) end as size from (select o_orderkey, cast(trunc(o_totalprice * case o_orderkey % 3 when 0 then 0.001::double when 1 then 1.0::double else 500.0::double end) as bigint) as b from orders)",
     "csv_cell": "select p_partkey, case p_partkey % 4 when 0 then '\"' || p_name || ', x\"' when 1 then '\"say \"\"' || p_name || '\"\"\"' when 2 then '\"' || p_name || chr(10) || '\"' else p_name end as cell from part",
-    "provider_colors": "select provider, " + str(t.PALETTE[:-1]) + "[cast((row_number() over (order by seen) + 1) % 7 + 1 as integer)] as color from (select provider, min(report_id) as seen from reports group by provider)",
+    "provider_colors": "select provider, " + str(load("provider_colors")["palette"][:-1]) + "[cast((row_number() over (order by seen) + 1) % 7 + 1 as integer)] as color from (select provider, min(report_id) as seen from reports group by provider)",
     "known_slugs": f"select slug, slug in {tuple(mapping.CATEGORIES)} as known, {t.LABEL_SQL.replace('category', 'slug')} as label, count(*) as n from (select {SLUG} as slug from customer union all select category from canonicals) group by all",
     "pct_delta": "select case when o is null or o = 0 then '—' else case when v >= o then '+' else '' end || printf('%.1f', round((v - o) / o * 100, 1)) || '%' end as change, count(*) as n from (select case when l_linenumber <> 7 then case when l_linenumber = 6 then 0 else l_quantity end end as o, l_quantity + l_linenumber - 3 as v from lineitem) group by 1",
     "diff_name": "select p_name || ' spp' as name, count(*) as n from part group by 1",

@@ -5,7 +5,7 @@ import datetime as dt
 from assayframe.functions import reports as rp
 from assayframe.functions import text as t
 from assayframe.functions import tokens
-from assayframe.operators import diff, facts, mapping
+from assayframe.operators import diff, facts, mapping, printed
 from assayframe.operators.ranking import numbered
 from pyspark.sql import functions as F
 
@@ -78,9 +78,9 @@ def test_report_lines(spark):
     lines = ["Collected: 3/7/2024", "PATHOGENS", "BACTERIAL PHYLA", "Species A  2.9e5  1.0e1 - 8.2e6org/g 1.0e1 - 8.2e6", "Species B  <1.00e2 <dl L  1.0e3 - 5.0e8org/g", "Species C", "1.07e10  1.6e9 - 2.5e11org/g",
              "the words of this long line are prose", "Species A  7  1 - 2", "VIRUSES", "Species A  not detected  Negative", "12"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "report_id long, at long, line string")
-    got = sorted((r["panel"], r["name"], r["numeric"], r["text"], r["flag"], r["low"], r["high"], r["units"]) for r in rp.read_lines(df).collect())
-    assert got == [("Bacterial Phyla", "species a", 2.9e5, None, None, 10.0, 8.2e6, "org/g"), ("Bacterial Phyla", "species b", None, "<dl", "low", 1e3, 5e8, "org/g"),
-                   ("Bacterial Phyla", "species c", 1.07e10, None, None, 1.6e9, 2.5e11, "org/g"), ("Viruses", "species a", None, "Not Detected", None, None, None, None)]
+    got = sorted((r["panel"], r["name"], r["numeric"], r["text"], r["flag"], r["low"], r["high"], r["units"]) for r in printed.read_reports(df).collect())
+    assert got == [("Bacterial Phyla", "Species A", 2.9e5, None, None, 10.0, 8.2e6, "org/g"), ("Bacterial Phyla", "Species B", None, "<dl", "low", 1e3, 5e8, "org/g"),
+                   ("Bacterial Phyla", "Species C", 1.07e10, None, None, 1.6e9, 2.5e11, "org/g"), ("Viruses", "Species A", None, "Not Detected", None, None, None, None)]
     names = [("Lead Lead", "Lead"), ("Protein (EDN,", "Protein"), ("Total Total Iron,", "Total Iron"), ("Zinc", "Zinc")]
     cleaned = spark.createDataFrame(names, "raw string, want string").withColumn("got", rp.clean_name(F.col("raw")))
     assert all(r["want"] == r["got"] for r in cleaned.collect())
