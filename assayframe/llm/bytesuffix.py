@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.shared import cut, drop_cut, measured_broadcast, sized_broadcast, window_hashes
+from assayframe.llm.shared import cut, drop_cut, drop_shuffles, measured_broadcast, mix64, sized_broadcast, window_hashes
 
 LENGTH = 50
 #: Bytes of a gram; shorter ones are posted less often, but more of them are equal by chance.
-GRAM = 28
+GRAM = 20
 CHOICE = LENGTH - GRAM + 1
 #: Windows of a text that are looked at together; a place has PLACE_BITS bits.
 PIECE, PLACE_BITS = 1 << 19, 20
@@ -142,9 +142,10 @@ def known(names: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == names
 
 
-#: Spans of a bucket; a row of bucket -1 has a block's documents and the places of its spans.
+#: Spans of a bucket, numbered from base on, one behind the other in `spans`; a row of bucket -1 has the sizes and least doc_ids
+#: of all the block's spans, its documents and the places of the spans in them.
 SPAN_SCHEMA = (
-    "bucket long, block long, number array<int>, key array<long>, lead array<int>, span array<binary>, least array<long>, most array<long>, "
+    "bucket long, block long, base int, lead array<tinyint>, size array<tinyint>, least array<long>, spans binary, "
     "doc_id array<long>, row array<long>, at_doc array<int>, at_span array<int>, at array<long>"
 )
 
@@ -160,19 +161,15 @@ def spans_of(buckets: int):
             kinds[hot.as_py()].append(names)
         hot, cold = (np.sort(np.concatenate(kinds[k])) if kinds[k] else np.empty(0, np.uint64) for k in (True, False))
         numbers: dict[bytes, int] = {}
-        places, about, ids = [], [], list(zip(docs.column("doc_id").to_pylist(), docs.column("row").to_pylist(), strict=True))
-        least, most = [], []
+        places, about, least, ids = [], [], [], list(zip(docs.column("doc_id").to_pylist(), docs.column("row").to_pylist(), strict=True))
 
-        def post(text: bytes, key: int, lead: int, bucket: int, doc: int, at: int) -> None:
+        def post(text: bytes, lead: int, bucket: int, doc: int, at: int) -> None:
             i = numbers.setdefault(text, len(about))
             if i == len(about):
-                about.append((bucket, key, lead))
+                about.append((bucket, lead))
                 least.append(ids[doc][0])
-                most.append(ids[doc][0])
             elif ids[doc][0] < least[i]:
                 least[i] = ids[doc][0]
-            elif ids[doc][0] > most[i]:
-                most[i] = ids[doc][0]
             places.append((doc, i, at))
 
         seen = set()
@@ -185,31 +182,37 @@ def spans_of(buckets: int):
                 names = short_names(key, buckets)
                 often = known(names, hot)
                 at = np.flatnonzero(often | known(names, cold))
-                for k, b, f, z, x, split in zip(*(c[at].tolist() for c in (key.view(np.int64), names >> np.uint64(32), first, last, lead, often)), strict=True):
+                for b, f, z, x, split in zip(*(c[at].tolist() for c in (names >> np.uint64(32), first, last, lead, often)), strict=True):
                     if split:
                         for w in range(z - f + 1):
                             window = text[f + w : f + w + LENGTH]
-                            post(window, k, x - w, xxhash.xxh3_64_intdigest(window) % buckets, doc, f + w)
+                            post(window, x - w, xxhash.xxh3_64_intdigest(window) % buckets, doc, f + w)
                     else:
-                        post(text[f : z + LENGTH], k, x, b, doc, f)
-        return span_rows(block, list(numbers), about, least, most, ids, places)
+                        post(text[f : z + LENGTH], x, b, doc, f)
+        return span_rows(block, list(numbers), about, least, ids, places)
 
     return run
 
 
-def span_rows(block: int, texts: list, about: list, least: list, most: list, ids: list, places: list) -> pa.Table:
-    bucket = np.array([a[0] for a in about], np.int64)
+def span_rows(block: int, texts: list, about: list, least: list, ids: list, places: list) -> pa.Table:
+    bucket, lead = (np.array([a[i] for a in about], np.int64) for i in range(2))
     order = np.argsort(bucket, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
     kinds, at = np.unique(bucket[order], return_index=True)
-    n, offsets = len(kinds) + 1, np.append(at, len(order))
-    split = lambda values, kind: lists(np.append(offsets, offsets[-1]), pa.array(values, kind).take(pa.array(order)))
-    alone = lambda values, kind: lists(np.append(np.zeros(n, np.int64), len(values)), pa.array(values, kind))
+    ends = np.append(at, len(order))
+    texts, least = [texts[i] for i in order], np.array(least, np.int64)[order]
+    size = np.fromiter(map(len, texts), np.int8, len(texts))
+    # The last row has the lists of the whole block, the others those of their bucket.
+    split = lambda values, kind: lists(np.append(ends, 2 * len(order)), pa.array(np.tile(values, 2), kind))
+    alone = lambda values, kind: lists(np.append(np.zeros(len(kinds) + 1, np.int64), len(values)), pa.array(values, kind))
     return pa.table({
-        "bucket": pa.array(np.append(kinds, -1)), "block": pa.array(np.full(n, block)), "number": split(np.arange(len(order)), pa.int32()),
-        "key": split([a[1] for a in about], pa.int64()), "lead": split([a[2] for a in about], pa.int32()), "span": split(texts, pa.binary()),
-        "least": split(least, pa.int64()), "most": split(most, pa.int64()),
+        "bucket": pa.array(np.append(kinds, -1)), "block": pa.array(np.full(len(kinds) + 1, block)), "base": pa.array(np.append(at, 0), pa.int32()),
+        "lead": split(lead[order], pa.int8()), "size": split(size, pa.int8()), "least": split(least, pa.int64()),
+        "spans": pa.array([b"".join(texts[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)] + [None], pa.binary()),
         "doc_id": alone([d for d, _ in ids], pa.int64()), "row": alone([r for _, r in ids], pa.int64()),
-        "at_doc": alone([p[0] for p in places], pa.int32()), "at_span": alone([p[1] for p in places], pa.int32()), "at": alone([p[2] for p in places], pa.int64()),
+        "at_doc": alone([p[0] for p in places], pa.int32()), "at_span": alone(number[[p[1] for p in places]] if places else [], pa.int32()),
+        "at": alone([p[2] for p in places], pa.int64()),
     })
 
 
@@ -321,64 +324,75 @@ def least_of_windows(texts: pa.Array, key: np.ndarray, lead: np.ndarray, least:
     return begin, found
 
 
+def gram_names(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the gram at each place; grams of equal hashes only share a sort."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in (*range(0, GRAM - CHARACTER, CHARACTER), GRAM - CHARACTER):
+            out = mix64(out + characters(data, at + i))
+    return out
+
+
 def answers(rows: pa.Table) -> pa.Table:
-    """For the spans of a bucket: block, and number, first and last window and least doc_id of the runs of windows whose least
-    doc_id is below one of the block's that has the span."""
+    """For the spans of a bucket: block, and number, first and last window of the runs of windows that a doc_id below the least
+    one of the block's that have the span has too."""
     rows = rows.combine_chunks()
-    flat = {c: pc.list_flatten(rows.column(c)).combine_chunks() for c in ("number", "key", "lead", "span", "least", "most")}
-    flat = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in flat.items()}
-    number, key, lead, least, most = (flat[c].to_numpy() for c in ("number", "key", "lead", "least", "most"))
-    block = np.repeat(rows.column("block").to_numpy(), pc.list_value_length(rows.column("span")).to_numpy())
-    coded = flat["span"].dictionary_encode()
-    span = coded.indices.to_numpy()
-    texts = coded.dictionary
+    lead, size, least = (pc.list_flatten(rows.column(c)).to_numpy().astype(np.int64) for c in ("lead", "size", "least"))
+    of = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("lead")).to_numpy())
+    number = np.arange(len(of)) - np.searchsorted(of, of) + rows.column("base").to_numpy()[of]
+    block = rows.column("block").to_numpy()[of]
+    blob = b"".join(rows.column("spans").to_pylist())
+    begin = np.concatenate([[0], np.cumsum(size)])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(begin), pa.py_buffer(blob)]).dictionary_encode()
+    span, texts = coded.indices.to_numpy(), coded.dictionary
     one = np.unique(span, return_index=True)[1]
     low = np.full(len(texts), NULL_ID, np.int64)
     np.minimum.at(low, span, least)
-    begin, found = least_of_windows(texts, key[one], lead[one], low)
+    names = gram_names(np.frombuffer(blob, np.uint8), (begin[:-1] + lead)[one])
+    begin, found = least_of_windows(texts, names, lead[one], low)
     # Runs of windows of one span and least doc_id.
-    of = np.repeat(np.arange(len(texts)), np.diff(begin))
-    edge = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (of[1:] != of[:-1])]))
-    end, run_of, run_least = np.append(edge[1:], len(found)) - 1, of[edge], found[edge]
-    runs = np.searchsorted(run_of, np.arange(len(texts) + 1))
+    owner = np.repeat(np.arange(len(texts)), np.diff(begin))
+    edge = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])]))
+    end = np.append(edge[1:], len(found)) - 1
+    runs = np.searchsorted(owner[edge], np.arange(len(texts) + 1))
     n = np.diff(runs)[span]
     entry = np.repeat(np.arange(len(span)), n)
     run = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + runs[span[entry]]
-    keep = run_least[run] < most[entry]
+    keep = found[edge[run]] < least[entry]
     entry, run = entry[keep], run[keep]
     order = np.argsort(block[entry], kind="stable")
     entry, run = entry[order], run[order]
     blocks, at = np.unique(block[entry], return_index=True)
-    offsets = np.append(at, len(entry))
-    base = begin[span[entry]]
+    offsets, base = np.append(at, len(entry)), begin[span[entry]]
     return pa.table({
         "block": pa.array(blocks.astype(np.int64)), "number": lists(offsets, pa.array(number[entry], pa.int32())),
-        "first": lists(offsets, pa.array((edge[run] - base).astype(np.int32))), "last": lists(offsets, pa.array((end[run] - base).astype(np.int32))),
-        "least": lists(offsets, pa.array(run_least[run])),
+        "first": lists(offsets, pa.array(edge[run] - base, pa.int8())), "last": lists(offsets, pa.array(end[run] - base, pa.int8())),
     })
 
 
-ANSWER_SCHEMA = "block long, number array<int>, first array<int>, last array<int>, least array<long>"
+ANSWER_SCHEMA = "block long, number array<int>, first array<tinyint>, last array<tinyint>"
 
 
 def block_ranges(places: pa.Table, told: pa.Table) -> pa.Table:
-    """For the places of a block's spans and what their buckets answered: the ranges of bytes that each document loses."""
+    """For the places of a block's spans and what their buckets answered: the ranges of bytes that each document loses. A span
+    that a smaller doc_id of the block has goes in whole, of others the windows that are answered."""
     names = ["doc_id", "row", "ranges"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
-    if not told.num_rows:
+    if not places.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
-    column = lambda t, c: pc.list_flatten(t.combine_chunks().column(c)).to_numpy()
-    number, first, last, least = (column(told, c) for c in ("number", "first", "last", "least"))
+    column = lambda t, c: pc.list_flatten(t.combine_chunks().column(c)).to_numpy() if t.num_rows else np.empty(0, np.int64)
+    number, first, last = (column(told, c) for c in ("number", "first", "last"))
     order = np.argsort(number, kind="stable")
-    number, first, last, least = number[order], first[order], last[order], least[order]
-    ids, rows, doc, span, at = (column(places, c) for c in ("doc_id", "row", "at_doc", "at_span", "at"))
-    lo, hi = np.searchsorted(number, span), np.searchsorted(number, span, "right")
-    n = hi - lo
+    number, first, last = number[order], first[order], last[order]
+    ids, rows, size, least, doc, span, at = (column(places, c) for c in ("doc_id", "row", "size", "least", "at_doc", "at_span", "at"))
+    later = ids[doc] > least[span]
+    lo = np.searchsorted(number, span)
+    n = np.where(later, 0, np.searchsorted(number, span, "right") - lo)
     entry = np.repeat(np.arange(len(span)), n)
     run = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + lo[entry]
-    keep = least[run] < ids[doc[entry]]
-    entry, run = entry[keep], run[keep]
-    start, stop, doc = at[entry] + first[run], at[entry] + last[run] + LENGTH, doc[entry]
+    start = np.concatenate([at[later], at[entry] + first[run]])
+    stop = np.concatenate([at[later] + size[span[later]], at[entry] + last[run] + LENGTH])
+    doc = np.concatenate([doc[later], doc[entry]])
     order = np.lexsort((start, doc))
     start, stop, doc = start[order], stop[order], doc[order]
     out = []
@@ -403,12 +417,15 @@ def removals(texts: DataFrame, n_bytes: int, hot: int = HOT) -> DataFrame:
     docs = texts.withColumn("block", F.pmod("row", F.lit(blocks)))
     grams = docs.groupBy("block").applyInArrow(grams_of(buckets), GRAM_SCHEMA)
     shared = cut(grams.groupBy("bucket").applyInArrow(shared_grams(hot), SHARED_SCHEMA), "byte-grams")
+    drop_shuffles(texts.sparkSession)
     posted = cut(docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(spans_of(buckets), SPAN_SCHEMA), "byte-spans")
     drop_cut(shared)
-    told = posted.where("bucket >= 0").select("bucket", "block", "number", "key", "lead", "span", "least", "most").groupBy("bucket").applyInArrow(answers, ANSWER_SCHEMA)
-    places = posted.where("bucket < 0").select("block", "doc_id", "row", "at_doc", "at_span", "at")
+    drop_shuffles(texts.sparkSession)
+    told = posted.where("bucket >= 0").select("bucket", "block", "base", "lead", "size", "least", "spans").groupBy("bucket").applyInArrow(answers, ANSWER_SCHEMA)
+    places = posted.where("bucket < 0").select("block", "size", "least", "doc_id", "row", "at_doc", "at_span", "at")
     ranges = cut(places.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(block_ranges, RANGE_SCHEMA), "byte-ranges")
     drop_cut(posted)
+    drop_shuffles(texts.sparkSession)
     return ranges
 
 

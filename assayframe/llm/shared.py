@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -65,6 +66,12 @@ def drop_cut(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets the driver forget the plans of finished jobs now, so that Spark's cleaner deletes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
