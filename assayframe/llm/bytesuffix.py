@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.shared import cut, drop_cut, drop_shuffles, measured_broadcast, mix64, sized_broadcast, window_hashes
+from assayframe.llm.shared import cut, cut_tidily, drop_cut, measured_broadcast, mix64, sized_broadcast, window_hashes
 
 LENGTH = 50
 #: Bytes of a gram; shorter ones are posted less often, but more of them are equal by chance.
@@ -416,16 +416,13 @@ def removals(texts: DataFrame, n_bytes: int, hot: int = HOT) -> DataFrame:
     blocks, buckets = max(1, -(-n_bytes // BLOCK_BYTES)), max(1, -(-n_bytes // BUCKET_BYTES))
     docs = texts.withColumn("block", F.pmod("row", F.lit(blocks)))
     grams = docs.groupBy("block").applyInArrow(grams_of(buckets), GRAM_SCHEMA)
-    shared = cut(grams.groupBy("bucket").applyInArrow(shared_grams(hot), SHARED_SCHEMA), "byte-grams")
-    drop_shuffles(texts.sparkSession)
-    posted = cut(docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(spans_of(buckets), SPAN_SCHEMA), "byte-spans")
+    shared = cut_tidily(grams.groupBy("bucket").applyInArrow(shared_grams(hot), SHARED_SCHEMA), "byte-grams")
+    posted = cut_tidily(docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(spans_of(buckets), SPAN_SCHEMA), "byte-spans")
     drop_cut(shared)
-    drop_shuffles(texts.sparkSession)
     told = posted.where("bucket >= 0").select("bucket", "block", "base", "lead", "size", "least", "spans").groupBy("bucket").applyInArrow(answers, ANSWER_SCHEMA)
     places = posted.where("bucket < 0").select("block", "size", "least", "doc_id", "row", "at_doc", "at_span", "at")
-    ranges = cut(places.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(block_ranges, RANGE_SCHEMA), "byte-ranges")
+    ranges = cut_tidily(places.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(block_ranges, RANGE_SCHEMA), "byte-ranges")
     drop_cut(posted)
-    drop_shuffles(texts.sparkSession)
     return ranges
 
 
@@ -464,7 +461,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
 def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     every, copies, lost = remove_repeats(docs, hot)
-    lost = cut(lost.select("doc_id", "row", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")), "byte-lost")
+    lost = cut_tidily(lost.select("doc_id", "row", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")), "byte-lost")
     joined = every.join(copies.withColumn("gone", F.lit(True)), ["doc_id", "row"], "left").join(lost, ["doc_id", "row"], "left")
     none = F.lit(0).cast("long")
     return joined.select(

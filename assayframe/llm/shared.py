@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -66,10 +65,22 @@ def drop_cut(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Lets the driver forget the plans of finished jobs now, so that Spark's cleaner deletes their shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Makes Spark delete the shuffle files of a job when it has ended, not when the driver happens to forget its plan.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_tidily(df: DataFrame, name: str) -> DataFrame:
+    """cut() that leaves no shuffle files behind; an executor lost while it runs still costs its own stages only."""
+    spark = df.sparkSession
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        return cut(df, name)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
 
 
 def lower_ascii(c: Column) -> Column:
