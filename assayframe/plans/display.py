@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assayframe.functions import reports as rp
 from assayframe.functions import text as t
 from assayframe.functions import tokens
-from assayframe.operators import diff, mapping
+from assayframe.operators import diff, mapping, printed
 from assayframe.plans import measurements as m
 from assayframe.resources import load
 from assayframe.sources import model
@@ -193,7 +193,7 @@ def row_shape(spark, sf_dir):
 
 def parse_report(spark, sf_dir):
     """Rows of printed reports: panel, name, value, flag and range; of a panel's equal names the first."""
-    rows = rp.read_lines(_lines(spark, sf_dir).select("report_id", _order().alias("at"), "line"))
+    rows = printed.read_reports(_lines(spark, sf_dir).select("report_id", _order().alias("at"), "line")).withColumn("name", F.lower("name"))
     return rows.groupBy("panel", "name", "flag").agg(F.count("*").alias("n"), F.sum(F.col("numeric").cast("decimal(18,4)")).cast("double").alias("total"), F.sum(F.col("low").cast("decimal(18,4)")).cast("double").alias("low"), F.sum(F.col("high").cast("decimal(18,4)")).cast("double").alias("high"))
 
 
@@ -210,13 +210,6 @@ def json_slice(spark, sf_dir):
     return model.table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json(rp.json_part(raw)), "$.k", "long").alias("k"))
 
 
-def json_salvage(spark, sf_dir):
-    """Items of a JSON list that was cut off; the broken last one is left out."""
-    whole = F.concat(F.lit('{"metrics":[{"k":1,"s":"a}\\""},{"k":'), F.col("user_id").cast("string"), F.lit('},{"k":3,"s":"cut off here"}]}'))
-    cut = F.when(F.col("event_id") % 2 == 0, F.substring(whole, F.lit(1), F.length(whole) - 12)).otherwise(whole)
-    return model.table(spark, sf_dir, "events").select("event_id", rp.salvaged(cut).alias("items")).select("event_id", F.size("items").cast("long").alias("n"), F.expr("items[1].k").alias("k"))
-
-
 def page_rows(spark, sf_dir):
     """Text rows of a page from placed pieces: equal pieces once, rows of near height, a tab where the gap is wide."""
     n = model.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
@@ -257,6 +250,5 @@ SQL = {
     "parse_report": f"select panel, trim(any_value(k)) as name, flag, count(*) as n, cast(sum(cast(value as decimal(18,4))) as double) as total, cast(sum(cast(cast(ref_low as decimal(12,2)) as decimal(18,4))) as double) as low, cast(sum(cast(cast(ref_high as decimal(12,2)) as decimal(18,4))) as double) as high from (select panel, k, case when flag = 'high' then 'high' end as flag, value, ref_low, ref_high, row_number() over (partition by report_id, panel, k order by line, ord, value, ref_low, ref_high, flag) as r from {PRINTED}) where r = 1 group by panel, k, flag",
     "clean_name": "select p_partkey, p_name || case when p_partkey % 4 = 2 then ' Count' else '' end as name from part",
     "json_slice": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
-    "json_salvage": "select event_id, case when event_id % 2 = 0 then 2 else 3 end::bigint as n, user_id as k from events",
     "page_rows": "select line, count(*) as n from (select distinct l_orderkey, cast(l_linenumber as varchar) || ' b' || chr(9) || 'c' as line from lineitem) group by line",
 }

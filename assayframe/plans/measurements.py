@@ -177,13 +177,6 @@ def search_metrics(spark, sf_dir, text="in", n=8):
     return found.where(F.col("by_name") | F.col("matched_alias").isNotNull()).orderBy(F.desc("by_name"), "canonical").limit(n).select("canonical", "by_name", "matched_alias", "n_aliases")
 
 
-def within_report_dedupe(spark, sf_dir):
-    """One row per report, name, unit, value and text; missing references come from the first later row that has them."""
-    return fact(spark, sf_dir).groupBy("report_id", "key", "unit_key", "value", "value_text").agg(
-        F.min_by("ref_low", F.when(F.col("ref_low").isNotNull(), F.col("ord"))).alias("ref_low"),
-        F.min_by("ref_high", F.when(F.col("ref_high").isNotNull(), F.col("ord"))).alias("ref_high"), (F.count("*") - 1).alias("dropped"))
-
-
 def file_hash_dedupe(spark, sf_dir):
     """The first document of each content hash."""
     docs = model.table(spark, sf_dir, "documents")
@@ -243,7 +236,6 @@ SQL = {
     "recent_reports": "select report_id, provider, report_date from reports order by report_date desc nulls last, uploaded_at desc, report_id limit 5",
     "report_type_breakdown": "select report_category, count(*) as n from reports group by report_category",
     "search_metrics": "select canonical, by_name, matched_alias, n_aliases from (select c.canonical, c.canonical like '%in%' as by_name, a.matched_alias, a.n_aliases from canonicals c left join (select canonical, count(*) as n_aliases, min(alias) filter (where alias like '%in%') as matched_alias from aliases group by canonical) a using (canonical)) where by_name or matched_alias is not null order by by_name desc, canonical limit 8",
-    "within_report_dedupe": "select report_id, key, unit_key, value, value_text, arg_min(ref_low, ord) as ref_low, arg_min(ref_high, ord) as ref_high, count(*) - 1 as dropped from fact group by report_id, key, unit_key, value, value_text",
     "file_hash_dedupe": "select sha256(text) as file_hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1",
     "interventions_split": "select stopped_on is null as active, count(*) as n, min(started_on) as earliest from iv group by 1",
     "intervention_days": "select user_id, cast(greatest(0, date_diff('day', started_on, coalesce(stopped_on, date '2024-02-01'))) as bigint) as days from iv",

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayframe.functions import reports as rp
 from assayframe.functions.text import normalize_name
+from assayframe.operators import ingest, parsers
 from assayframe.operators import mapping as mp
 from assayframe.operators.ranking import numbered
 from assayframe.plans import measurements as m
@@ -173,8 +173,8 @@ def manual_alias_upsert(spark, sf_dir, name="red ring", target="gear"):
 
 
 def alias_backfill(spark, sf_dir):
-    """Rows that a second look at the aliases would fill, here those of every other report, and those that stay unmapped."""
-    rows = m.fact(spark, sf_dir).where("report_id % 2 = 0")
+    """Rows that a second look at the aliases fills, and those that stay unmapped."""
+    rows = m.fact(spark, sf_dir)
     return rows.agg(F.count_if(F.col("canonical").isNotNull()).alias("n_matched"), F.count_if(F.col("canonical").isNull()).alias("n_left"), F.count_distinct(F.when(F.col("canonical").isNull(), F.col("key"))).alias("n_names"))
 
 
@@ -206,8 +206,8 @@ def ingest_rows(spark, sf_dir):
     """What a report's rows become when it is stored: equal rows once, names resolved, panels numbered as first seen."""
     brand = model.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).alias("panel"))
     rows = m.fact(spark, sf_dir).withColumn("pk", F.col("ord.l_partkey")).join(brand, "pk", "left")
-    once = rows.groupBy("report_id", "key", "unit_key", "value", "value_text").agg(F.min(F.struct("ord", "panel", "canonical")).alias("x"))
-    kept = once.select("report_id", "x.ord", "x.panel", "x.canonical")
+    rows = rows.select("report_id", "ord", "panel", "canonical", "name", "units", "value", "value_text", "ref_low", "ref_high", "flag")
+    kept = ingest.folded(rows, ["report_id"], "ord", "name", "units", "value", "value_text", "ref_low", "ref_high", "flag")
     panels = kept.where("panel is not null").groupBy("report_id", "panel").agg(F.min("ord").alias("seen"), F.count("*").alias("n"))
     nth = F.row_number().over(W.partitionBy("report_id").orderBy("seen", "panel"))  # one report's panels
     return panels.select("report_id", "panel", nth.cast("long").alias("nth"), "n")
@@ -217,8 +217,7 @@ def parser_dispatch(spark, sf_dir):
     """The parser of each text: the first whose format it has; others are left to the caller."""
     k = F.col("o_orderkey")
     text = F.concat_ws("\n", F.when(k % 2 == 0, "Diagnostic Solutions Laboratory"), F.lit("BACTERIAL PATHOGENS"), F.lit("H. PYLORI"), F.lit("FUNGI/YEAST"), F.when(k % 3 == 0, "{\"metrics\": []}"))
-    name = F.coalesce(*[F.when(test(text), F.lit(n)) for n, test in rp.PARSERS.items()])
-    return model.table(spark, sf_dir, "orders").groupBy(name.alias("parser")).agg(F.count("*").alias("n"))
+    return model.table(spark, sf_dir, "orders").groupBy(parsers.chosen(text, parsers.REGISTRY).alias("parser")).agg(F.count("*").alias("n"))
 
 
 def drawn_markers(spark, sf_dir):
@@ -260,10 +259,10 @@ SQL = {
     "proposal_patch": f"select key, case length(key) % 4 when 0 then 'map_existing' when 1 then 'create_new' else action end as action, case length(key) % 4 when 0 then 'ring' when 1 then 'New ' || key else target end as target, case when length(key) % 4 < 2 then 'approved' else 'pending' end as status from {STORED}",
     "apply_backfill": "select coalesce(canonical, new) as canonical, count(*) as n, count(*) filter (where canonical is null and new is not null) as n_filled from (select canonical, case when key like 'cold %' and exists (select 1 from part q where q.p_name = 'old ' || split_part(fact.key, ' ', 2)) then 'Old ' || split_part(key, ' ', 2) end as new from fact) group by 1",
     "manual_alias_upsert": "select canonical, alias_provider, count(*) as n, max(alias) as last from (select * from aliases where not (alias = 'red ring' and alias_provider = '') union all select 'red ring', '', 'gear') group by all",
-    "alias_backfill": "select count(*) filter (where canonical is not null) as n_matched, count(*) filter (where canonical is null) as n_left, count(distinct key) filter (where canonical is null) as n_names from fact where report_id % 2 = 0",
+    "alias_backfill": "select count(*) filter (where canonical is not null) as n_matched, count(*) filter (where canonical is null) as n_left, count(distinct key) filter (where canonical is null) as n_names from fact",
     "seed_new_canonicals": f"select canonical, category from canonicals where canonical not in {tuple(c for c, _ in SEED)}",
     "seed_alias_additions": f"select canonical, alias from aliases where alias_provider = '' and canonical in {tuple(c for c, _ in SEED)} and (canonical, alias) not in {tuple(SEED_ALIASES)}",
-    "ingest_rows": "select report_id, panel, row_number() over (partition by report_id order by seen, panel) as nth, n from (select report_id, x.p as panel, min(x.o) as seen, count(*) as n from (select report_id, min({'o': ord, 'p': case when ord[3] % 5 <> 0 then p_brand end, 'c': canonical}) as x from fact left join part on ord[3] = p_partkey group by report_id, key, unit_key, value, value_text) where x.p is not null group by report_id, x.p)",
+    "ingest_rows": "select report_id, panel, row_number() over (partition by report_id order by seen, panel) as nth, n from (select report_id, x.p as panel, min(x.o) as seen, count(*) as n from (select report_id, min({'o': ord, 'p': case when ord[3] % 5 <> 0 then p_brand end, 'c': canonical}) as x from fact left join part on ord[3] = p_partkey group by report_id, key, unit_key, value, lower(trim(coalesce(value_text, '')))) where x.p is not null group by report_id, x.p)",
     "parser_dispatch": "select case when o_orderkey % 2 = 0 then 'panel-report' when o_orderkey % 3 = 0 then 'json' end as parser, count(*) as n from orders group by 1",
     "drawn_markers": f"select event_id, cast(ts as date) as day from events where cast(ts as date) between date '{SINCE}' and date '{UNTIL}' and user_id % 3 = 0",
     "seed_upsert": f"select canonical, category from canonicals union select * from (values {', '.join(map(str, SEED))}) as s(canonical, category) where canonical not in (select canonical from canonicals)",
