@@ -29,14 +29,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.shared import cut, cut_tidily, drop_cut, measured_broadcast, mix64, sized_broadcast, window_hashes
 
 LENGTH = 50
-#: Bytes of a gram; shorter ones are posted less often, but more of them are equal by chance.
-GRAM = 20
+#: Bytes of a gram; shorter ones are posted less often, but more of them are equal by chance, the more the larger the corpus.
+GRAM = 28
 CHOICE = LENGTH - GRAM + 1
 #: Windows of a text that are looked at together; a place has PLACE_BITS bits.
 PIECE, PLACE_BITS = 1 << 19, 20
@@ -142,7 +143,7 @@ def known(names: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == names
 
 
-#: Spans of a bucket, numbered from base on, one behind the other in `spans`; a row of bucket -1 has the sizes and least doc_ids
+#: Spans of a bucket, numbered from base on, one behind the other and compressed in `spans`; a row of bucket -1 has the sizes and least doc_ids
 #: of all the block's spans, its documents and the places of the spans in them.
 SPAN_SCHEMA = (
     "bucket long, block long, base int, lead array<tinyint>, size array<tinyint>, least array<long>, spans binary, "
@@ -195,6 +196,7 @@ def spans_of(buckets: int):
 
 
 def span_rows(block: int, texts: list, about: list, least: list, ids: list, places: list) -> pa.Table:
+    pack = zstandard.ZstdCompressor(level=1).compress
     bucket, lead = (np.array([a[i] for a in about], np.int64) for i in range(2))
     order = np.argsort(bucket, kind="stable")
     number = np.empty(len(order), np.int64)
@@ -209,7 +211,7 @@ def span_rows(block: int, texts: list, about: list, least: list, ids: list, plac
     return pa.table({
         "bucket": pa.array(np.append(kinds, -1)), "block": pa.array(np.full(len(kinds) + 1, block)), "base": pa.array(np.append(at, 0), pa.int32()),
         "lead": split(lead[order], pa.int8()), "size": split(size, pa.int8()), "least": split(least, pa.int64()),
-        "spans": pa.array([b"".join(texts[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)] + [None], pa.binary()),
+        "spans": pa.array([pack(b"".join(texts[a:z])) for a, z in zip(ends[:-1], ends[1:], strict=True)] + [None], pa.binary()),
         "doc_id": alone([d for d, _ in ids], pa.int64()), "row": alone([r for _, r in ids], pa.int64()),
         "at_doc": alone([p[0] for p in places], pa.int32()), "at_span": alone(number[[p[1] for p in places]] if places else [], pa.int32()),
         "at": alone([p[2] for p in places], pa.int64()),
@@ -341,7 +343,7 @@ def answers(rows: pa.Table) -> pa.Table:
     of = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("lead")).to_numpy())
     number = np.arange(len(of)) - np.searchsorted(of, of) + rows.column("base").to_numpy()[of]
     block = rows.column("block").to_numpy()[of]
-    blob = b"".join(rows.column("spans").to_pylist())
+    blob = b"".join(map(zstandard.ZstdDecompressor().decompress, rows.column("spans").to_pylist()))
     begin = np.concatenate([[0], np.cumsum(size)])
     coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(begin), pa.py_buffer(blob)]).dictionary_encode()
     span, texts = coded.indices.to_numpy(), coded.dictionary
