@@ -29,6 +29,12 @@ def canonical_unit(c: Column) -> Column:
     return F.nullif(F.coalesce(F.element_at(known, key), key), F.lit(""))
 
 
+def in_order(c: Column) -> Column:
+    """A text to sort by as its readers would: letters before accents before case, small letters first; ties by code point are
+    for the caller to settle."""
+    return F.collate(c, "UNICODE")
+
+
 def format_range(low: Column, high: Column, fmt) -> Column:
     return (
         F.when(low.isNotNull() & high.isNotNull(), F.concat(fmt(low), F.lit("–"), fmt(high)))
@@ -61,15 +67,91 @@ def trend_of(n: Column, total: Column, last: Column) -> Column:
     return F.when((n < 2) | (F.abs(prior) < 1e-9), "flat").when(change > 0.05, "up").when(change < -0.05, "down").otherwise("flat")
 
 
+def let(value: Column, then) -> Column:
+    """then(value), where value is worked out once however often `then` names it."""
+    return F.transform(F.array(value), lambda v: then(v))[0]
+
+
+def _parts(x: Column) -> Column:
+    """Digits d, without zeros at either end, and point n of a positive double: 0.d times ten to the n."""
+    s = x.cast("string")
+    part = lambda i: F.regexp_extract(s, r"^(\d+)\.(\d+)(?:E(-?\d+))?$", i)
+    every = F.concat(part(1), part(2))
+    bare = F.regexp_replace(every, "^0+", "")
+    point = F.length(part(1)) + F.coalesce(part(3).try_cast("int"), F.lit(0)) - F.length(every) + F.length(bare)
+    return F.struct(_bare_end(bare).alias("d"), point.alias("n"))
+
+
+def _bare_end(digits: Column) -> Column:
+    return F.regexp_replace(digits, "0+$", "")
+
+
+def _nearest(x: Column, p: Column) -> Column:
+    """Of whole numbers that a long holds the digits that come nearest, where older Java prints others that read as the same."""
+    whole = F.when((x >= float(2**53)) & (x < float(2**63)), x.cast("long").cast("decimal(19,0)"))
+    out = p
+    for left in (1, 2, 3):
+        near = F.bround(whole, -left).cast("decimal(20,0)").cast("string")
+        fits = whole.isNotNull() & (F.length(p["d"]) >= 16) & (F.length(near) == F.length(p["d"]) + left) & (near.try_cast("double") == x)
+        out = F.when(fits, F.struct(_bare_end(near).alias("d"), p["n"].alias("n"))).otherwise(out)
+    return out
+
+
+def _shorter(x: Column, p: Column) -> Column:
+    """The same with a digit less where that still reads as x: older Java prints some doubles with more digits than they need."""
+    digits = p["d"].try_cast("decimal(20,0)")
+    less = F.floor(digits / 10).cast("decimal(20,0)")
+    near = F.floor((digits + 5) / 10).cast("decimal(20,0)")
+    power = (p["n"] - F.length(p["d"]) + 1).cast("string")
+
+    def cut(whole: Column) -> Column:
+        s = whole.cast("string")
+        return F.struct(_bare_end(s).alias("d"), (p["n"] + F.length(s) - F.length(p["d"]) + 1).alias("n"))
+
+    reads = lambda whole: (whole > 0) & (F.concat(whole.cast("string"), F.lit("E"), power).try_cast("double") == x)
+    other = less + less + 1 - near
+    return F.when((F.length(p["d"]) < 16) & (x > 1e-300), p).when(reads(near), cut(near)).when(reads(other), cut(other)).otherwise(p)
+
+
 def js_number(c: Column) -> Column:
-    """A double as a browser prints it: whole numbers without a point, no exponent between 1e-6 and 1e21."""
-    plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,16)").cast("string"), "0+$", ""), "[.]$", "")
-    return F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).when(c.cast("string").contains("E"), plain).otherwise(c.cast("string"))
+    """A double as a browser prints it: the shortest digits that read as the same number; an exponent from 1e21 on and below
+    1e-6; whole numbers without a point, a negative zero without a sign."""
+    x = F.abs(c)
+
+    def text(p: Column) -> Column:
+        d, n, k = p["d"], p["n"], F.length(p["d"])
+        power = F.concat(F.when(n > 0, "+").otherwise("-"), F.abs(n - 1).cast("string"))
+        tail = F.when(k > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), k))).otherwise("")
+        return (
+            F.when((k <= n) & (n <= 21), F.rpad(d, n, F.lit("0"))).when((n > 0) & (n <= 21), F.concat(F.substring(d, F.lit(1), n), F.lit("."), F.substring(d, n + 1, k)))
+            .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), d)).otherwise(F.concat(F.substring(d, 1, 1), tail, F.lit("e"), power))
+        )
+
+    digits = _parts(x)
+    for better in (_shorter, _shorter, _nearest):
+        digits = let(digits, lambda p, better=better: better(x, p))
+    printed = let(digits, text)
+    sign = F.when(c < 0, "-").otherwise("")
+    return F.when(c.isNull(), None).when(F.isnan(c), "NaN").when(c == 0, "0").when(x == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, printed))
+
+
+def rounded(c: Column) -> Column:
+    """A double at three places, ties of its exact value away from zero, as a double again.
+
+    The fraction times 2 ** 62 is a whole number (only in fractions below 2 ** -10, where no tie is, something is cut off), so
+    what follows is exact."""
+    x = F.abs(c)
+    whole = F.floor(x)
+    fraction = ((x - whole) * float(2**62)).cast("long").cast("decimal(19,0)")
+    half, one = (F.lit(str(2**n)).cast("decimal(20,0)") for n in (62, 63))
+    thousandths = F.call_function("div", fraction * F.lit(2000).cast("decimal(4,0)") + half, one)
+    near = F.concat((whole + F.when(thousandths == 1000, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((thousandths % 1000).cast("string"), 3, F.lit("0"))).cast("double")
+    return F.when(x >= float(2**52), c).when(c < 0, -near).otherwise(near)
 
 
 def format_value(c: Column) -> Column:
-    """Whole numbers from 100 on as they are, others to three places without trailing zeros."""
-    return F.when((F.abs(c) >= 100) & (c == F.floor(c)), c.cast("decimal(38,0)").cast("string")).otherwise(F.call_function("format_number", c, F.lit("0.###")))
+    """Whole numbers from 100 on as they are, others to three places without trailing zeros; a dash if it isn't finite."""
+    return F.when(c.isNull(), None).when(F.isnan(c) | (F.abs(c) == float("inf")), "—").when((F.abs(c) >= 100) & (c == F.floor(c)), js_number(c)).otherwise(js_number(rounded(c)))
 
 
 def format_bytes(c: Column) -> Column:

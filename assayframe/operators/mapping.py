@@ -96,7 +96,17 @@ def patched(rows: DataFrame, chosen: Column, renamed: Column) -> DataFrame:
     """Proposals after edits: a chosen metric, or else the name of a new one; an edit approves."""
     action = F.when(chosen.isNotNull(), "map_existing").when(renamed.isNotNull(), "create_new").otherwise(F.col("action"))
     edited = chosen.isNotNull() | renamed.isNotNull()
-    return rows.select("key", action.alias("action"), F.coalesce(chosen, renamed, F.col("target")).alias("target"), F.when(edited, "approved").otherwise("pending").alias("status"))
+    return rows.select("key", action.alias("action"), F.coalesce(chosen, renamed, F.col("target")).alias("target"), "confidence", F.when(edited, "approved").otherwise("pending").alias("status"))
+
+
+def listed(rows: DataFrame, action: str | None = None, status: str | None = None, least: float | None = None) -> DataFrame:
+    """Proposals of an action, a status and a confidence, each if given; surest first, then by name. No confidence is below all."""
+    for column, wanted in (("action", action), ("status", status)):
+        if wanted is not None:
+            rows = rows.where(F.col(column) == wanted)
+    if least is not None:
+        rows = rows.where(F.col("confidence") >= least)
+    return rows.orderBy(F.desc_nulls_last("confidence"), "key")
 
 
 def alias_targets(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,33 @@ def overlapping(intervals: DataFrame, since: Column, until: Column) -> DataFrame
     return intervals.where((F.col("started_on") <= until) & (F.col("stopped_on").isNull() | (F.col("stopped_on") >= since)))
 
 
+#: Days of a bucket in which dates and ranges meet.
+BUCKET_DAYS = 32
+
+
+def dates_in_ranges(dates: DataFrame, at: str, ranges: DataFrame, first: str, last: str) -> DataFrame:
+    """Every date of `dates` with every range of `ranges` that holds it, ends included.
+
+    Both meet in buckets of days by an equi-join: a date lies in one, a range in all that it touches, so a pair comes once.
+    A bucket that many share is split by Spark like any skewed key. Null dates and ends, and ranges that end before they begin,
+    meet nothing; columns of both sides must have different names."""
+    bucket = lambda c: F.floor(F.unix_date(c) / BUCKET_DAYS)
+    spread = ranges.where(F.col(first) <= F.col(last)).withColumn("_bucket", F.explode(F.sequence(bucket(first), bucket(last))))
+    return dates.withColumn("_bucket", bucket(at)).join(spread, "_bucket").where(F.col(at).between(F.col(first), F.col(last))).drop("_bucket")
+
+
+def overlapping_pairs(windows: DataFrame, since: str, until: str, intervals: DataFrame, started: str, stopped: str) -> DataFrame:
+    """Every window (since, until) with every interval (started, stopped) that meets it; an interval without an end is open.
+
+    Either the interval starts inside the window, or the window starts after it and inside it, never both; so two joins of dates
+    with ranges hold all pairs once, without a nested loop. An open interval ends with the last window."""
+    last = windows.agg(F.max(until)).first()[0]
+    held = intervals.withColumn("_stop", F.coalesce(stopped, F.lit(last).cast("date")))
+    inside = dates_in_ranges(held, started, windows, since, until).where(F.col("_stop") >= F.col(since))
+    before = dates_in_ranges(windows, since, held.withColumn("_after", F.date_add(started, 1)), "_after", "_stop").drop("_after")
+    return inside.unionByName(before.where(F.col(until) >= F.col(since))).drop("_stop")
+
+
 def shown_markers(markers: DataFrame, bands: DataFrame) -> DataFrame:
     """Markers without an interval, and those whose interval is among the bands.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.functions.text import normalize_name
+from assayframe.functions.text import in_order, normalize_name
 from assayframe.operators import facts, overlays
 from assayframe.plans import derived as d
 from assayframe.plans import measurements as m
@@ -75,19 +75,22 @@ def parse_id_list(spark, sf_dir, most=4):
     return o.select("o_orderkey", F.array_join(F.slice(ids, 1, most).cast("array<string>"), ",").alias("ids"))
 
 
-def chip_filter(spark, sf_dir, categories=("cbc",), tags=("longevity",), text="r"):
+def _catalog(spark, sf_dir):
+    """Metrics that the parts' names stand for: category by the part's first type, tags by its brands."""
+    return model.table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("canonical")).agg(F.lower(F.min("p_type")).alias("category"), F.array_sort(F.collect_set("p_brand")).alias("tags"))  # a name's brands
+
+
+def chip_filter(spark, sf_dir, categories=("economy",), tags=("Brand#13",), text="r"):
     """Metrics of any chosen category or tag whose name or category holds the text."""
-    c = model.canonicals(spark)
     chosen = F.col("category").isin(*categories) | F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags]))
-    return c.where(chosen & (F.lower("canonical").contains(text) | F.lower("category").contains(text))).select("canonical", "category")
+    return _catalog(spark, sf_dir).where(chosen & (F.lower("canonical").contains(text) | F.lower("category").contains(text))).select("canonical", "category")
 
 
 def picker(spark, sf_dir, text="i", most=20):
     """Metrics that aren't picked yet and match the text, the first twenty by name."""
-    c = model.canonicals(spark)
-    picked = spark.createDataFrame([(p,) for p in PICKED], "canonical string")
-    found = c.join(picked, "canonical", "left_anti").where(F.col("canonical").contains(text) | F.col("category").contains(text))
-    return found.orderBy("canonical").limit(most).select("canonical", "category")
+    picked = F.split("canonical", " ")[1].isin(*PICKED)
+    found = _catalog(spark, sf_dir).where(~picked & (F.col("canonical").contains(text) | F.col("category").contains(text)))
+    return found.orderBy(in_order(F.col("canonical"))).limit(most).select("canonical", "category")
 
 
 def range_filter(spark, sf_dir, days=730):
@@ -108,12 +111,15 @@ def low_confidence(spark, sf_dir, least=0.95):
     return rows.where(number < least).groupBy("l_orderkey").agg(F.count("*").alias("n_low"))
 
 
-def selection_toggle(spark, sf_dir, selected=("ring", "gear", "rod")):
-    """The selection after a category is toggled: all its ids go if all were in, else all come in."""
-    now = F.array(*[F.lit(s) for s in selected])
-    c = model.canonicals(spark).groupBy("category").agg(F.array_sort(F.collect_list("canonical")).alias("ids"))  # a category of a fixed table
-    after = F.when(F.size(F.array_except("ids", now)) == 0, F.array_except(now, "ids")).otherwise(F.array_union(now, "ids"))
-    return c.select("category", F.array_join(F.array_sort(after), ",").alias("selected"))
+def selection_toggle(spark, sf_dir, selected=("red ring", "small gear", "new rod")):
+    """The selection after each category is toggled: all its ids go if all were in, else all come in; in long form."""
+    chosen = F.col("canonical").isin(*selected)
+    c = _catalog(spark, sf_dir).select("category", "canonical", chosen.alias("chosen"))
+    toggled = c.groupBy("category").agg(F.bool_and("chosen").alias("whole"))
+    comes = c.join(toggled, "category").where("not whole").select("category", "canonical")
+    names = F.explode(F.array(*[F.lit(x) for x in selected]))
+    kept = toggled.select("category", names.alias("canonical")).join(c.select("category", "canonical", F.lit(True).alias("own")), ["category", "canonical"], "left").where("own is null").select("category", "canonical")
+    return comes.unionByName(kept)
 
 
 def export_preselect(spark, sf_dir):
@@ -152,11 +158,11 @@ def alias_resolve(spark, sf_dir):
 
 
 def suggested_pairings(spark, sf_dir):
-    """Curated sets with two known metrics at least, in curated order."""
-    known = model.canonicals(spark).select("canonical")
+    """Curated sets with two metrics at least that rows are mapped to, in curated order, with the rows of each."""
+    known = m.mapped(spark, sf_dir).groupBy("canonical").agg(F.count("*").alias("n"))
     asked = spark.createDataFrame(PAIRINGS, "title string, names array<string>").select("title", F.posexplode("names").alias("pos", "canonical"))
-    kept = asked.join(known, "canonical").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical"))).alias("ms"))
-    return kept.where(F.size("ms") >= 2).select("title", F.array_join(F.transform("ms", lambda x: x["canonical"]), ",").alias("metrics"))
+    kept = known.join(F.broadcast(asked), "canonical").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical"))).alias("ms"), F.sum("n").alias("n_rows"))  # a set's metrics
+    return kept.where(F.size("ms") >= 2).select("title", F.array_join(F.transform("ms", lambda x: x["canonical"]), ",").alias("metrics"), "n_rows")
 
 
 def singletons(spark, sf_dir):
@@ -181,6 +187,7 @@ def intervention_events(spark, sf_dir):
     return rows.select("event_id", kind.alias("kind"), text.alias("description")).where("description is not null")
 
 
+CATALOG = "(select p_name as canonical, lower(min(p_type)) as category, list(distinct p_brand) as tags from part group by p_name)"
 SQL = {
     "scan_project": "select report_id, provider, report_date from reports",
     "point_lookup": "select report_id, provider, report_date from reports where report_id = 7",
@@ -193,18 +200,20 @@ SQL = {
     "search_like": "select p_name, count(*) as n from part where p_name ilike '%R_d w%' group by p_name",
     "semi_join_provider": "select provider, count(*) as n from fact where lower(provider) in (select lower(alias_provider) from aliases where alias_provider <> '') group by provider",
     "parse_id_list": "select o_orderkey, array_to_string(list_filter([o_custkey, 12, o_orderkey, 5, 6], lambda x: x > 0)[1:4], ',') as ids from orders",
-    "chip_filter": "select canonical, category from canonicals where (category in ('cbc') or list_contains(tags, 'longevity')) and (canonical like '%r%' or category like '%r%')",
-    "picker": f"select canonical, category from canonicals where canonical not in {PICKED} and (canonical like '%i%' or category like '%i%') order by canonical limit 20",
+    "chip_filter": f"select canonical, category from {CATALOG} where (category = 'economy' or list_contains(tags, 'Brand#13')) and (canonical like '%r%' or category like '%r%')",
+    "picker": f"select canonical, category from {CATALOG} where split_part(canonical, ' ', 2) not in {PICKED} and (canonical like '%i%' or category like '%i%') order by canonical collate en limit 20",
     "range_filter": f"select canonical, report_date, value from pts where report_date >= date '{ANCHOR}' - 730",
     "low_confidence": "select l_orderkey, count(*) as n_low from lineitem where l_linenumber not in (2, 3) and 1 - l_discount < 0.95 group by l_orderkey",
-    "selection_toggle": "select category, array_to_string(list_sort(case when len(list_filter(ids, lambda x: not list_contains(s, x))) = 0 then list_filter(s, lambda x: not list_contains(ids, x)) else list_distinct(list_concat(s, ids)) end), ',') as selected from (select category, list(canonical) as ids, ['ring', 'gear', 'rod'] as s from canonicals group by category)",
+    "selection_toggle": f""", c as (select * from {CATALOG}), t as (select category, bool_and(canonical in ('red ring', 'small gear', 'new rod')) as whole from c group by category)
+select c.category, c.canonical from c join t using (category) where not whole
+union all select t.category, x.name from t, (values ('red ring'), ('small gear'), ('new rod')) as x(name) where not exists (select 1 from c where c.category = t.category and c.canonical = x.name)""",
     "export_preselect": f"select canonical, n_flagged from (select canonical, count(*) filter (where flag in ('high', 'low')) as n_flagged from fact where canonical is not null and report_date between date '{ANCHOR}' - interval 1 year and date '{ANCHOR}' group by canonical) where n_flagged > 0",
     "fact_header_join": "select provider, count(*) as n from metrics join reports using (report_id) group by provider",
     "fact_dim_left": "select category, count(*) as n from fact left join canonicals using (canonical) group by category",
     "three_way_join": "select category, provider, count(*) as n, max(report_date) as newest from fact join canonicals using (canonical) group by all",
     "event_intervention": f"select event_id, interval_id, started_on from (select event_id, case when user_id % 3 <> 0 then user_id end as interval_id from events where cast(ts as date) between date '{d.SINCE}' and date '{d.UNTIL}') e left join iv on iv.user_id = e.interval_id",
     "alias_resolve": "select distinct key, provider, canonical from fact",
-    "suggested_pairings": "select title, string_agg(name, ',' order by pos) as metrics from (select title, unnest(names) as name, generate_subscripts(names, 1) as pos from (values " + ", ".join(f"('{t}', {n})" for t, n in PAIRINGS) + ") as p(title, names)) where name in (select canonical from canonicals) group by title having count(*) >= 2",
+    "suggested_pairings": "select title, string_agg(name, ',' order by pos) as metrics, cast(sum(n) as bigint) as n_rows from (select title, unnest(names) as name, generate_subscripts(names, 1) as pos from (values " + ", ".join(f"('{t}', {n})" for t, n in PAIRINGS) + ") as p(title, names)) join (select canonical, count(*) as n from fact where canonical is not null group by canonical) on name = canonical group by title having count(*) >= 2",
     "singletons": "select event_id, cast(ts as date) as day, event_type from events where user_id % 3 = 0",
     "active_interventions": "select user_id, started_on, stopped_on, stopped_on is null as active, coalesce(stopped_on, started_on) as ordered_by from iv",
     "intervention_events": "select event_id, kind, case kind when 'start' then 'Started user ' || user_id || ' (' || dose || ')' when 'stop' then 'Stopped user ' || user_id when 'change' then 'Changed user ' || user_id || ': ' || old || ' to ' || dose end as description from (select event_id, user_id, case event_type when 'signup' then 'start' when 'error' then 'stop' when 'purchase' then 'change' end as kind, cast(floor(value / 5) as bigint) as dose, user_id % 4 as old from events) where kind in ('start', 'stop') or (kind = 'change' and dose <> old)",

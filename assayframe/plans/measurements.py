@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayframe.functions.text import canonical_unit, js_number, normalize_name, provider_display, trimmed
+from assayframe.functions.text import canonical_unit, in_order, js_number, normalize_name, provider_display, trimmed
 from assayframe.operators import facts
 from assayframe.sources import model
 
@@ -65,7 +65,7 @@ def unmapped_queue(spark, sf_dir):
     first = F.struct("report_date", "uploaded_at", F.struct(*[(-F.col(f"ord.{c}")).alias(c) for c in model.ORD]), F.col("value"))
     sample = F.max_by(F.struct("report_date", "report_id", "units", shown, trimmed(F.col("name")).alias("name")), first).alias("s")
     out = rows.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), sample)
-    return out.orderBy(F.desc("n"), "key").select(
+    return out.orderBy(F.desc("n"), in_order(F.col("key"))).select(
         "key", "n", "providers", F.col("s.name").alias("sample_name"), F.col("s.report_id").alias("sample_report"), F.col("s.report_date").alias("sample_date"),
         F.col("s.shown").alias("sample_value"), F.col("s.units").alias("sample_units"))
 
@@ -174,7 +174,7 @@ def search_metrics(spark, sf_dir, text="in", n=8):
     like = f"%{text.strip().lower()}%"
     alias = model.aliases(spark, sf_dir).groupBy("canonical").agg(F.count("*").alias("n_aliases"), F.min(F.when(F.col("alias").like(like), F.col("alias"))).alias("matched_alias"))
     found = model.canonicals(spark).join(alias, "canonical", "left").withColumn("by_name", F.col("canonical").like(like))
-    return found.where(F.col("by_name") | F.col("matched_alias").isNotNull()).orderBy(F.desc("by_name"), "canonical").limit(n).select("canonical", "by_name", "matched_alias", "n_aliases")
+    return found.where(F.col("by_name") | F.col("matched_alias").isNotNull()).orderBy(F.desc("by_name"), in_order(F.col("canonical"))).limit(n).select("canonical", "by_name", "matched_alias", "n_aliases")
 
 
 def file_hash_dedupe(spark, sf_dir):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from assayframe.plans import derived, display, filters, measurements, reading, views, work
+from assayframe.plans import charts, derived, display, filters, measurements, reading, views, work
 from assayframe.sources.model import MODEL_SQL
 
-MODULES = (measurements, derived, filters, views, work, display, reading)
+MODULES = (measurements, derived, filters, views, work, display, reading, charts)
 QUERIES: dict = {name: getattr(plans, name) for plans in MODULES for name in plans.SQL}
 #: What a query's SQL needs besides the model.
 WITH = {"extract_diff": derived.DIFF}

@@ -64,8 +64,8 @@ def dash_history(spark, sf_dir):
 
 
 def chip_order(spark, sf_dir):
-    """Categories by number of metrics, then by label without case."""
-    return m.category_counts(spark, sf_dir).select("category", t.category_label(F.col("category")).alias("label"), "n").orderBy(F.desc("n"), F.lower("label"))
+    """Categories by number of metrics, then by label in the order of its language."""
+    return m.category_counts(spark, sf_dir).select("category", t.category_label(F.col("category")).alias("label"), "n").orderBy(F.desc("n"), t.in_order(F.col("label")))
 
 
 def newest_first(spark, sf_dir):
@@ -142,7 +142,7 @@ def compare_totals(spark, sf_dir):
 
 def compare_candidates(spark, sf_dir):
     rows = m.mapped(spark, sf_dir).groupBy("canonical").agg(F.count("*").alias("n"))
-    return model.canonicals(spark).join(rows, "canonical").select("canonical", "category", "n").orderBy(F.lower("canonical"))
+    return model.canonicals(spark).join(rows, "canonical").select("canonical", "category", "n").orderBy(t.in_order(F.col("canonical")))
 
 
 def compare_axis(spark, sf_dir):
@@ -174,7 +174,7 @@ def export_series(spark, sf_dir):
 
 
 def export_csv_lines(spark, sf_dir):
-    """Lines of the exported file and how often each occurs: a head, quoted where needed, numbers as printed by a browser."""
+    """Lines of the exported file's rows and how often each occurs: quoted where needed, numbers as printed by a browser."""
     cats = model.canonicals(spark).select("canonical", "category")
     rows = _exported(spark, sf_dir).join(F.broadcast(cats), "canonical")
     cells = ["canonical", t.category_label(F.col("category")), F.concat(F.col("name"), F.lit(', "x"')), "provider", F.col("report_date").cast("string"), t.js_number(F.col("value")), "value_text", "units", t.js_number(F.col("ref_low")), t.js_number(F.col("ref_high")), "flag"]
@@ -215,15 +215,26 @@ def panel_counts(spark, sf_dir):
     return _panels(spark, sf_dir).groupBy("report_id", "panel").agg(F.count("*").alias("n"), F.count_if(facts.is_flagged(F.col("flag"))).alias("n_flagged"))
 
 
-def search_unmapped(spark, sf_dir, text="cold", n=6):
-    rows = m.fact(spark, sf_dir).where(F.col("canonical").isNull() & F.col("key").contains(text)).groupBy("key").agg(F.count("*").alias("n"))
+def needle(text):
+    """The pattern of a search: trimmed, in lower case, anywhere; its own % and _ stay wildcards."""
+    return f"%{text.strip().lower()}%"
+
+
+def search_unmapped(spark, sf_dir, text=" C_ld R%", n=6):
+    """Unmapped names that match, by rows; a name is matched as it is spelled and counted as it is normalised."""
+    rows = m.fact(spark, sf_dir).where(F.col("canonical").isNull() & F.lower("name").like(needle(text))).groupBy("key").agg(F.count("*").alias("n"))
     return rows.orderBy(F.desc("n"), "key").limit(n)
 
 
-def search_reports(spark, sf_dir, text="urg", n=8):
-    """Reports whose provider or date holds the text, newest first."""
-    hit = F.lower("provider").contains(text) | F.col("report_date").cast("string").contains(text)
-    return model.reports(spark, sf_dir).where(hit).orderBy(F.desc("report_date"), F.desc("uploaded_at"), "report_id").limit(n).select("report_id", "provider", "report_date")
+def search_reports(spark, sf_dir, text="-URG", n=8):
+    """Reports whose provider or date matches, newest first."""
+    hit = F.lower("provider").like(needle(text)) | F.col("report_date").cast("string").like(needle(text))
+    return model.reports(spark, sf_dir).where(hit).orderBy(F.desc_nulls_last("report_date"), F.desc("uploaded_at"), "report_id").limit(n).select("report_id", "provider", "report_date")
+
+
+def search_dates(spark, sf_dir, text=" 199_-1%-07 "):
+    """The same search by a date with wildcards."""
+    return search_reports(spark, sf_dir, text)
 
 
 def search_hits_union(spark, sf_dir, text="r"):
@@ -282,6 +293,7 @@ COMPARED = f"(select n.*, k.n_units from num n join kinds k using (canonical) jo
 WINDOW = f"(select * from fact where {PICK} and report_date between date '{SINCE}' and date '{UNTIL}')"
 EXPORTED = f"(select f.* from {WINDOW} f join {_mode(WINDOW, 'unit_key', 'ord')} d on f.canonical = d.canonical and f.unit_key is not distinct from d.unit_key)"
 PANELS = "(select f.*, case when ord[3] % 5 <> 0 then p_brand end is null as orphan, coalesce(case when ord[3] % 5 <> 0 then p_brand end, 'Other') as panel from fact f left join part on ord[3] = p_partkey)"
+SEARCHED = "select report_id, provider, report_date from reports where lower(provider) like '{like}' or cast(report_date as varchar) like '{like}' order by report_date desc nulls last, uploaded_at desc, report_id limit 8"
 SQL = {
     "dashboard": f"select grp, label, category, array_to_string(tags, ',') as tags, value, value_text, flag, report_date, n_reports, n_points, trend from {DASH}",
     "dash_filter_category": f"select grp, label, n_reports from {DASH} where category = 'lipids'",
@@ -311,8 +323,9 @@ SQL = {
     "unmapped_reports": "select count(distinct report_id) as n_reports from fact where canonical is null",
     "report_panels": f"select report_id, panel, string_agg(concat_ws(' ', key, coalesce({_value('value')}, value_text), {_range('ref_low', 'ref_high')}), '; ' order by ord, key, value) as metrics from {PANELS} group by report_id, panel",
     "panel_counts": f"select report_id, panel, count(*) as n, count(*) filter (where flag in ('high', 'low')) as n_flagged from {PANELS} group by report_id, panel",
-    "search_unmapped": "select key, count(*) as n from fact where canonical is null and key like '%cold%' group by key order by n desc, key limit 6",
-    "search_reports": "select report_id, provider, report_date from reports where provider like '%urg%' or cast(report_date as varchar) like '%urg%' order by report_date desc, uploaded_at desc, report_id limit 8",
+    "search_unmapped": "select key, count(*) as n from fact where canonical is null and lower(name) like '%c_ld r%%' group by key order by n desc, key limit 6",
+    "search_reports": SEARCHED.format(like="%-urg%"),
+    "search_dates": SEARCHED.format(like="%199_-1%-07%"),
     "search_hits_union": "select canonical from canonicals where canonical like '%r%' union select canonical from aliases where alias like '%r%'",
     "count_by_key": "select r.report_id, count(m.report_id) as n from reports r left join metrics m using (report_id) group by r.report_id",
     "gather_unmapped": "select key, cast(sum(n) as bigint) as n, string_agg(provider, ',' order by seen) as providers from (select key, provider, count(*) as n, min(ord) as seen from fact where canonical is null and key <> '' group by key, provider) group by key",

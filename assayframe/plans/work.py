@@ -143,16 +143,24 @@ def fixup(spark, sf_dir):
 
 def proposal_filter(spark, sf_dir, action="map_existing", least=0.4):
     """Stored proposals of an action and a confidence, surest first."""
-    rows = _ingested(spark, sf_dir).where((F.col("action") == action) & (F.col("confidence") >= least))
-    return rows.orderBy(F.desc("confidence"), "key").select("key", "target", "confidence")
+    rows = mp.listed(_ingested(spark, sf_dir), action=action, least=least)
+    return rows.select("key", "target", "confidence")
+
+
+def proposal_status(spark, sf_dir, status="approved", least=0.2):
+    """Proposals that a review approved, surest first, with any action."""
+    rows = mp.listed(_patched(spark, sf_dir), status=status, least=least)
+    return rows.select("key", "action", "target", "status", "confidence")
+
+
+def _patched(spark, sf_dir):
+    n = F.length("key") % 4
+    return mp.patched(_ingested(spark, sf_dir), F.when(n == 0, "ring"), F.when(n == 1, F.concat(F.lit("New "), "key")))
 
 
 def proposal_patch(spark, sf_dir):
     """Proposals after a review: a chosen metric makes a mapping, a new one a creation, and any edit approves."""
-    rows = _ingested(spark, sf_dir)
-    n = F.length("key") % 4
-    chosen, renamed = F.when(n == 0, "ring"), F.when(n == 1, F.concat(F.lit("New "), "key"))
-    return mp.patched(rows, chosen, renamed).select("key", "action", "target", "status")
+    return _patched(spark, sf_dir).select("key", "action", "target", "status")
 
 
 def apply_backfill(spark, sf_dir):
@@ -182,10 +190,16 @@ def _seed(spark):
     return spark.createDataFrame(SEED, "canonical string, category string"), spark.createDataFrame(SEED_ALIASES, "canonical string, alias string")
 
 
+def _targets(spark, sf_dir):
+    """The metrics of the store: what its aliases lead to."""
+    used = model.aliases(spark, sf_dir).select("canonical").distinct()
+    return used.join(F.broadcast(model.canonicals(spark)), "canonical").select("canonical", "category")
+
+
 def seed_new_canonicals(spark, sf_dir):
     """Metrics of the store that the seed lacks."""
     seed, _ = _seed(spark)
-    return model.canonicals(spark).join(seed, "canonical", "left_anti").select("canonical", "category")
+    return _targets(spark, sf_dir).join(seed, "canonical", "left_anti").select("canonical", "category")
 
 
 def seed_alias_additions(spark, sf_dir):
@@ -198,7 +212,7 @@ def seed_alias_additions(spark, sf_dir):
 def seed_upsert(spark, sf_dir):
     """The taxonomy after the seed is applied: what is there stays, the rest is added."""
     seed, _ = _seed(spark)
-    old = model.canonicals(spark).select("canonical", "category")
+    old = _targets(spark, sf_dir)
     return old.unionByName(seed.join(old, "canonical", "left_anti")).select("canonical", "category")
 
 
@@ -238,6 +252,7 @@ BETTER = "case when word in ('ring', 'bolt') then 'cbc' when word = 'rod' then '
 COLD = "exists (select 1 from part q where q.p_name = 'cold ' || s.word)"
 OLD = "exists (select 1 from part q where q.p_name = 'old ' || s.word)"
 ASKED = "(select key, count(*) as n from fact where key like 'cold%' or key like 'old%' group by key)"
+TARGETS = "(select distinct canonical, category from aliases join canonicals using (canonical))"
 SQL = {
     "batch_items_hydrate": f"select item_id, batch_id, status, shown, provider, report_date from {ITEMS} left join reports on shown = report_id",
     "status_histogram": f"select batch_id, status, count(*) as n from {ITEMS} group by all",
@@ -256,14 +271,15 @@ SQL = {
     "self_heal": f"select key, action, case when action = 'create_new' and {COLD} then 'cold ' || word else '' end as extra from {STORED} s where adj <> 'cold' or not {OLD}",
     "fixup": f"select key, action, case when action = 'create_new' then {BETTER.format(other=repr('other'))} end as category, cast(action = 'create_new' and {COLD} as bigint) as n_extra from {STORED} s where adj <> 'cold' or not {OLD}",
     "proposal_filter": f"select key, target, confidence from {STORED} where action = 'map_existing' and confidence >= 0.4",
+    "proposal_status": f"select p.key, p.action, p.target, p.status, s.confidence from (select key, case length(key) % 4 when 0 then 'map_existing' when 1 then 'create_new' else action end as action, case length(key) % 4 when 0 then 'ring' when 1 then 'New ' || key else target end as target, case when length(key) % 4 < 2 then 'approved' else 'pending' end as status from {STORED}) p join {STORED} s using (key) where p.status = 'approved' and s.confidence >= 0.2",
     "proposal_patch": f"select key, case length(key) % 4 when 0 then 'map_existing' when 1 then 'create_new' else action end as action, case length(key) % 4 when 0 then 'ring' when 1 then 'New ' || key else target end as target, case when length(key) % 4 < 2 then 'approved' else 'pending' end as status from {STORED}",
     "apply_backfill": "select coalesce(canonical, new) as canonical, count(*) as n, count(*) filter (where canonical is null and new is not null) as n_filled from (select canonical, case when key like 'cold %' and exists (select 1 from part q where q.p_name = 'old ' || split_part(fact.key, ' ', 2)) then 'Old ' || split_part(key, ' ', 2) end as new from fact) group by 1",
     "manual_alias_upsert": "select canonical, alias_provider, count(*) as n, max(alias) as last from (select * from aliases where not (alias = 'red ring' and alias_provider = '') union all select 'red ring', '', 'gear') group by all",
     "alias_backfill": "select count(*) filter (where canonical is not null) as n_matched, count(*) filter (where canonical is null) as n_left, count(distinct key) filter (where canonical is null) as n_names from fact",
-    "seed_new_canonicals": f"select canonical, category from canonicals where canonical not in {tuple(c for c, _ in SEED)}",
+    "seed_new_canonicals": f"select canonical, category from {TARGETS} where canonical not in {tuple(c for c, _ in SEED)}",
     "seed_alias_additions": f"select canonical, alias from aliases where alias_provider = '' and canonical in {tuple(c for c, _ in SEED)} and (canonical, alias) not in {tuple(SEED_ALIASES)}",
     "ingest_rows": "select report_id, panel, row_number() over (partition by report_id order by seen, panel) as nth, n from (select report_id, x.p as panel, min(x.o) as seen, count(*) as n from (select report_id, min({'o': ord, 'p': case when ord[3] % 5 <> 0 then p_brand end, 'c': canonical}) as x from fact left join part on ord[3] = p_partkey group by report_id, key, unit_key, value, lower(trim(coalesce(value_text, '')))) where x.p is not null group by report_id, x.p)",
     "parser_dispatch": "select case when o_orderkey % 2 = 0 then 'panel-report' when o_orderkey % 3 = 0 then 'json' end as parser, count(*) as n from orders group by 1",
     "drawn_markers": f"select event_id, cast(ts as date) as day from events where cast(ts as date) between date '{SINCE}' and date '{UNTIL}' and user_id % 3 = 0",
-    "seed_upsert": f"select canonical, category from canonicals union select * from (values {', '.join(map(str, SEED))}) as s(canonical, category) where canonical not in (select canonical from canonicals)",
+    "seed_upsert": f"select canonical, category from {TARGETS} union select * from (values {', '.join(map(str, SEED))}) as s(canonical, category) where canonical not in (select canonical from {TARGETS})",
 }
