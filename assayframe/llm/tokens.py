@@ -1,8 +1,8 @@
 """Operator 6: token ids in binary shards, compressed by Re-Pair grammars.
 
 Documents are ordered by id over range partitions. Each task encodes its texts word by word (white space parts words in
-this tokenizer, so a text's ids are those of its words in order, and each distinct word is encoded once per task), ends
-every document with END_ID and closes a shard at SHARD_TOKENS ids.
+this tokenizer, and words part into pieces, so a text's ids are those of its pieces in order, and a piece that is remembered
+is encoded once per task), ends every document with END_ID and closes a shard at SHARD_TOKENS ids.
 
 A shard is one file: a header, the rules of its grammar (two symbols each), the expansion length of each rule, the
 compressed symbols, and per document its id, first symbol and first token in the shard. Rules never reach over the end of
@@ -15,16 +15,18 @@ doc_id comes first and has a flag of its own; a document longer than a shard is
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayframe.llm.shared import cut, open_store, work_path
@@ -37,11 +39,12 @@ HEADER = struct.Struct("<8sIIQQ")
 LEAST_PAIRS = 16
 #: First nonterminal; above any id of the public tokenizers.
 FIRST_RULE = 1 << 20
-REMEMBERED = 150_000
+#: Pieces of words that a task remembers.
+REMEMBERED = 300_000
 #: Bytes of text that are encoded together, one text at least; a task holds a few times as much beside its shard.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 4 << 20
 #: Pairs are counted roughly in so many bins (a power of two) before they are counted exactly.
-PAIR_BITS = 20
+PAIR_BITS = 17
 ODD, OTHER_ODD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
@@ -51,12 +54,41 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of texts, word by word, remembering the words met.
+# How this tokenizer parts words into pieces, for texts of ASCII and the letters of Latin-1, in lower case.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+|\n")
+#: A line with anything else, or with the signs of special tokens, goes through the whole tokenizer.
+OTHER = re.compile(r"^[!-;=?-{}~À-ÖØ-öø-ÿ]*[^\n!-;=?-{}~À-ÖØ-öø-ÿ].*$", re.MULTILINE)
+#: Byte-level names of bytes: themselves where Latin-1 prints them, else the code points from 256 on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_NAMES = {b: b if b in PRINTED else 256 + sum(x not in PRINTED for x in range(b)) for b in range(256)}
 
-    Arrow splits a batch of texts at ASCII white space and names its distinct words, so Python sees each of them once a
-    batch; the ids of all words are then gathered from one array.
-    """
+
+class Pieces:
+    """Ids of named pieces, one behind the other in `flat`; `row` numbers the names."""
+
+    def __init__(self) -> None:
+        """Row 0 stays: nothing. The end of a word has no row."""
+        self.row: dict[str, int] = {"": 0, "\n": -1}
+        self.sizes, self.flat = array("q", [0]), array("I")
+
+    def add(self, name: str, ids: list[int]) -> int:
+        row = self.row[name] = len(self.sizes)
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+        return row
+
+
+def gathered(rows: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each row, and the ids of all rows behind each other."""
+    size, begin = sizes[rows], np.cumsum(sizes) - sizes
+    upto = np.cumsum(size)
+    return size, flat[np.repeat(begin[rows] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+class Encoder:
+    """Ids of texts. Arrow splits a batch of texts at ASCII white space and names its distinct words; these are parted into
+    pieces by one pass of a pattern, and pieces that haven't been met are encoded by the tokenizer's model. The ids of all
+    words are then gathered from arrays."""
 
     def __init__(self, path: str):
         # Tasks are Spark's unit of work: threads of the library's own would only compete with other tasks.
@@ -64,52 +96,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        """Rows 0 and 1 stay: the empty word, and the end of a document."""
-        self.row: dict[str, int] = {"": 0}
-        self.sizes, self.flat = np.array([0, 1]), np.array([END_ID], np.uint32)
-
-    def rows_of(self, words: list[str]) -> np.ndarray:
-        """Each distinct word's row of `sizes`; the ids of all rows follow each other in `flat`."""
-        new = [w for w in words if w not in self.row]
-        if len(self.row) + len(new) > REMEMBERED:
-            self.forget()
-            new = [w for w in words if w]
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            sizes, ids = self.encode_words(some)
-            self.row.update(zip(some, range(len(self.sizes), len(self.sizes) + len(some)), strict=True))
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-
-    def encode_words(self, words: list[str], together: int = 100) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each word, and the ids. Words go in as lines of several, and each id's place tells its word."""
-        parts = [words[i : i + together] for i in range(0, len(words), together)]
-        found = self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)
-        # Places count on over all lines; a word's places end with the space behind it.
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begin = ends[[together * k - 1 for k in range(1, len(parts))]].tolist()
-        begin.insert(0, 0)
-        counts = [len(e.ids) for e in found]
-        at = np.fromiter((a for e in found for a, _ in e.offsets), np.int64, sum(counts)) + np.repeat(begin, counts)
-        sizes = np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(words))
-        return sizes, np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, len(at))
+        self.model = self.tokenizer.model
+        self.pieces = Pieces()
+
+    def piece(self, name: str) -> None:
+        """Adds a piece that hasn't been met."""
+        spelled = name if name.isascii() else name.encode().decode("latin-1").translate(BYTE_NAMES)
+        self.pieces.add(name, [t.id for t in self.model.tokenize(spelled)])
+
+    def word(self, word: str) -> int:
+        """The row of a word that goes through the whole tokenizer; its name, behind a line feed, is no piece's."""
+        found = self.pieces.row.get("\n" + word)
+        return self.pieces.add("\n" + word, self.tokenizer.encode(word, add_special_tokens=False).ids) if found is None else found
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each of the distinct words, and the ids."""
+        if len(self.pieces.row) > REMEMBERED:
+            self.pieces = Pieces()
+        row, lines = self.pieces.row, "\n".join(words)
+        if others := OTHER.findall(lines):
+            # Their stand-ins are two characters for private use, which only stand in such words themselves.
+            names = {w: chr(0xE000 + (i >> 12)) + chr(0xE000 + (i & 4095)) for i, w in enumerate(others)}
+            row.update((n, self.word(w)) for w, n in names.items())
+            lines = "\n".join([names.get(w, w) for w in words])
+        found = PIECE.findall(lines.lower())
+        for name in set(found).difference(row):
+            self.piece(name)
+        rows = np.fromiter(map(row.__getitem__, found), np.int64, len(found))
+        mark = rows < 0  # the ends of words
+        rows[mark] = 0
+        size, ids = gathered(rows, np.frombuffer(self.pieces.sizes, np.int64), np.frombuffer(self.pieces.flat, np.uint32))
+        return np.bincount(np.cumsum(mark), weights=size, minlength=len(words)).astype(np.int64), ids
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (nulls are empty), its end id last."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         named = split.flatten().dictionary_encode()
-        row = self.rows_of(named.dictionary.to_pylist())
+        names = named.dictionary.to_pylist()
+        sizes, flat = self.words(names) if names else (np.empty(0, np.int64), np.empty(0, np.uint32))
+        # One more row: the end of a document.
+        sizes, flat = np.append(sizes, 1), np.append(flat, np.uint32(END_ID))
         n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(n_words)
-        word = np.insert(row[named.indices.to_numpy()], ends, 1)
-        size = self.sizes[word]
-        upto = np.cumsum(size)
-        ids = self.flat[np.repeat((np.cumsum(self.sizes) - self.sizes)[word] - (upto - size), size) + np.arange(size.sum())]
-        return np.split(ids, upto[ends + np.arange(len(ends))][:-1]) if len(ends) else []
+        word = np.insert(named.indices.to_numpy().astype(np.int64), ends, len(names))
+        size, ids = gathered(word, sizes, flat)
+        return np.split(ids, np.cumsum(size)[ends + np.arange(len(ends))][:-1]) if len(ends) else []
 
 
 def re_pair(ids: np.ndarray, last: np.ndarray, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,11 +335,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, most: int = SHARD
             yield close(part)
 
     index = cut(ordered.mapInArrow(write, "part int, seq long, file string, n_tokens long, n_docs long"), "token-index")
-    # One row per shard of a million tokens: the driver adds them up.
-    rows = sorted(index.collect(), key=lambda r: (r["part"], r["seq"]))
-    starts = np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])]).tolist()
-    listed = [(r["file"], s, r["n_tokens"], r["n_docs"]) for r, s in zip(rows, starts, strict=False)]
-    return spark.createDataFrame(listed, "file string, shard_start long, n_tokens long, n_docs long")
+    # A row a part is summed up in order, then the shards inside each part.
+    zero = F.lit(0).cast("long")
+    parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), zero).alias("before"))
+    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), zero)
+    return cut(index.withColumn("inside", inside).join(parts, "part").select("file", (F.col("before") + F.col("inside")).alias("shard_start"), "n_tokens", "n_docs"), "token-starts")
 
 
 def read_shards(index: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assayframe.llm import quality, secretscan, tokens
@@ -136,3 +137,17 @@ def test_novelty_tells_random_strings_from_names(spark, docs_table):
     assert sum(found) >= 235 and len(found) == 240  # 239 when written
     names = [f"{a}_{b}_{i}" for i, (a, b) in enumerate(zip(words, words[1:] + words[:1], strict=True))] + [f"{a}{b.title()}V{i}" for i, (a, b) in enumerate(zip(words, words[2:] + words[:2], strict=True))]
     assert sum(novelty(context, x) >= secretscan.NOVELTY for x in names) == 0 and len(names) == 24
+
+
+def test_encoder_on_odd_texts(monkeypatch):
+    """Words go by pieces or through the whole tokenizer; either way the ids are the tokenizer's, also when pieces are forgotten."""
+    from tokenizers import Tokenizer
+
+    tk, rng = Tokenizer.from_file(tokens.public_tokenizer()), random.Random(1)
+    signs = [*"abcABC'slmve019.,!?-_/|<>ß éÉñÑ÷×ªµİ́e  \t\n\x0b\x1c\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", "'LL", "🦆", "Σ", "ς", "ẞ", "²", "½", "٣", ""]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, "", " "]
+    monkeypatch.setattr(tokens, "REMEMBERED", 500)
+    encode = tokens.Encoder(tokens.public_tokenizer())
+    for lo in range(0, len(texts), 700):
+        some = texts[lo : lo + 700]
+        assert [x.tolist() for x in encode(pa.array(some, pa.string()))] == [[*tk.encode(t or "", add_special_tokens=False).ids, tokens.END_ID] for t in some]
