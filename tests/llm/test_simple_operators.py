@@ -1,6 +1,7 @@
 """Operators 5, 6 and 7 against plain Python on small inputs and on sf0.001."""
 
 import hashlib
+import random
 import re
 import zlib
 
