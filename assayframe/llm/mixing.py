@@ -160,7 +160,7 @@ def round_classes(cells: DataFrame, cap: float = CAP) -> DataFrame:
 def document_sizes(docs: DataFrame, row: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, class, a hash that orders documents, from whole texts, and the columns `row`."""
     size = F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h"), *row).withColumn(
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit("mix"), "text", *row).alias("h"), *row).withColumn(
         "class", F.when(F.col("size") > 0, size_class(F.col("size").cast("double"))).otherwise(F.lit(0).cast("long"))
     )
 

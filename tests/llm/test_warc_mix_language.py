@@ -66,6 +66,20 @@ def test_mix_targets(spark, sources):
     assert all(abs(taken[s] - want[s]) <= max(65, 0.01 * want[s]) for s in sizes)
 
 
+def test_mix_without_ids(spark, docs_table):
+    """Rows of a null id, or of one repeated, are dealt to buckets by their texts; the mix comes near its targets and agrees with itself."""
+    rows = [(None if i % 2 else 7, " ".join(["w"] * (1 + i % 40)) + f" {i}", None, "ab"[i % 3 == 0]) for i in range(6000)]
+    docs = spark.read.parquet(docs_table(rows) + "/documents.parquet")
+    assert mixing.document_sizes(docs).select("h").distinct().count() == 6000
+    got = mixing.mix(docs).collect()
+    taken, target = {}, {r["source"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] for s in target)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs).collect()))
+
+
 def test_mix_empty(spark, docs_table):
     assert mixing.op2_mix_sources(spark, docs_table([])).count() == 0
 
