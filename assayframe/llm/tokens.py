@@ -21,6 +21,8 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ HEADER = struct.Struct("<8sIIQQ")
 LEAST_PAIRS = 16
 #: First nonterminal; above any id of the public tokenizers.
 FIRST_RULE = 1 << 20
-#: Pieces of words that a task remembers.
-REMEMBERED = 300_000
+#: Pieces of words that a worker remembers.
+REMEMBERED = 500_000
 #: Bytes of text that are encoded together, one text at least; a task holds a few times as much beside its shard.
 ENCODE_BYTES = 4 << 20
 #: Pairs are counted roughly in so many bins (a power of two) before they are counted exactly.
@@ -99,30 +101,35 @@ class Encoder:
         self.model = self.tokenizer.model
         self.pieces = Pieces()
 
-    def piece(self, name: str) -> None:
-        """Adds a piece that hasn't been met."""
+    def piece(self, name: str) -> int:
+        """The row of a piece."""
+        if (found := self.pieces.row.get(name)) is not None:
+            return found
         spelled = name if name.isascii() else name.encode().decode("latin-1").translate(BYTE_NAMES)
-        self.pieces.add(name, [t.id for t in self.model.tokenize(spelled)])
+        return self.pieces.add(name, [t.id for t in self.model.tokenize(spelled)])
 
     def word(self, word: str) -> int:
         """The row of a word that goes through the whole tokenizer; its name, behind a line feed, is no piece's."""
         found = self.pieces.row.get("\n" + word)
         return self.pieces.add("\n" + word, self.tokenizer.encode(word, add_special_tokens=False).ids) if found is None else found
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each of the distinct words, and the ids."""
+        if not len(words):
+            return np.empty(0, np.int64), np.empty(0, np.uint32)
         if len(self.pieces.row) > REMEMBERED:
             self.pieces = Pieces()
-        row, lines = self.pieces.row, "\n".join(words)
+        # One string instead of one a word; no word holds a line feed.
+        row, lines = self.pieces.row, pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), "\n")[0].as_py()
         if others := OTHER.findall(lines):
             # Their stand-ins are two characters for private use, which only stand in such words themselves.
             names = {w: chr(0xE000 + (i >> 12)) + chr(0xE000 + (i & 4095)) for i, w in enumerate(others)}
             row.update((n, self.word(w)) for w, n in names.items())
-            lines = "\n".join([names.get(w, w) for w in words])
+            lines = "\n".join([names.get(w, w) for w in lines.split("\n")])
         found = PIECE.findall(lines.lower())
-        for name in set(found).difference(row):
-            self.piece(name)
-        rows = np.fromiter(map(row.__getitem__, found), np.int64, len(found))
+        rows = np.fromiter(map(row.get, found, repeat(-2)), np.int64, len(found))
+        for i in np.flatnonzero(rows == -2).tolist():
+            rows[i] = self.piece(found[i])
         mark = rows < 0  # the ends of words
         rows[mark] = 0
         size, ids = gathered(rows, np.frombuffer(self.pieces.sizes, np.int64), np.frombuffer(self.pieces.flat, np.uint32))
@@ -132,17 +139,22 @@ class Encoder:
         """The ids of each text (nulls are empty), its end id last."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         named = split.flatten().dictionary_encode()
-        names = named.dictionary.to_pylist()
-        sizes, flat = self.words(names) if names else (np.empty(0, np.int64), np.empty(0, np.uint32))
+        sizes, flat = self.words(named.dictionary)
         # One more row: the end of a document.
         sizes, flat = np.append(sizes, 1), np.append(flat, np.uint32(END_ID))
         n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(n_words)
-        word = np.insert(named.indices.to_numpy().astype(np.int64), ends, len(names))
+        word = np.insert(named.indices.to_numpy().astype(np.int64), ends, len(sizes) - 1)
         size, ids = gathered(word, sizes, flat)
         return np.split(ids, np.cumsum(size)[ends + np.arange(len(ends))][:-1]) if len(ends) else []
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder a worker: tasks that run in it one after the other share its pieces."""
+    return Encoder(path)
+
+
 def re_pair(ids: np.ndarray, last: np.ndarray, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (rows of two symbols) and document ends among the symbols.
 
@@ -310,7 +322,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, most: int = SHARD
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        encode, ids, parts, size, seq = Encoder(tokenizer), [], [], 0, 0
+        encode, ids, parts, size, seq = encoder(tokenizer), [], [], 0, 0
 
         def close(part):
             nonlocal ids, parts, size, seq
