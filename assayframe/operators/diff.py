@@ -15,12 +15,11 @@ def plain_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, "[^a-z0-9 ]", " "), r"\s+", " "))
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """First row of each report, panel and name. rows: report_id, panel, name, value, value_text, unit, ord."""
+def _keyed(rows: DataFrame, side: str) -> DataFrame:
+    """report_id, key, side and the cells of each row. rows: report_id, panel, name, value, value_text, unit, ord."""
     name, panel = plain_name(F.col("name")), plain_name(F.col("panel"))
     key = F.when(F.coalesce("panel", F.lit("")) != "", F.concat(panel, F.lit("::"), name)).otherwise(name)
-    cells = rows.select("report_id", key.alias("key"), F.struct("ord", name.alias("name"), "value", "value_text", "unit").alias("x"))
-    return cells.groupBy("report_id", "key").agg(F.min_by("x", "x.ord").alias("x"))
+    return rows.select("report_id", key.alias("key"), F.lit(side).alias("side"), F.struct("ord", name.alias("name"), "value", "value_text", "unit").alias("x"))
 
 
 def values_equal(x: Column, y: Column, x_text: Column, y_text: Column) -> Column:
@@ -45,21 +44,18 @@ def _bucket(a: str, b: str) -> Column:
 def extract_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """report_id, name and bucket (matched, value, units, left, right) of every keyed row of both sides.
 
-    Both passes are full outer equi-joins on the report and a key. In the second, the last row left over on the left
-    stands for its name, and the first one on the right takes it; other rows of that name are found on one side only.
-    """
-    a = _keyed(left).withColumnRenamed("x", "a")
-    b = _keyed(right).withColumnRenamed("x", "b")
-    first = a.join(b, ["report_id", "key"], "full")
-    met = first.where("a is not null and b is not null").select("report_id", "a", "b")
-    only_a = first.where("b is null").select("report_id", "a", F.col("a.name").alias("name"))
-    only_b = first.where("a is null").select("report_id", "b", F.col("b.name").alias("name"))
-    last_a = F.row_number().over(W.partitionBy("report_id", "name").orderBy(F.desc("a.ord")))
-    first_b = F.row_number().over(W.partitionBy("report_id", "name").orderBy("b.ord"))
-    second = only_a.withColumn("turn", last_a).join(only_b.withColumn("turn", first_b), ["report_id", "name", "turn"], "full")
-    # Turns beyond the first don't meet: a name is used once.
-    apart = (F.col("turn") > 1) & F.col("a").isNotNull() & F.col("b").isNotNull()
-    sides = F.when(apart, F.array(F.struct("a", F.lit(None).cast(second.schema["b"].dataType).alias("b")), F.struct(F.lit(None).cast(second.schema["a"].dataType).alias("a"), "b")))
-    pairs = second.select("report_id", F.explode(F.coalesce(sides, F.array(F.struct("a", "b")))).alias("p")).select("report_id", "p.a", "p.b")
+    Both sides are stacked and grouped by report and key, so either is read once, and a group with both has met. What is
+    left meets by name: the last row of the left stands for its name, and the first one of the right takes it; other rows of
+    that name are found on one side only. A report's rows of one name are a window."""
+    stacked = _keyed(left, "a").union(_keyed(right, "b"))
+    first = lambda s: F.min_by("x", F.when(F.col("side") == s, F.col("x.ord"))).alias(s)
+    rows = stacked.groupBy("report_id", "key").agg(first("a"), first("b")).withColumn("name", F.coalesce("a.name", "b.name"))
+    only_a, only_b = F.col("b").isNull(), F.col("a").isNull()
+    name = W.partitionBy("report_id", "name")
+    last_a = F.row_number().over(name.orderBy(only_a.desc(), F.desc("a.ord"), "key")) == 1
+    first_b = F.row_number().over(name.orderBy(only_b.desc(), "b.ord", "key")) == 1
+    rows = rows.withColumns({"asks": only_a & last_a, "takes": only_b & first_b})
+    rows = rows.withColumns({"asked": F.bool_or("asks").over(name), "taken": F.max(F.when(F.col("takes"), F.col("b"))).over(name)})
+    pairs = rows.where(~(F.col("takes") & F.col("asked"))).withColumn("b", F.when(F.col("asks"), F.col("taken")).otherwise(F.col("b")))
     bucket = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").otherwise(_bucket("a", "b"))
-    return met.union(pairs).select("report_id", F.coalesce("a.name", "b.name").alias("name"), bucket.alias("bucket"))
+    return pairs.select("report_id", "name", bucket.alias("bucket"))

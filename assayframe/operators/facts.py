@@ -44,6 +44,34 @@ def dominant(rows: DataFrame, by: list[str], value: str, order) -> DataFrame:
     return votes.withColumn("place", best).where("place = 1").select(*by, F.col(value).alias("dominant"))
 
 
+def dominants(rows: DataFrame, by: str, values: dict[str, bool], order: Column, *extra: tuple) -> DataFrame:
+    """by, the most frequent value of each column of `values`, the number n_<column> of its different values that aren't null,
+    `n`, the rows, and the aggregates `extra` of rows that are grouped by `by` and value.
+
+    All columns vote in one aggregation, so the rows are read once. A column whose entry is true counts null as a value; ties go
+    to the value seen first. Columns are texts or doubles. An extra aggregate is a pair: a column over a group of equal values,
+    and a function of the column of such groups."""
+    kinds = dict(rows.dtypes)
+
+    def cell(i: int, c: str) -> Column:
+        text = kinds[c] == "string"
+        s, d = (F.col(c), F.lit(None).cast("double")) if text else (F.lit(None).cast("string"), F.col(c).cast("double"))
+        return F.struct(F.lit(i).alias("i"), s.alias("s"), d.alias("d"))
+
+    votes = rows.withColumn("_seen", order).withColumn("_vote", F.explode(F.array(*[cell(i, c) for i, c in enumerate(values)])))
+    given = F.col("_vote.s").isNotNull() | F.col("_vote.d").isNotNull()
+    counted = F.col("_vote.i").isin(*[i for i, nulls in enumerate(values.values()) if nulls]) if any(values.values()) else F.lit(False)
+    inner = [a.alias(f"_extra{k}") for k, (a, _) in enumerate(extra)]
+    votes = votes.groupBy(by, "_vote").agg(F.count("*").alias("_n"), F.min("_seen").alias("_first"), *inner)
+    own = lambda i: F.col("_vote.i") == i
+    best = [F.min(F.when(own(i) & (given | counted), F.struct((-F.col("_n")).alias("n"), "_first", "_vote"))).alias(f"_best{i}") for i in range(len(values))]
+    number = [F.count_if(own(i) & given).alias(f"n_{c}") for i, c in enumerate(values)]
+    outer = [a(F.when(own(0), F.col(f"_extra{k}"))) for k, (_, a) in enumerate(extra)]
+    out = votes.groupBy(by).agg(*best, *number, F.sum(F.when(own(0), F.col("_n"))).alias("n"), *outer)
+    picked = [F.col(f"_best{i}._vote.{'s' if kinds[c] == 'string' else 'd'}").alias(c) for i, c in enumerate(values)]
+    return out.select("*", *picked).drop(*[f"_best{i}" for i in range(len(values))])
+
+
 def unit_votes(rows: DataFrame, order) -> DataFrame:
     """canonical, dominant unit key (null counts; ties go to the unit seen first) and the number of non-null units."""
     votes = rows.groupBy("canonical", "unit_key").agg(F.count("*").alias("n"), F.min(order).alias("seen"))

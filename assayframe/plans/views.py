@@ -97,19 +97,12 @@ def tooltip_points(spark, sf_dir):
     return rows.groupBy("canonical", "report_date", "provider").agg(first).select("canonical", "report_date", "provider", F.col("x.rescaled").alias("value"), "x.report_id")
 
 
-def _top(rows, value, order, by="canonical"):
-    return facts.dominant(rows.where(F.col(value).isNotNull()), [by], value, order).withColumnRenamed("dominant", value)
-
-
 def series_summary(spark, sf_dir):
     """Display unit and references of each series: the table's unit if there is one, else the most frequent of its points;
     references by most points, `varies` if there are several."""
-    points = m.series_points(spark, sf_dir)
-    seen = F.struct("report_date", "ord")
-    unit = facts.dominant(points, ["canonical"], "units", seen).withColumnRenamed("dominant", "unit")
-    spread = points.groupBy("canonical").agg(F.max("display_unit").alias("display"), (F.count_distinct("low") > 1).alias("low_varies"), (F.count_distinct("high") > 1).alias("high_varies"))
-    out = spread.join(unit, "canonical").join(_top(points, "low", seen), "canonical", "left").join(_top(points, "high", seen), "canonical", "left")
-    return out.select("canonical", F.coalesce("display", "unit").alias("unit"), "low", "high", "low_varies", "high_varies")
+    display = F.max("display_unit"), lambda c: F.max(c).alias("display")
+    out = facts.dominants(m.series_points(spark, sf_dir), "canonical", {"units": True, "low": False, "high": False}, F.struct("report_date", "ord"), display)
+    return out.select("canonical", F.coalesce("display", "units").alias("unit"), "low", "high", (F.col("n_low") > 1).alias("low_varies"), (F.col("n_high") > 1).alias("high_varies"))
 
 
 def _compared(spark, sf_dir):
@@ -123,14 +116,15 @@ def compare_series(spark, sf_dir):
     """The picked metrics in the order asked for; a known one without rows stays, an unknown one doesn't."""
     asked = spark.createDataFrame(list(enumerate(PICKED)), "place long, canonical string").join(model.canonicals(spark).select("canonical", "category"), "canonical")
     rows = m.mapped(spark, sf_dir).where(F.col("canonical").isin(*PICKED))
-    points = _compared(spark, sf_dir)
-    seen = F.struct("report_date", "ord")
-    stats = points.groupBy("canonical").agg(F.count("*").alias("n_points"), F.count_distinct("provider").alias("n_providers"), F.min("report_date").alias("first"), F.max("report_date").alias("last"), F.sum("value").alias("total"),
-                                            (F.first("n_units") > 1).alias("mismatch"))
-    text = rows.groupBy("canonical").agg(F.count_if(F.col("value").isNull()).alias("n_text"))
-    out = asked.join(stats, "canonical", "left").join(text, "canonical", "left")
-    for part in (facts.dominant(points, ["canonical"], "units", seen).withColumnRenamed("dominant", "units"), _top(rows, "ref_low", "ord"), _top(rows, "ref_high", "ord")):
-        out = out.join(part, "canonical", "left")
+    text = F.count_if(F.col("value").isNull()), lambda c: F.sum(c).alias("n_text")
+    every = facts.dominants(rows, "canonical", {"ref_low": False, "ref_high": False}, F.struct("ord"), text).select("canonical", "ref_low", "ref_high", "n_text")
+    # Sets of providers are bounded by the providers.
+    points = facts.dominants(
+        _compared(spark, sf_dir), "canonical", {"units": True}, F.struct("report_date", "ord"),
+        (F.collect_set("provider"), lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long").alias("n_providers")), (F.min("report_date"), lambda c: F.min(c).alias("first")),
+        (F.max("report_date"), lambda c: F.max(c).alias("last")), (F.sum("value"), lambda c: F.sum(c).alias("total")), (F.max("n_units"), lambda c: (F.max(c) > 1).alias("mismatch")),
+    ).withColumnRenamed("n", "n_points")
+    out = asked.join(points, "canonical", "left").join(every, "canonical", "left")
     return out.select("place", "canonical", "category", "units", F.coalesce("n_points", F.lit(0)).alias("n_points"), "n_providers", "first", "last", F.round("total", 6).alias("total"), "mismatch", "n_text", "ref_low", "ref_high").orderBy("place")
 
 
@@ -165,11 +159,9 @@ def export_observations(spark, sf_dir):
 
 
 def export_series(spark, sf_dir):
-    rows = _exported(spark, sf_dir)
     cats = model.canonicals(spark).select("canonical", "category")
-    out = rows.groupBy("canonical").agg(F.count("*").alias("n")).join(F.broadcast(cats), "canonical").withColumn("label", t.category_label(F.col("category")))
-    for part in (facts.dominant(rows, ["canonical"], "units", "ord").withColumnRenamed("dominant", "units"), _top(rows, "ref_low", "ord"), _top(rows, "ref_high", "ord")):
-        out = out.join(part, "canonical", "left")
+    out = facts.dominants(_exported(spark, sf_dir), "canonical", {"units": True, "ref_low": False, "ref_high": False}, F.struct("ord"))
+    out = out.join(F.broadcast(cats), "canonical").withColumn("label", t.category_label(F.col("category")))
     return out.select("canonical", "label", "units", "ref_low", "ref_high", "n")
 
 

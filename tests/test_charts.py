@@ -56,3 +56,12 @@ def test_order_of_languages(spark):
     names = ["zinc", "Äpfel", "apfel", "Apfel", "äpfel", "Zinc", "iron b", "iron a", "Iron", "iron", "éclair", "eclair", "f"]
     got = spark.createDataFrame([(x,) for x in names], "x string").orderBy(t.in_order(F.col("x"))).collect()
     assert [r["x"] for r in got] == ["apfel", "Apfel", "äpfel", "Äpfel", "eclair", "éclair", "f", "iron", "Iron", "iron a", "iron b", "zinc", "Zinc"]
+
+
+def test_scans_of_the_fact(spark):
+    """These read the rows of lineitem twice at most."""
+    from assayframe.plans import registry
+
+    for name, most in (("series_summary", 2), ("export_series", 2), ("extract_diff", 2), ("compare_series", 3)):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < sum("l_orderkey" in line and "Relation [" in line for line in plan.split("\n")) <= most, name
