@@ -1,11 +1,11 @@
 """Operator 7: secret scans by patterns and by dictionary-primed zstandard novelty.
 
 Three patterns find well-formed secrets. Beyond them, strings of letters and digits in a sensitive context are
-candidates: each is compressed behind the text around it, with a dictionary of identifiers. The dictionary holds the
-words that most documents of the corpus use, counted over all of them, behind a short list of common ones. A candidate
-whose marginal compressed bytes reach NOVELTY per character repeats nothing known and is reported as `novel`: short
-random strings are stored byte by byte, while names are made of parts that occur before. Its own copies are left out of
-the text around it, so a secret that is printed again and again stays novel; every copy is reported.
+candidates: each is compressed with a dictionary of identifiers and the text around it. Identifiers are the words that most
+documents of the corpus use, counted over all of them, and a short list of common ones. A candidate whose marginal
+compressed bytes reach NOVELTY per character repeats nothing known and is reported as `novel`: random strings are stored
+byte by byte, while names are made of parts that occur before. Its own copies are left out of the text around it, so a
+secret that is printed again and again stays novel; every copy is reported.
 
 Edge cases: a null or empty text has no spans and the digest of the empty string; spans of one kind never overlap;
 `novel` spans never overlap those of the patterns; offsets are code points; very long texts are read in whole; equal
@@ -33,7 +33,8 @@ SENSITIVE = re.compile(r"pass|secret|token|key|auth|credential|bearer|private|ce
 #: Characters before a candidate that are searched for a sensitive word, and those around it that it is compressed behind.
 CONTEXT, AROUND = 48, 2000
 #: A reported string adds at least so many bytes per character.
-NOVELTY = 0.85
+NOVELTY = 0.87
+LEAD = b"the file has an authorization token for it: "
 #: Words of the corpus that the dictionary takes at most, and characters of each.
 DICTIONARY_WORDS, WORD_LENGTH = 3000, (4, 24)
 IDENTIFIERS = (
@@ -45,16 +46,18 @@ IDENTIFIERS = (
 
 
 class Novelty:
-    """Marginal compressed bytes of strings behind a context, primed with a dictionary."""
+    """Marginal compressed bytes per character of strings, primed with a dictionary of identifiers and the text around them.
+
+    A string is compressed behind LEAD, short enough that what repeats nothing is stored byte by byte, whatever surrounds it."""
 
     def __init__(self, identifiers: str = IDENTIFIERS):
-        primer = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.z = zstandard.ZstdCompressor(level=3, dict_data=primer, write_checksum=False, write_content_size=False)
+        self.identifiers = identifiers.encode() + b" "
 
     def __call__(self, context: str, candidate: str) -> float:
-        around = context.encode("utf-8", "surrogatepass")
-        extra = len(self.z.compress(around + candidate.encode())) - len(self.z.compress(around))
-        return extra / len(candidate)
+        known = self.identifiers + context.encode("utf-8", "surrogatepass")
+        primer = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        z = zstandard.ZstdCompressor(level=3, dict_data=primer, write_checksum=False, write_content_size=False)
+        return (len(z.compress(LEAD + candidate.encode())) - len(z.compress(LEAD))) / len(candidate)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -152,3 +152,30 @@ def test_encoder_on_odd_texts(monkeypatch):
     for lo in range(0, len(texts), 700):
         some = texts[lo : lo + 700]
         assert [x.tolist() for x in encode(pa.array(some, pa.string()))] == [[*tk.encode(t or "", add_special_tokens=False).ids, tokens.END_ID] for t in some]
+
+
+def test_query_reports_novel_secrets(spark, docs_table):
+    """Planted through the query: random strings behind a sensitive word are reported at their places, by alphabet and length;
+    names made of words there, and random strings in no such context, are left alone."""
+    import string
+
+    rng = random.Random(21)
+    words = "configuration settings request handler session manager application server response version database client".split()
+    filler = lambda: " ".join(rng.choice(words) for _ in range(30))
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits]
+    rows, want, clean = [], {}, []
+    for a, alphabet in enumerate(alphabets):
+        for n in (16, 24, 32, 48):
+            for _ in range(4):
+                secret, before = "".join(rng.choice(alphabet) for _ in range(n)), f"{filler()}, the credential of the login is "
+                want[len(rows)] = (a, n, f"novel:{len(before)}:{len(before) + n}")
+                rows.append((len(rows), f"{before}{secret} é {filler()}"))
+    for a, b in zip(words, words[1:] + words[:1], strict=True):
+        clean += [f"{filler()} the private key {a}_{b}_handler {filler()}", f"{filler()} auth by {a}{b.title()}Manager {filler()}", f"{filler()} build {''.join(rng.choice(string.ascii_letters) for _ in range(32))} {filler()}"]
+    rows += [(len(rows) + i, t) for i, t in enumerate(clean)] + [(900, None), (901, "")]
+    got = {r["doc_id"]: r["spans"] for r in secretscan.op7_secret_scan(spark, docs_table(rows)).collect()}
+    found = {}
+    for i, (a, n, span) in want.items():
+        found[a, n] = found.get((a, n), 0) + (span in got[i].split(","))
+    assert sum(found.values()) >= 62 and all(v >= 3 for v in found.values()), found  # of 64, 4 of each alphabet and length
+    assert not any("novel" in (got[i] or "") for i in got if i not in want)
