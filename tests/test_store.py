@@ -125,3 +125,19 @@ def test_mapping(spark, store):
     assert after["a"] > seq["a"] and after["b"] == seq["b"]
     assert not store.map_names("hand", spark.createDataFrame([(1, "Zinc", "", "other")], names), only_open=False)
     assert counts(store) == {"reports": 2, "extractions": 2, "panels": 0, "metrics": 6, "aliases": 5}
+
+
+def test_stream(spark, store, tmp_path):
+    """Three files in three batches: repeated texts and unread ones are left out; a batch that runs again changes nothing."""
+    from assayframe.streaming import reports as stream
+
+    head = "Diagnostic Solutions Laboratory\nBACTERIAL PATHOGENS\nH. PYLORI\nFUNGI/YEAST\n"
+    texts = [[(head + "A  1  < 2", "x"), ('{"metrics":[{"name":"b","valueNumeric":2}', "y")], [(head + "A  1  < 2", "again"), ("no report", "z"), (None, "n")], [('{"metrics":[{"name":"c","valueNumeric":3}]}', "w")]]
+    registry = [p if p.name != "panel-report" else stream.parsers.panel_report(1) for p in stream.parsers.REGISTRY]
+    for i, rows_ in enumerate(texts):
+        spark.createDataFrame([(f"/in/{n}", "labcorp", "gi", None, t) for t, n in rows_], stream.INCOMING).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for checkpoint in ("one", "one", "two"):  # the last begins anew, as if the checkpoint had been lost
+        stream.start_reports(spark, f"{tmp_path}/in", store, f"{tmp_path}/{checkpoint}", registry, 1).awaitTermination()
+        got = store.current("metrics").join(store.current("reports").select("report_id", "file_path"), "report_id")
+        assert sorted((r["file_path"][:4], r["name"], r["value"]) for r in got.collect()) in ([("/in/", "A", 1.0), ("/in/", "b", 2.0), ("/in/", "c", 3.0)],)
+    assert store.commits().count() == 3 and counts(store)["reports"] == 3
