@@ -64,7 +64,9 @@ def js_number(spark, sf_dir):
 
 def format_range(spark, sf_dir):
     low, high = (F.when(F.col("l_partkey") % k != 0, F.col(c)) for k, c in ((3, "l_tax"), (4, "l_quantity")))
-    return _counted(model.table(spark, sf_dir, "lineitem").select(t.format_range(low, high, t.format_value).alias("range")), "range")
+    rows = model.table(spark, sf_dir, "lineitem").select(low.alias("low"), high.alias("high")).groupBy("low", "high").agg(F.count("*").alias("n"))
+    # Equal pairs are printed once.
+    return rows.groupBy(t.format_range(F.col("low"), F.col("high"), t.format_value).alias("range")).agg(F.sum("n").alias("n"))
 
 
 def format_bytes(spark, sf_dir):
@@ -180,8 +182,10 @@ def parse_range(spark, sf_dir):
     """Printed ranges read again: ends and unit."""
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("string")
     raw = F.when(n == 1, F.concat(F.lit("1.5 - "), q, F.lit("org/g 1.5 - "), q)).when(n == 2, F.concat(F.lit("< "), q, F.lit(" ng/mL"))).when(n == 3, F.concat(F.lit("> "), q)).otherwise("Negative")
-    r = tokens.range_token(raw)
-    return _counted(model.table(spark, sf_dir, "lineitem").select(r["low"].alias("low"), r["high"].alias("high"), r["units"].alias("units")), "low", "high", "units")
+    rows = model.table(spark, sf_dir, "lineitem").groupBy(raw.alias("raw")).agg(F.count("*").alias("n"))
+    # Equal texts are read once.
+    read = rows.select(tokens.range_token(F.col("raw")).alias("r"), "n").select("r.low", "r.high", "r.units", "n")
+    return read.groupBy("low", "high", "units").agg(F.sum("n").alias("n"))
 
 
 def row_shape(spark, sf_dir):
