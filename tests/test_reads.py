@@ -20,3 +20,26 @@ def test_names_are_broadcast_while_they_are_few(spark, monkeypatch):
     few = plan()
     monkeypatch.setattr(facts, "BROADCAST_BYTES", 10)
     assert plan() == few - 1
+
+
+def below(plan: str, node: str) -> str:
+    """The part of a plan's text that is below a node."""
+    lines = plan.splitlines()
+    depth = [next((i for i, c in enumerate(line) if c.isalpha()), 0) for line in lines]
+    at = next(i for i, line in enumerate(lines) if node in line)
+    end = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+    return "\n".join(lines[at:end])
+
+
+@pytest.mark.parametrize("rows", [m.fact, m.mapped])
+def test_observations_meet_reports_before_they_are_described(spark, rows):
+    plan = below(rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString(), "Join Inner, (report_id")
+    assert "lineitem" in plan or "l_partkey" in plan
+    assert not any(c in plan for c in ("targets", "AS name", "AS ord", "AS units"))
+
+
+def test_names_too_many_to_broadcast_give_the_same_rows(spark, monkeypatch):
+    rows = lambda: sorted(map(str, m.mapped(spark, SF).select("ord", "canonical", "key", "provider").collect()))
+    few = rows()
+    monkeypatch.setattr(facts, "BROADCAST_BYTES", 10)
+    assert few and rows() == few
