@@ -10,7 +10,7 @@ from assayframe.plans import measurements as m
 from assayframe.plans import views
 from assayframe.plans.reading import work_folder
 from assayframe.plans.views import SINCE, UNTIL
-from assayframe.sources import model, sections
+from assayframe.sources import model, sections, store
 
 
 def _charts(spark, sf_dir):
@@ -35,12 +35,17 @@ def overlay_bands(spark, sf_dir):
 def overlay_marks(spark, sf_dir):
     """Events inside each chart that belong to no intervention or to one that the chart shows."""
     events = model.table(spark, sf_dir, "events").select("event_id", F.date_sub(F.to_date("ts"), F.expr("cast(8500 + event_id % 1500 as int)")).alias("day"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("interval_id"))
-    # How many events of each intervention a chart has on a day comes first, so that an event isn't carried through both joins.
-    days = events.groupBy("day", "interval_id").agg(F.count("*").alias("n"))
-    inside = overlays.dates_in_ranges(days, "day", _charts(spark, sf_dir), "since", "until")
-    held = _intervals(spark, sf_dir).select("interval_id", "started_on", "stopped_on", F.lit(True).alias("known"))
-    shown = F.col("interval_id").isNull() | (F.col("known") & (F.col("started_on") <= F.col("until")) & (F.col("stopped_on").isNull() | (F.col("stopped_on") >= F.col("since"))))
-    return inside.join(held, "interval_id", "left").where(shown).groupBy("grp", "provider").agg(F.sum("n").alias("n_marks"), F.sum(F.when(F.col("interval_id").isNull(), F.col("n")).otherwise(0)).alias("n_single"))
+    # A chart shows an event if it reaches from the earlier of the event's day and its intervention's end to the later of the day
+    # and the intervention's start. Events are counted by these two dates, so neither events nor charts are carried through joins.
+    events = events.where("day is not null")
+    held = _intervals(spark, sf_dir).where("started_on is not null")
+    single = events.where("interval_id is null").select(F.col("day").alias("left"), F.col("day").alias("right"), F.lit(True).alias("single"))
+    owned = events.join(held, "interval_id").select(F.least("day", "stopped_on").alias("left"), F.greatest("day", "started_on").alias("right"), F.lit(False).alias("single"))
+    marks = single.unionByName(owned).groupBy("left", "right", "single").agg(F.count("*").alias("n"))
+    charts = store.written(_charts(spark, sf_dir), "charts")
+    inside = overlays.dates_in_ranges(marks, "left", charts.select("since", "until").distinct(), "since", "until").where(F.col("right") <= F.col("until"))
+    shown = inside.groupBy("since", "until").agg(F.sum("n").alias("n_marks"), F.sum(F.when(F.col("single"), F.col("n")).otherwise(0)).alias("n_single"))
+    return charts.join(shown, ["since", "until"]).select("grp", "provider", "n_marks", "n_single")
 
 
 HEAD, MORE = "canonical_name,category,raw_name,provider,date,value,value_text,units,ref_low,ref_high,flag", "intervention_name,kind,dose,started_on,stopped_on"
