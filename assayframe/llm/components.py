@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.llm.shared import cut, drop_cut
+from assayframe.llm.shared import cut_tidily as cut  # a round is read from its files only
+from assayframe.llm.shared import drop_cut
 
 
 def _both(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.components import components
-from assayframe.llm.shared import WordHashes, cut, drop_cut, mix64, sized_broadcast, window_hashes
+from assayframe.llm.shared import WordHashes, drop_cut, mix64, released, sized_broadcast, window_hashes
+from assayframe.llm.shared import cut_tidily as cut  # each step is read from its files only
 
 SHINGLE = 5
 COORDINATES = 64
@@ -93,7 +94,7 @@ def signed(docs: DataFrame) -> DataFrame:
         import xxhash
 
         hashes = WordHashes()
-        for batch in batches:
+        for batch in released(batches):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sizes, keys, sigs, lows = [], [], [], []
@@ -118,7 +119,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in released(batches):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = [shingles(t, hashes).view(np.int64) for t in part.column(1).to_pylist()]
@@ -151,7 +152,7 @@ def confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("xa", "xb"))
     similar = 100 * both >= SIMILARITY * (F.size("xa") + F.size("xb") - both)
     out = cut(likely.join(xa, "a").join(xb, "b").where(similar).select("a", "b"), "near-links")
-    drop_cut(sets)
+    drop_cut(sets, wanted)
     return out
 
 
@@ -199,7 +200,9 @@ def rare_shingles(lists: DataFrame, docs: DataFrame) -> DataFrame:
     partner = F.greatest(F.col("m"), F.ceil(F.col("n") * SIMILARITY / 100))
     room = F.size("ts") - F.ceil(SIMILARITY * (F.col("n") + partner) / (100 + SIMILARITY)) + 1
     found = ranked.join(members, "c").where(room > 0).select("c", "g", "w", "n", "low", F.explode(F.slice("ts", F.lit(1), room.cast("int"))).alias("t"))
-    return cut(in_several(found.select("t.token", "c", "g", "w", "n", "low")), "near-rare")
+    found = cut(in_several(found.select("t.token", "c", "g", "w", "n", "low")), "near-rare")
+    drop_cut(members, rows)
+    return found
 
 
 def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -222,6 +225,11 @@ def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
             links = links.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return cut(components(links), "near-groups")
 
+    def ended(groups: DataFrame, *steps: DataFrame) -> DataFrame:
+        """groups, when nothing will read the steps again."""
+        drop_cut(posted, top, *tested, *steps)
+        return groups
+
     top = posted.groupBy("c").agg(F.max_by(F.struct("token", "w", "low"), F.struct("df", "token")).alias("t")).select("c", "t.*")
     top = cut(top, "near-top")
     leads = top.groupBy("token").agg(central().alias("one")).select("token", F.col("one.c").alias("lead"), F.col("one.low").alias("lead_low"))
@@ -233,22 +241,25 @@ def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     lists = open_lists(posted, groups)
     met = lists.join(main_groups(lists), "token").where((F.col("g") != F.col("main")) & (collisions("low", "lead_low") >= MATCHES))
     groups = step(groups, met.select(*pair("c", "lead")))
+    drop_cut(lists)
 
     lists = open_lists(posted, groups)
     if lists.isEmpty():
-        return groups
-    lists = rare_shingles(lists, docs)
-    lists = cut(lists.join(main_groups(lists).select("token", "main"), "token"), "near-left")
+        return ended(groups, lists)
+    rare = rare_shingles(lists, docs)
+    drop_cut(lists)
+    lists = cut(rare.join(main_groups(rare).select("token", "main"), "token"), "near-left")
+    drop_cut(rare)
     x = lists.where("g <> main").select("token", F.col("c").alias("x"), F.col("g").alias("gx"), F.col("low").alias("lx"), "main")
     y = lists.select("token", F.col("c").alias("y"), F.col("g").alias("gy"), F.col("low").alias("ly"))
     met = x.join(y, "token").where(
         (F.col("gx") != F.col("gy")) & ((F.col("gy") == F.col("main")) | (F.col("gx") < F.col("gy"))) & (collisions("lx", "ly") >= MATCHES)
     )
-    return step(groups, met.select(*pair("x", "y")))
+    return ended(step(groups, met.select(*pair("x", "y"))), lists)
 
 
 def near_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, a row per row of docs."""
+    """doc_id, n_shingles and component_id, a row per row of docs; written, and the files of all steps before it are deleted."""
     every = cut(signed(docs), "near-signed")
     some = every.where("n_shingles > 0 and doc_id is not null")
     sigs = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
@@ -258,7 +269,9 @@ def near_ids(docs: DataFrame) -> DataFrame:
     plain = every.select("doc_id", "n_shingles", "k1", "k2")
     joined = plain.join(placed, ["k1", "k2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = cut(joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "near-ids")
+    drop_cut(every, sigs, groups)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -89,3 +89,19 @@ def test_components(spark):
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in parent)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_the_files_of_finished_steps_go(spark):
+    from pathlib import Path
+
+    from assayframe.llm import neardup
+    from assayframe.llm.shared import shared_root
+
+    root = Path(shared_root(spark).removeprefix("file://").removeprefix("file:")) / "assayframe"
+    before = set(root.glob("*")) if root.exists() else set()
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "some other words that are far from it"), (4, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_ids(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+    left = {p.name.rsplit("-", 1)[0] for p in set(root.glob("*")) - before}
+    assert "near-ids" in left and not left & {"near-signed", "near-signatures", "near-postings", "near-top", "near-open", "near-likely", "near-sets"}
