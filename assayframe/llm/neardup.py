@@ -15,6 +15,10 @@
    lists has can't be in an intersection. The others are ordered by how many open classes have them, and two classes of a
    similarity of 0.75 share one of each other's rarest, so only that prefix is posted, and its lists are those that are
    paired off between groups. Members of one group never meet again, and no link between groups is left untried.
+7. There two classes also hold their parities against each other: bit i tells whether an odd number of a set's shingles
+   have a hash of i in its lowest bits. Each shingle that only one set has changes one bit, so parities that differ in
+   more bits than a similarity of 0.75 leaves to such shingles refute the pair inside the join, exactly. Sets beyond some
+   PARITIES * 7 / 4 shingles never differ in so many bits, and there the counted collisions alone decide.
 
 A pair at a similarity of exactly 0.75 agrees in fewer than MATCHES = 24 of 64 coordinates with probability 5e-11; it is
 this that could lose a link, nothing else is capped. Low bytes that agree by chance only add pairs to confirm.
@@ -40,6 +44,8 @@ SHINGLE = 5
 COORDINATES = 64
 MATCHES = 24
 SIMILARITY = 75
+#: Bits of a set's parities, a power of two.
+PARITIES = 1024
 #: Low bytes of the coordinates lie in lanes of 9 bits, 7 to a long, so that a sum never runs into the next lane.
 LANE, LANES = 9, 7
 LONGS = -(-COORDINATES // LANES)
@@ -79,6 +85,19 @@ def low_bytes(sig: np.ndarray) -> np.ndarray:
     return (lanes.reshape(LONGS, LANES) << (LANE * np.arange(LANES))).sum(axis=1)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each value of the lowest bits of a hash, whether an odd number of hashes have it; as longs."""
+    odd = np.bincount((found & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def may_be_similar(nx: str, ny: str, x: str, y: str) -> Column:
+    """False only for sets (of nx and ny shingles, with parities x and y) that aren't similar enough: an intersection is at
+    least SIMILARITY / (100 + SIMILARITY) of both sizes, and what is outside it is as many shingles as parities differ, or more."""
+    apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(PARITIES // 64)), F.lit(0))
+    return (100 + SIMILARITY) * apart <= (100 - SIMILARITY) * (F.col(nx) + F.col(ny))
+
+
 def collisions(x: str, y: str) -> Column:
     """Coordinates whose low bytes agree; a lane of the difference, plus 255, reaches its top bit unless it is zero."""
     apart = sum(
@@ -88,7 +107,7 @@ def collisions(x: str, y: str) -> Column:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set in two longs, the signature and its low bytes (null for empty sets)."""
+    """doc_id, n_shingles, a 128-bit digest of the set in two longs, the signature, its low bytes and the set's parities (null for empty sets)."""
 
     def run(batches):
         import xxhash
@@ -97,21 +116,22 @@ def signed(docs: DataFrame) -> DataFrame:
         for batch in released(batches):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sizes, keys, sigs, lows = [], [], [], []
+                sizes, keys, sigs, lows, bits = [], [], [], [], []
                 for t in part.column(1).to_pylist():
                     found = shingles(t, hashes)
                     sizes.append(len(found))
                     keys.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64))
                     sigs.append(signature(found) if len(found) else None)
                     lows.append(low_bytes(sigs[-1]) if len(found) else None)
+                    bits.append(parities(found) if len(found) else None)
                 key = np.array(keys).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()),
-                     pa.array(sigs, pa.list_(pa.int32())), pa.array(lows, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sig", "low"],
+                     pa.array(sigs, pa.list_(pa.int32())), pa.array(lows, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "k1", "k2", "sig", "low", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>, low array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>, low array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -185,11 +205,11 @@ def main_groups(lists: DataFrame) -> DataFrame:
     return most.select("token", F.col("most.g").alias("main"), F.col("most.one.c").alias("lead"), F.col("most.one.low").alias("lead_low"))
 
 
-def rare_shingles(lists: DataFrame, docs: DataFrame) -> DataFrame:
-    """Postings like those of `lists`, their tokens being the rarest shingles of each class that another group has too."""
+def rare_shingles(lists: DataFrame, docs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Postings like those of `lists`, with parities, their tokens being the rarest shingles of each class that another group has too."""
     least = lists.groupBy("token").agg(F.min("n").alias("m"))
     members = lists.join(least, "token").groupBy("c", "g").agg(F.first("w").alias("w"), F.first("n").alias("n"), F.min("m").alias("m"), F.first("low").alias("low"))
-    members = cut(members, "near-members")
+    members = cut(members.join(sigs.select("c", "bits"), "c"), "near-members")
     texts = docs.select("doc_id", "text").join(sized_broadcast(members.select(F.col("c").alias("doc_id")), 16), "doc_id", "left_semi")
     sets = shingle_sets(texts).select("c", F.explode("set").alias("token")).distinct()
     rows = cut(sets.join(members.select("c", "g"), "c").select("token", "c", "g"), "near-shingles")
@@ -199,22 +219,23 @@ def rare_shingles(lists: DataFrame, docs: DataFrame) -> DataFrame:
     # shared with it, nor than 0.75 of the class.
     partner = F.greatest(F.col("m"), F.ceil(F.col("n") * SIMILARITY / 100))
     room = F.size("ts") - F.ceil(SIMILARITY * (F.col("n") + partner) / (100 + SIMILARITY)) + 1
-    found = ranked.join(members, "c").where(room > 0).select("c", "g", "w", "n", "low", F.explode(F.slice("ts", F.lit(1), room.cast("int"))).alias("t"))
-    found = cut(in_several(found.select("t.token", "c", "g", "w", "n", "low")), "near-rare")
+    found = ranked.join(members, "c").where(room > 0).select("c", "g", "w", "n", "low", "bits", F.explode(F.slice("ts", F.lit(1), room.cast("int"))).alias("t"))
+    found = cut(in_several(found.select("t.token", "c", "g", "w", "n", "low", "bits")), "near-rare")
     drop_cut(members, rows)
     return found
 
 
 def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Groups of classes: node and component, for classes with a link. sigs: c, n, sig, low."""
+    """Groups of classes: node and component, for classes with a link. sigs: c, n, sig, low, bits."""
     posted = cut(postings(sigs), "near-postings")
     tested = []
 
     def step(groups: DataFrame | None, met: DataFrame) -> DataFrame:
         """Groups after the pairs of `met` that weren't tested before are confirmed."""
+        met = met.distinct()
         for old in tested:
             met = met.join(old, ["a", "b"], "left_anti")
-        likely = cut(met.distinct(), "near-likely")
+        likely = cut(met, "near-likely")
         tested.append(likely)
         if likely.isEmpty():
             return groups
@@ -246,14 +267,15 @@ def class_groups(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     lists = open_lists(posted, groups)
     if lists.isEmpty():
         return ended(groups, lists)
-    rare = rare_shingles(lists, docs)
+    rare = rare_shingles(lists, docs, sigs)
     drop_cut(lists)
     lists = cut(rare.join(main_groups(rare).select("token", "main"), "token"), "near-left")
     drop_cut(rare)
-    x = lists.where("g <> main").select("token", F.col("c").alias("x"), F.col("g").alias("gx"), F.col("low").alias("lx"), "main")
-    y = lists.select("token", F.col("c").alias("y"), F.col("g").alias("gy"), F.col("low").alias("ly"))
+    x = lists.where("g <> main").select("token", F.col("c").alias("x"), F.col("g").alias("gx"), F.col("low").alias("lx"), F.col("n").alias("nx"), F.col("bits").alias("bx"), "main")
+    y = lists.select("token", F.col("c").alias("y"), F.col("g").alias("gy"), F.col("low").alias("ly"), F.col("n").alias("ny"), F.col("bits").alias("by"))
     met = x.join(y, "token").where(
         (F.col("gx") != F.col("gy")) & ((F.col("gy") == F.col("main")) | (F.col("gx") < F.col("gy"))) & (collisions("lx", "ly") >= MATCHES)
+        & may_be_similar("nx", "ny", "bx", "by")
     )
     return ended(step(groups, met.select(*pair("x", "y"))), lists)
 
@@ -262,7 +284,7 @@ def near_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, a row per row of docs; written, and the files of all steps before it are deleted."""
     every = cut(signed(docs), "near-signed")
     some = every.where("n_shingles > 0 and doc_id is not null")
-    sigs = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+    sigs = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("c"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"), F.first("bits").alias("bits"))
     sigs = cut(sigs, "near-signatures")
     groups = class_groups(sigs, docs)
     placed = sigs.join(groups, sigs["c"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "c").alias("component_id"))

@@ -105,3 +105,40 @@ def test_the_files_of_finished_steps_go(spark):
     assert found == {1: 1, 2: 1, 3: 3, 4: 4}
     left = {p.name.rsplit("-", 1)[0] for p in set(root.glob("*")) - before}
     assert "near-ids" in left and not left & {"near-signed", "near-signatures", "near-postings", "near-top", "near-open", "near-likely", "near-sets"}
+
+
+def family():
+    """Copies of one text with so many own changes that few pairs of them are similar enough."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(80):
+        t = list(base)
+        for at in rng.sample(range(150), 7):
+            t[at] = f"own{k}-{at}"
+        texts.append((k, " ".join(t)))
+    return texts
+
+
+def test_unlike_copies_of_one_text_are_refuted_inside_the_join(spark, docs_table, monkeypatch):
+    tried, old = [], neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda likely, docs: tried.append(likely.count()) or old(likely, docs))
+    got = neardup.op4_near_dedup(spark, docs_table(rows := family())).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert sum(tried[2:]) < len(rows), tried  # behind the two steps that try a pair a member
+
+
+def test_parities_refute_no_similar_sets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for n in (1, 3, 6, 60, 600, 6000):
+        for _ in range(20):
+            both, own = rng.integers(0, 2**63, 6 * n, np.uint64), rng.integers(0, 2**63, 2 * n, np.uint64)
+            x, y = np.unique(np.append(both, own[:n])), np.unique(np.append(both, own[n:]))  # a similarity of exactly 0.75
+            rows.append((len(x), len(y), neardup.parities(x).tolist(), neardup.parities(y).tolist()))
+    df = spark.createDataFrame(rows, "nx long, ny long, x array<long>, y array<long>")
+    assert df.where(neardup.may_be_similar("nx", "ny", "x", "y")).count() == len(rows)
+    far = [(100, 100, neardup.parities(rng.integers(0, 2**63, 100, np.uint64)).tolist(), neardup.parities(rng.integers(0, 2**63, 100, np.uint64)).tolist())]
+    assert spark.createDataFrame(far, df.schema).where(neardup.may_be_similar("nx", "ny", "x", "y")).count() == 0
