@@ -6,7 +6,8 @@ is encoded once per task), ends every document with END_ID and closes a shard at
 
 A shard is one file: a header, the rules of its grammar (two symbols each), the expansion length of each rule, the
 compressed symbols, and per document its id, first symbol and first token in the shard. Rules never reach over the end of
-a document, so any document is decoded alone: read its symbols and expand the rules.
+a document, so any document is decoded alone: read its symbols and expand the rules. Symbols are stored in planes: a bit
+that tells rules from tokens, the low 16 bits of the number of either, and the high ones only where some number has them.
 
 Edge cases: a null or empty text is its end id alone; equal doc_ids stay in the order of their texts' hashes; a null
 doc_id comes first and has a flag of its own; a document longer than a shard is a shard of its own; an empty table writes no file.
@@ -35,7 +36,7 @@ from assayframe.llm.shared import cut, open_store, work_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-MAGIC = b"AFRP0001"
+MAGIC = b"AFRP0002"
 HEADER = struct.Struct("<8sIIQQ")
 #: Pairs that occur less often than this get no rule.
 LEAST_PAIRS = 16
@@ -219,6 +220,15 @@ def expansion_lengths(rules: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
+def planes(symbols: np.ndarray) -> bytes:
+    """Symbols as stored."""
+    rule = symbols >= FIRST_RULE
+    number = symbols - rule * np.uint32(FIRST_RULE)
+    wide = bool(len(number)) and int(number.max()) > 0xFFFF
+    high = (number >> np.uint32(16)).astype(np.uint16).tobytes() if wide else b""
+    return bytes([wide]) + np.packbits(rule).tobytes() + number.astype(np.uint16).tobytes() + high
+
+
 def pack(doc_ids: list[int | None], parts: list[np.ndarray]) -> bytes:
     """A shard's file."""
     ids = np.concatenate(parts)
@@ -230,7 +240,7 @@ def pack(doc_ids: list[int | None], parts: list[np.ndarray]) -> bytes:
     start = np.concatenate([[0], ends[:-1]]).astype(np.uint64)
     return b"".join([
         HEADER.pack(MAGIC, FIRST_RULE, len(rules), len(symbols), len(parts)),
-        rules.tobytes(), expansion_lengths(rules).tobytes(), symbols.tobytes(),
+        planes(rules.ravel()), expansion_lengths(rules).tobytes(), planes(symbols),
         np.array([0 if d is None else d for d in doc_ids], np.int64).tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
         first.tobytes(), start.tobytes(), np.array([len(ids)], np.uint64).tobytes(),
     ])
@@ -252,8 +262,16 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules, self.lengths = take(np.uint32, 2 * n_rules).reshape(-1, 2), take(np.uint32, n_rules)
-        self.symbols = take(np.uint32, n_symbols)
+        def symbols(n):
+            wide = take(np.uint8, 1)[0]
+            rule = np.unpackbits(take(np.uint8, -(-n // 8)), count=n)
+            out = take(np.uint16, n).astype(np.uint32)
+            if wide:
+                out |= take(np.uint16, n).astype(np.uint32) << np.uint32(16)
+            return out + rule * np.uint32(self.base)
+
+        self.rules, self.lengths = symbols(2 * n_rules).reshape(-1, 2), take(np.uint32, n_rules)
+        self.symbols = symbols(n_symbols)
         ids, null = take(np.int64, n_docs), take(np.uint8, n_docs)
         self.doc_ids = [None if z else int(d) for d, z in zip(ids, null, strict=True)]
         self.first = np.append(take(np.uint64, n_docs), n_symbols).astype(np.int64)

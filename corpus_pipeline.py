@@ -1,7 +1,8 @@
 """The training-data pipeline: five stages over documents, each written and read again before the next.
 
 Stages decide on rows, not on doc_ids, so a null or repeated doc_id joins nothing. `run` numbers the rows once in column
-ROW; a stage that is called on other documents writes them with numbers first.
+ROW; a stage that is called on other documents numbers them by their file and place in it, so texts aren't written again.
+Only documents that don't come from files row by row are written with numbers first.
 
 Edge cases: a null or empty text, or one without letters, has no language and goes in the first stage; rows that repeat
 an earlier one's text are near duplicates of it and go in the second, whatever their ids; a null doc_id is kept and told
@@ -13,10 +14,12 @@ operator's own results included; an empty table gives no rows. A document's colu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayframe.llm import decontam, langid, mixing, neardup, tokens
-from assayframe.llm.shared import cut
+from assayframe.llm.shared import cut, cut_tidily, drop_cut
 
 
 #: A unique number of each row.
@@ -24,8 +27,23 @@ ROW = "_pipeline_row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with column ROW; written if they lack it, so that each reading gives the same numbers."""
-    return docs if ROW in docs.columns else cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    """docs with column ROW, the same numbers at each reading: by file and place, or written if rows have none or share one."""
+    if ROW in docs.columns:
+        return docs
+    file, at = f"{ROW}_file", f"{ROW}_at"
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    except AnalysisException:
+        placed = None
+    if placed is not None:
+        # A row a file.
+        files = cut(placed.select(file).distinct().select(file, F.row_number().over(W.orderBy(file)).cast("long").alias(ROW)), "pipeline-files")
+        number = F.shiftleft(F.col(ROW), 40) + F.col(at)
+        rows = placed.join(F.broadcast(files), file).withColumn(ROW, number).drop(file, at)
+        if rows.groupBy(ROW).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return rows
+        drop_cut(files)
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,6 +94,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The first stage reads its rows once into what it writes, so their numbers hold from there on.
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn(ROW, F.monotonically_increasing_id())
+    written = []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = cut_tidily(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_cut(*written)  # the stage's own documents, now that its result is written
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -43,3 +43,30 @@ def test_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stages_write_no_copy_of_their_documents(spark, folder):
+    from pathlib import Path
+
+    from assayframe.llm.shared import shared_root
+
+    root = Path(shared_root(spark).removeprefix("file://").removeprefix("file:")) / "assayframe"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = set(root.glob("*")) if root.exists() else set()
+    assert cp.drop_near_duplicates(spark, docs, folder).count() > 100
+    assert cp.mix_sources(spark, docs, folder).count() > 100
+    assert not [p for p in set(root.glob("*")) - before if p.name.startswith("pipeline-rows")]
+
+
+def test_numbers_are_unique_and_stay(spark, folder):
+    files = spark.read.parquet(f"{folder}/documents.parquet").repartition(3)
+    files.write.parquet(f"{folder}/several")
+    docs = spark.read.parquet(f"{folder}/several")
+    twice = docs.selectExpr("*", "explode(array(1, 2)) as k")
+    made = spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string")
+    for rows in (docs, docs.where("false"), twice, docs.union(docs), made):
+        got = cp.numbered(rows)
+        assert got.columns == [*rows.columns, cp.ROW] and dict(got.dtypes)[cp.ROW] == "bigint"
+        first = [tuple(r) for r in got.select(cp.ROW, "doc_id", "text").collect()]
+        assert len({r[0] for r in first}) == len(first) == rows.count()
+        assert sorted(map(str, first)) == sorted(str(tuple(r)) for r in got.select(cp.ROW, "doc_id", "text").collect())

@@ -179,3 +179,19 @@ def test_query_reports_novel_secrets(spark, docs_table):
         found[a, n] = found.get((a, n), 0) + (span in got[i].split(","))
     assert sum(found.values()) >= 62 and all(v >= 3 for v in found.values()), found  # of 64, 4 of each alphabet and length
     assert not any("novel" in (got[i] or "") for i in got if i not in want)
+
+
+def test_a_shard_takes_some_two_bytes_a_symbol():
+    import numpy as np
+    from assayframe.llm import tokens
+
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(3, 49_000, 2000), tokens.END_ID).astype(np.uint32) for _ in range(30)]
+    docs += [np.append(np.tile(docs[0][:40], 30), tokens.END_ID).astype(np.uint32), np.array([70_000, 1 << 19, tokens.END_ID], np.uint32), np.array([tokens.END_ID], np.uint32)]
+    for parts in (docs[:-2], docs, docs[-1:]):
+        data = tokens.pack(list(range(len(parts))), [p.copy() for p in parts])
+        shard = tokens.Shard(data)
+        assert all((shard.document(k) == p).all() for k, p in enumerate(parts))
+        assert all(shard.token(k, i) == p[i] for k, p in enumerate(parts[-3:], len(parts) - len(parts[-3:])) for i in range(0, len(p), 97))
+    data = tokens.pack(list(range(30)), [p.copy() for p in docs[:30]])
+    assert len(data) < 2.5 * len(tokens.Shard(data).symbols)
