@@ -135,11 +135,12 @@ def _lines(spark, sf_dir):
     one = F.concat(F.trim("name"), F.lit("  "), F.coalesce(num("value"), F.lit("<dl")), F.when(F.col("flag") == "high", " H").otherwise(""), F.lit("  "), num("ref_low"), F.lit(" - "), num("ref_high"))
     two = F.array(F.trim("name"), F.concat(F.coalesce(num("value"), F.lit("<dl")), F.when(F.col("flag") == "high", " H").otherwise(""), F.lit("\t"), num("ref_low"), F.lit(" - "), num("ref_high")))
     body = rows.select("report_id", F.col("ord.l_linenumber").cast("long").alias("a"), F.struct("ord", "value", "ref_low", "ref_high", "flag").alias("b"), F.posexplode(F.when(F.col("ord.l_linenumber") % 2 == 0, two).otherwise(F.array(one))).alias("c", "line"))
+    # Four lines above the rows and one between them, from one reading of the reports.
     heads = rows.select("report_id").distinct().select("report_id", F.posexplode(F.array(
-        F.concat(F.lit("Collected: "), (F.col("report_id") % 12 + 1).cast("string"), F.lit("/"), (F.col("report_id") % 28 + 1).cast("string"), F.lit("/2024")), F.lit("PATHOGENS"), F.lit("Result  Reference"), F.lit("BACTERIAL PHYLA"))).alias("c", "line"))
-    heads = heads.select("report_id", F.when(F.col("c") < 4, F.lit(-1)).cast("long").alias("a"), F.lit(None).cast(body.schema["b"].dataType).alias("b"), "c", "line")
-    mid = rows.select("report_id").distinct().select("report_id", F.lit(3).cast("long").alias("a"), F.lit(None).cast(body.schema["b"].dataType).alias("b"), F.lit(-1).alias("c"), F.lit("VIRUSES").alias("line"))
-    return heads.unionByName(mid).unionByName(body)
+        F.concat(F.lit("Collected: "), (F.col("report_id") % 12 + 1).cast("string"), F.lit("/"), (F.col("report_id") % 28 + 1).cast("string"), F.lit("/2024")), F.lit("PATHOGENS"), F.lit("Result  Reference"), F.lit("BACTERIAL PHYLA"), F.lit("VIRUSES"))).alias("c", "line"))
+    above = F.col("c") < 4
+    heads = heads.select("report_id", F.when(above, -1).otherwise(3).cast("long").alias("a"), F.lit(None).cast(body.schema["b"].dataType).alias("b"), F.when(above, F.col("c")).otherwise(-1).alias("c"), "line")
+    return heads.unionByName(body)
 
 
 def _order():
@@ -160,8 +161,11 @@ def report_date(spark, sf_dir):
 
 def section_carry(spark, sf_dir):
     """Lines under each panel: a heading holds until the next one; banners, noise and headings are no rows."""
-    panel = F.last(rp.section(F.col("line")), ignorenulls=True).over(W.partitionBy("report_id").orderBy(_order()))  # one report's lines
-    rows = _lines(spark, sf_dir).withColumn("panel", panel).where(rp.section(F.col("line")).isNull() & ~rp.is_noise(F.col("line")) & ~rp.is_banner(F.col("line")))
+    # Lines are matched once and stay behind: what is sorted by report is their places and what they are.
+    line = F.col("line")
+    rows = _lines(spark, sf_dir).select("report_id", "a", "b", "c", rp.section(line).alias("heading"), (rp.is_noise(line) | rp.is_banner(line)).alias("idle"))
+    panel = F.last("heading", ignorenulls=True).over(W.partitionBy("report_id").orderBy(_order()))  # one report's lines
+    rows = rows.withColumn("panel", panel).where(F.col("heading").isNull() & ~F.col("idle"))
     return rows.groupBy("report_id", "panel").agg(F.count("*").alias("n_lines"))
 
 

@@ -54,3 +54,21 @@ def test_names_too_many_to_broadcast_give_the_same_rows(spark, monkeypatch):
 def test_marks_are_counted_by_their_dates_before_they_meet_charts(spark):
     plan = __spark_entry__.queries()["overlay_marks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [left" in below(plan, "Join Inner, ((((left")
+
+
+def test_printed_lines_read_their_reports_once_for_the_headings(spark):
+    plan = __spark_entry__.queries()["section_carry"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4  # lines and parts, for headings and for rows
+    assert "line" not in plan.split("Window [")[1].splitlines()[1]
+
+
+def test_the_fold_deals_large_tables_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    from assayframe.sources import model
+
+    query = __spark_entry__.queries()["within_report_dedupe"]
+    plain = query(spark, SF)
+    monkeypatch.setattr(model, "TASK_LINES", 50)
+    many = query(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan(many) and "RepartitionByExpression" not in plan(plain)
+    assert sorted(map(str, many.collect())) == sorted(map(str, plain.collect()))
