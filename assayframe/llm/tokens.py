@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayframe.llm.shared import cut, open_store, work_path
+from assayframe.llm.shared import BATCH_BYTES, cut, open_store, released, setting, work_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
@@ -43,7 +43,7 @@ LEAST_PAIRS = 16
 #: First nonterminal; above any id of the public tokenizers.
 FIRST_RULE = 1 << 20
 #: Pieces of words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Bytes of text that are encoded together, one text at least; a task holds a few times as much beside its shard.
 ENCODE_BYTES = 4 << 20
 #: Pairs are counted roughly in so many bins (a power of two) before they are counted exactly.
@@ -352,7 +352,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, most: int = SHARD
             return row
 
         part = 0
-        for batch in batches:
+        for batch in released(batches):
             for some in by_bytes(batch, 2, ENCODE_BYTES):
                 part = some.column(0)[0].as_py()
                 for d, t in zip(some.column(1).to_pylist(), encode(some.column(2)), strict=True):
@@ -364,7 +364,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, most: int = SHARD
         if parts:
             yield close(part)
 
-    index = cut(ordered.mapInArrow(write, "part int, seq long, file string, n_tokens long, n_docs long"), "token-index")
+    # A task's texts would be one batch otherwise, beside the shard.
+    with setting(spark, BATCH_BYTES, str(ENCODE_BYTES)):
+        index = cut(ordered.mapInArrow(write, "part int, seq long, file string, n_tokens long, n_docs long"), "token-index")
     # A row a part is summed up in order, then the shards inside each part.
     zero = F.lit(0).cast("long")
     parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))

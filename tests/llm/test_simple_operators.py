@@ -195,3 +195,26 @@ def test_a_shard_takes_some_two_bytes_a_symbol():
         assert all(shard.token(k, i) == p[i] for k, p in enumerate(parts[-3:], len(parts) - len(parts[-3:])) for i in range(0, len(p), 97))
     data = tokens.pack(list(range(30)), [p.copy() for p in docs[:30]])
     assert len(data) < 2.5 * len(tokens.Shard(data).symbols)
+
+
+def test_token_writers_get_batches_of_bounded_bytes(spark, docs_table, monkeypatch):
+    """While shards are written a worker gets texts in batches of few bytes, whatever rows there are; then the session is as before."""
+    from assayframe.llm import shared
+
+    docs, most = spark.read.parquet(docs_table([(i, f"w{i} " * 2_000) for i in range(300)]) + "/documents.parquet"), []
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    def probed(df, name):
+        if name == "token-index":
+            most.append(docs.coalesce(1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0])
+        return shared.cut(df, name)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    monkeypatch.setattr(tokens, "cut", probed)
+    monkeypatch.setattr(tokens, "ENCODE_BYTES", 100_000)
+    assert tokens.encode_documents(docs).count() == 300
+    assert 0 < most[0] <= 300_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
