@@ -72,3 +72,28 @@ def test_the_fold_deals_large_tables_to_as_many_tasks_as_they_need(spark, monkey
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan(many) and "RepartitionByExpression" not in plan(plain)
     assert sorted(map(str, many.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_the_pivot_folds_its_observations_without_sorting_them(spark, monkeypatch):
+    from assayframe.sources import store
+
+    seen, write = [], store.written
+    monkeypatch.setattr(store, "written", lambda rows, *a: seen.append(rows) or write(rows, *a))
+    query = lambda: sorted(map(str, __spark_entry__.queries()["provider_pivot"](spark, SF).collect()))
+    few = query()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert any("lineitem" in f for f in seen[0].inputFiles()) and "HashAggregate(keys=[canonical" in plan and "SortAggregate(key=[canonical" not in plan
+    monkeypatch.setattr(facts, "BROADCAST_BYTES", 10)
+    assert few and query() == few
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_the_last_report_is_named_by_time_and_id(spark, kind):
+    from datetime import datetime as t
+
+    ids = [-(2**63), -1, 0, 7, 2**63 - 1]
+    times = [t(1, 1, 1), t(1969, 12, 31, 23, 59, 59, 999999), t(2024, 3, 31, 1, 30), t(2024, 3, 31, 2, 30), t(2024, 10, 27, 2, 30, 0, 1), t(9999, 12, 31, 23, 59, 59, 999999)]
+    rows = [(g, times[g % 6], ids[k]) for g in range(6) for k in range(5)] + [(6 + g, times[g + d], ids[2 - d]) for g in range(5) for d in (0, 1)]
+    df = spark.createDataFrame(rows, "g int, uploaded_at timestamp_ntz, report_id long").selectExpr("g", f"cast(uploaded_at as {kind}) as uploaded_at", "report_id")
+    got = {r["g"]: r["id"] for r in df.groupBy("g").agg(facts.last_report()).select("g", facts.last_report_id().alias("id")).collect()}
+    assert got == {g: max((u, i) for h, u, i in rows if h == g)[1] for g in range(11)}
