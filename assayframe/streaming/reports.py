@@ -23,7 +23,11 @@ def start_reports(spark: SparkSession, incoming: str, store: ReportStore, checkp
     def keep(batch: DataFrame, number: int) -> None:
         texts = batch.where("text is not null").withColumn("file_hash", F.sha2("text", 256))
         once = texts.groupBy("file_hash").agg(F.min_by(F.struct(*batch.columns), "file_path").alias("r")).select("file_hash", "r.*")
-        rows, told = parsers.parse(once.select(F.col("file_hash").alias("report_id"), "text"), registry or parsers.REGISTRY)
+        with store.staged() as folder:
+            store_batch(once, number, folder)
+
+    def store_batch(once: DataFrame, number: int, folder: str) -> None:
+        rows, told = parsers.parse(once.select(F.col("file_hash").alias("report_id"), "text"), registry or parsers.REGISTRY, folder)
         read = told.where("parser is not null").select(F.col("report_id").alias("file_hash"), F.col("parser").alias("model"), F.col("version").alias("extractor_version"))
         headers = once.join(read, "file_hash").withColumns({"extractor_kind": F.lit("deterministic"), "raw": F.col("text")}).drop("text")
         items = rows.select(F.col("report_id").alias("file_hash"), "nth", "name", "panel", F.col("numeric").alias("value"), F.col("text").alias("value_text"), "units", F.col("low").alias("ref_low"), F.col("high").alias("ref_high"), "ref_text", "flag")
