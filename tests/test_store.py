@@ -141,3 +141,19 @@ def test_stream(spark, store, tmp_path):
         got = store.current("metrics").join(store.current("reports").select("report_id", "file_path"), "report_id")
         assert sorted((r["file_path"][:4], r["name"], r["value"]) for r in got.collect()) in ([("/in/", "A", 1.0), ("/in/", "b", 2.0), ("/in/", "c", 3.0)],)
     assert store.commits().count() == 3 and counts(store)["reports"] == 3
+
+
+def test_rows_meet_their_report_once(spark, store, tmp_path):
+    """Rows dealt by report_id for their last batch are grouped by it where they are; the store's files are packed tightly."""
+    assert store.ingest("one", header(spark, ("a", "labcorp", "{}")), rows(spark, {"a": [item("Zinc", "P", 1.0), item("Iron", "", 2.0)]}))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = store.current("metrics").groupBy("report_id").agg(F.count("panel_id").alias("n"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(report_id") == 2 and "Exchange hashpartitioning(batch" in plan
+        assert [r["n"] for r in found.collect()] == [1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    files = [p.name for t in ("metrics", "panels", "reports", "extractions") for p in (tmp_path / "store" / t).rglob("part-*")]
+    assert files and all(".zstd." in f for f in files)
